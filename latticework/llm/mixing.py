@@ -84,3 +84,15 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     expected = sized.join(t, F.col("source").eqNullSafe(F.col("of"))).select("id", "source", "size", rate.alias("expected"))
     copies = systematic_copies(expected, seed)
     return copies.join(t, F.col("source").eqNullSafe(F.col("of"))).select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: str = SEED) -> DataFrame:
+    """docs with each row as often as the mix takes it, columns as they are."""
+    text = F.xxhash64(text_or_empty(f"`{text_column}`"))
+    keyed = docs.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"), F.col(f"`{source_column}`"), F.struct(F.col(f"`{id_column}`").alias("id"), text.alias("h")).alias("key"))
+    taken = mix(keyed.withColumn(id_column, F.col("key")), id_column, text_column, source_column, seed).filter("copies > 0")
+    # Rows that are equal in source, id and text share one entry here and one place in docs.
+    taken = taken.groupBy(F.col("id.id").alias("of_id"), F.col("id.h").alias("of_h"), F.col("source").alias("of_source")).agg(F.sum("copies").alias("of_copies"), F.count("*").alias("of_rows"))
+    same = docs[id_column].eqNullSafe(F.col("of_id")) & (text == F.col("of_h")) & docs[source_column].eqNullSafe(F.col("of_source"))
+    found = docs.join(taken, same).withColumn("of_place", F.when(F.col("of_rows") > 1, F.row_number().over(W.partitionBy("of_id", "of_h", "of_source").orderBy("of_h"))).otherwise(1))
+    return found.filter("of_place = 1").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("of_copies"))).alias("of_copy")).drop("of_copy")

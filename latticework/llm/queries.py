@@ -11,6 +11,16 @@ from latticework.llm.bpe import bpe_round_trip
 from latticework.llm.common import table
 from latticework.llm.exact_dedup import exact_dedup
 from latticework.llm.mixing import mix
+from latticework.llm.quality_rules import quality
+from latticework.llm.simhash import near_duplicates
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +36,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mixing, op7_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_simhash, op5_mixing, op7_bpe, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     from latticework.llm import sql
 
-    return {"op5_mixing": sql.OP5, "op9_exact_dedup": sql.OP9}
+    return {"op1_quality_rules": sql.OP1, "op5_mixing": sql.OP5, "op9_exact_dedup": sql.OP9}

@@ -24,3 +24,27 @@ p AS (SELECT *, u + sum(expected) OVER (PARTITION BY source ORDER BY size, doc_i
 SELECT doc_id, size, source_size, target,
        CAST((upto // 1048576 - (upto - expected) // 1048576) * size AS BIGINT) AS taken FROM p
 """
+
+OP1 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+x AS (SELECT r, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+y AS (SELECT r, i, a, lead(a) OVER (PARTITION BY r ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY r ORDER BY i) AS c FROM x),
+z AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM y WHERE c IS NOT NULL) WHERE n > 1),
+q AS (SELECT r, count(*) AS n FROM (SELECT r, i FROM z UNION SELECT r, i + 1 FROM z UNION SELECT r, i + 2 FROM z) GROUP BY r),
+l AS (SELECT r, unnest(ls) AS line FROM w),
+m AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM l),
+j AS (SELECT r, len(lw) AS n, len(list_filter(lw, lambda v: regexp_matches(v, '[#*$%&<>]|[!?][!?]'))) AS noisy,
+             len(list_filter(lw, lambda v: v IN ('|', '>', '»', '•', '·'))) AS seps,
+             regexp_matches(line, '(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|accept (?:all )?cookies|subscribe to our newsletter|click here|licensed under|share on (?:facebook|twitter)|skip to (?:main )?content|^copyright |^©') AS notice FROM m),
+k AS (SELECT r, CAST(sum(n) AS BIGINT) AS lost FROM j WHERE 100 * noisy >= 30 * n OR (seps > 1 AND 5 * seps >= n) OR (notice AND n <= 30) GROUP BY r),
+f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+             CAST(length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(q.n, 0) AS BIGINT) AS n_repeat_words, coalesce(k.lost, 0) AS n_lost_words
+      FROM w LEFT JOIN q USING (r) LEFT JOIN k USING (r)),
+g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND 100 * n_lost_words <= 50 * n_words AS kept FROM g
+"""
