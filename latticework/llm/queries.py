@@ -13,12 +13,18 @@ from latticework.llm.exact_dedup import exact_dedup
 from latticework.llm.mixing import mix
 from latticework.llm.quality_rules import quality
 from latticework.llm.simhash import near_duplicates
+from latticework.llm.url_filter import filter_urls
+from latticework.llm.warc import archive
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -31,15 +37,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_simhash, op5_mixing, op7_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_simhash, op5_mixing, op7_bpe, op8_warc, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     from latticework.llm import sql
 
-    return {"op1_quality_rules": sql.OP1, "op5_mixing": sql.OP5, "op9_exact_dedup": sql.OP9}
+    return {"op1_quality_rules": sql.OP1, "op5_mixing": sql.OP5, "op8_warc": sql.OP8, "op9_exact_dedup": sql.OP9}

@@ -48,3 +48,11 @@ f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
 g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT *, NOT base_failed AND 100 * n_lost_words <= 50 * n_words AS kept FROM g
 """
+
+OP8 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+             min(page_id) OVER (PARTITION BY html) AS first_id, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS k FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN k > 1 AND payload_bytes >= 100 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN k > 1 AND payload_bytes >= 100 THEN first_id END AS refers_to FROM q
+"""
