@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from latticework.llm.bpe import bpe_round_trip
 from latticework.llm.common import table
 from latticework.llm.exact_dedup import exact_dedup
+from latticework.llm.language_id import identify
 from latticework.llm.mixing import mix
+from latticework.llm.quality_classifier import classify
 from latticework.llm.quality_rules import quality
 from latticework.llm.simhash import near_duplicates
 from latticework.llm.url_filter import filter_urls
@@ -29,6 +31,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
@@ -45,8 +51,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_simhash, op5_mixing, op7_bpe, op8_warc, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_simhash, op4_language_id, op5_mixing, op7_bpe, op8_warc, op9_exact_dedup, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
