@@ -14,6 +14,7 @@ from latticework.llm.language_id import identify
 from latticework.llm.mixing import mix
 from latticework.llm.quality_classifier import classify
 from latticework.llm.quality_rules import quality
+from latticework.llm.repeats import remove_repeats
 from latticework.llm.simhash import near_duplicates
 from latticework.llm.url_filter import filter_urls
 from latticework.llm.warc import archive
@@ -39,6 +40,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_simhash, op4_language_id, op5_mixing, op7_bpe, op8_warc, op9_exact_dedup, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_simhash, op4_language_id, op5_mixing, op6_suffix_dedup, op7_bpe, op8_warc, op9_exact_dedup, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
