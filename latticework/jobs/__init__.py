@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from latticework.jobs import geometry  # noqa: F401
+from latticework.jobs import geometry, spatial  # noqa: F401
 from latticework.jobs.registry import QUERIES, SQL, Query
 
 
