@@ -115,7 +115,7 @@ TWINS["mesh_tri"] = """SELECT elem, max(nid) FILTER (pos = 0) AS n1, max(nid) FI
 TWINS["mesh_face"] = "SELECT a.elem, a.pos AS face, least(a.nid, b.nid) AS lo, greatest(a.nid, b.nid) AS hi FROM mesh_elem a JOIN mesh_elem b ON a.elem = b.elem AND b.pos = (a.pos + 1) % 3"
 TWINS["mesh_dual"] = "SELECT a.elem AS src, b.elem AS dst, a.face, a.lo, a.hi FROM mesh_face a JOIN mesh_face b ON a.lo = b.lo AND a.hi = b.hi AND a.elem <> b.elem"
 TWINS["mesh_insgm"] = "SELECT r AS sgm, c AS seq, r * (w + 1) + c AS nid FROM (SELECT DISTINCT r, c, w FROM (SELECT r, c, w FROM mesh_cell UNION ALL SELECT r, c + 1, w FROM mesh_cell)) WHERE r % 8 = 4"
-TWINS["field_u"] = "SELECT nid, comp, round(CASE comp WHEN 0 THEN 0.002 * x - 0.001 * y ELSE 0.0005 * x * y END, 9) AS value FROM mesh_node, (SELECT unnest([0, 1]) AS comp)"
+TWINS["field_u"] = "SELECT nid, comp, CASE comp WHEN 0 THEN 0.002::DOUBLE * x - 0.001::DOUBLE * y ELSE 0.0005::DOUBLE * x * y / 1.7::DOUBLE END AS value FROM mesh_node, (SELECT unnest([0, 1]) AS comp)"
 
 
 def mesh_width(spark: SparkSession, d: str) -> int:
@@ -163,13 +163,13 @@ def mesh_insgm(spark: SparkSession, d: str) -> DataFrame:
 def field_u(spark: SparkSession, d: str) -> DataFrame:
     """A nodal displacement: (nid, comp, value)."""
     n = mesh_node(spark, d)
-    u = F.array(F.expr("0.002D * x - 0.001D * y"), F.expr("0.0005D * x * y"))
-    return n.select("nid", F.posexplode(u).alias("comp", "v")).select("nid", "comp", F.round("v", 9).alias("value"))
+    u = F.array(F.expr("0.002D * x - 0.001D * y"), F.expr("0.0005D * x * y / 1.7D"))
+    return n.select("nid", F.posexplode(u).alias("comp", "v")).select("nid", "comp", F.col("v").alias("value"))
 
 
 # Graphs, matrices, transactions, rankings, pixels.
 TWINS["edges_pp"] = """SELECT a AS src, b AS dst, CAST(count(*) AS DOUBLE) AS w FROM (SELECT DISTINCT l_orderkey, least(l_partkey, nxt) AS a, greatest(l_partkey, nxt) AS b FROM
-    (SELECT l_orderkey, l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nxt FROM lineitem) WHERE nxt <> l_partkey) GROUP BY a, b"""
+    (SELECT l_orderkey, l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS nxt FROM lineitem) WHERE nxt <> l_partkey) GROUP BY a, b"""
 TWINS["edges_sym"] = "SELECT src, dst, w FROM edges_pp UNION ALL SELECT dst, src, w FROM edges_pp"
 TWINS["parts_of"] = "SELECT DISTINCT src AS id, CAST(src % 4 AS INTEGER) AS part FROM edges_sym"
 TWINS["coo"] = "SELECT o_custkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"
@@ -184,7 +184,7 @@ TWINS["users_geo"] = "SELECT DISTINCT user_id, user_id % 7 AS grp FROM events"
 
 def edges_pp(spark: SparkSession, d: str) -> DataFrame:
     """Parts that follow one another in an order: src < dst, w is the number of orders."""
-    nxt = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    nxt = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
     e = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", nxt.alias("nxt")).filter("nxt <> l_partkey")
     pairs = e.select("l_orderkey", F.least("l_partkey", "nxt").alias("src"), F.greatest("l_partkey", "nxt").alias("dst")).distinct()
     return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
@@ -231,3 +231,10 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     ch = F.array(*[F.expr(x).cast("int") for x in ("event_id * 7 % 256", "user_id * 13 % 256", "(event_id + user_id) * 3 % 256", "event_id * 11 % 256")])
     return e.select(F.expr("event_id div 4096").alias("img"), F.expr("event_id % 4096 div 64").cast("int").alias("r"), F.expr("event_id % 64").cast("int").alias("c"), F.expr("1 + event_id div 4096 % 4").cast("int").alias("comps"), ch.alias("ch"))
+
+
+def stored_once(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, for what is read in many rounds."""
+    from latticework.sources.scratch import stored
+
+    return stored(df, "input")
