@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from latticework.jobs import geometry, graph, lists, matrix, mesh, spatial  # noqa: F401
+from latticework.jobs import files, geometry, graph, lists, matrix, mesh, spatial  # noqa: F401
 from latticework.jobs.registry import QUERIES, SQL, Query
 
 

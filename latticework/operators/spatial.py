@@ -112,23 +112,27 @@ def locate(points: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
     return with_cell(points.select("pid", "x", "y"), size).join(t, ["bx", "by"]).filter(inside).groupBy("pid").agg(F.min("elem").alias("elem"))
 
 
-def crossing_pairs(segs: DataFrame, size: float) -> DataFrame:
+def crossing_pairs(segs: DataFrame, size: float, touching: bool = False) -> DataFrame:
     """(a, b) with a < b of segments (sid, x1, y1, x2, y2) that cross, or lie on one line and overlap.
 
-    A pair that shares several cells is reported in the lowest of them, so no distinct is needed.
+    Where touching is true, an end on the other segment counts too. A pair that shares several cells is reported in
+    the lowest of them, so no distinct is needed. The test is by orientations, which is short enough to compile.
     """
     low_x, low_y = F.least("x1", "x2"), F.least("y1", "y2")
     s = over_cells(segs.select("sid", "x1", "y1", "x2", "y2").withColumns({"cx": G.cell(low_x, size), "cy": G.cell(low_y, size)}), size, low_x, low_y, F.greatest("x1", "x2"), F.greatest("y1", "y2"))
     left = s.select("bx", "by", *[F.col(c).alias(f"a_{c}") for c in ("sid", "x1", "y1", "x2", "y2", "cx", "cy")])
     right = s.select("bx", "by", *[F.col(c).alias(f"b_{c}") for c in ("sid", "x1", "y1", "x2", "y2", "cx", "cy")])
     lowest = (F.col("bx") == F.greatest("a_cx", "b_cx")) & (F.col("by") == F.greatest("a_cy", "b_cy"))
-    pts = [G.point(f"{s}_x{k}", f"{s}_y{k}") for s in "ab" for k in (1, 2)]
-    status = G.intersection(*pts)["status"]
-    along = lambda p: (p[0] - pts[0][0]) * (pts[1][0] - pts[0][0]) + (p[1] - pts[0][1]) * (pts[1][1] - pts[0][1])
-    length2 = G.dist2(pts[0], pts[1])
-    overlap = (status == "PARALLEL") & (F.abs(G.orient(pts[0], pts[1], pts[2])) < G.TOL) & (F.greatest(along(pts[2]), along(pts[3])) > 0) & (F.least(along(pts[2]), along(pts[3])) < length2)
+    a1, a2, b1, b2 = (G.point(f"{s}_x{k}", f"{s}_y{k}") for s in "ab" for k in (1, 2))
+    along = lambda p: (p[0] - a1[0]) * (a2[0] - a1[0]) + (p[1] - a1[1]) * (a2[1] - a1[1])
     pairs = left.join(right, ["bx", "by"]).filter((F.col("a_sid") < F.col("b_sid")) & lowest)
-    return pairs.filter((status == "INTERSECTED") | overlap).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
+    signs = pairs.select("a_sid", "b_sid", G.orient(a1, a2, b1).alias("o1"), G.orient(a1, a2, b2).alias("o2"), G.orient(b1, b2, a1).alias("o3"), G.orient(b1, b2, a2).alias("o4"), G.dist2(a1, a2).alias("l2"), along(b1).alias("s1"), along(b2).alias("s2"))
+    line = (F.abs("o1") < G.TOL) & (F.abs("o2") < G.TOL) & (F.greatest("s1", "s2") > 0) & (F.least("s1", "s2") < F.col("l2"))
+    cross = (F.col("o1") * F.col("o2") < 0) & (F.col("o3") * F.col("o4") < 0)
+    if touching:
+        tol = 1e-9
+        cross = (F.col("o1") * F.col("o2") <= tol) & (F.col("o3") * F.col("o4") <= tol) & (F.abs(F.col("o1") - F.col("o2")) > G.TOL)
+    return signs.filter(cross | line).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
 
 
 def near_pairs(points: DataFrame, reach: float) -> DataFrame:
