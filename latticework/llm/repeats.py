@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.common import stored, text_or_empty
@@ -101,13 +101,30 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.r_[0, common]
 
 
-def maximal_repeats(pieces: list[bytes], least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(piece, place)...]) of each maximal repeat of least bytes or more within and across pieces.
+def _sorted_windows(pieces: list[bytes], least: int) -> tuple[np.ndarray, ...]:
+    """(piece, place, common) of the suffixes with least bytes or more, in order, for short pieces without a zero byte.
 
-    A repeat is maximal if not all of its occurrences go on with the same byte, nor are preceded by the same byte; the
-    ends of a piece differ from everything. Occurrences are all there are, not only neighbours in the order.
+    Shorter suffixes share less than least bytes with any other, so they are left out; pieces are padded with zeros.
     """
     lengths = np.array([len(p) for p in pieces])
+    width = int(lengths.max())
+    data = np.zeros((len(pieces), 2 * width), np.uint8)
+    data[np.arange(2 * width) < lengths[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+    counts = np.maximum(0, lengths - least + 1)
+    piece = np.repeat(np.arange(len(pieces)), counts)
+    place = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
+    rows = np.lib.stride_tricks.sliding_window_view(data.ravel(), width)[piece * 2 * width + place]
+    order = np.argsort(rows.view(f"S{width}").ravel())
+    rows, piece, place = rows[order], piece[order], place[order]
+    differ = rows[1:] != rows[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    left = lengths[piece] - place
+    return piece, place, np.r_[0, np.minimum(common, np.minimum(left[1:], left[:-1]))]
+
+
+def _all_suffixes(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(piece, place, common) of all suffixes of any pieces, in order; the ends of pieces are symbols of their own."""
+    lengths = np.array([len(p) for p in pieces])
     ends = np.cumsum(lengths + 1) - 1
     symbols = np.empty(int(ends[-1]) + 1, np.int64)
     symbols[ends] = 256 + np.arange(len(pieces))
@@ -116,9 +133,24 @@ def maximal_repeats(pieces: list[bytes], least: int) -> Iterator[tuple[int, list
     symbols[inside] = np.frombuffer(b"".join(pieces), np.uint8)
     order, common = suffix_array(symbols)
     piece = np.searchsorted(ends, order)
-    place = order - np.r_[0, ends[:-1] + 1][piece]
+    return piece, order - np.r_[0, ends[:-1] + 1][piece], common
+
+
+def maximal_repeats(pieces: list[bytes], least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, [(piece, place)...]) of each maximal repeat of least bytes or more within and across pieces.
+
+    A repeat is maximal if not all of its occurrences go on with the same byte, nor are preceded by the same byte; the
+    ends of a piece differ from everything. Occurrences are all there are, not only neighbours in the order.
+    """
+    longest = max(map(len, pieces), default=0)
+    if longest < least:
+        return
+    short = longest <= 4 * LEAST and not any(b"\0" in p for p in pieces)
+    piece, place, common = _sorted_windows(pieces, least) if short else _all_suffixes(pieces)
     # The byte before each suffix; a piece's start counts as a byte of its own.
-    before = np.where(place > 0, symbols[order - 1], 256 + order)
+    starts = np.cumsum([0, *map(len, pieces)])[:-1]
+    joined = np.frombuffer(b"".join(pieces), np.uint8)
+    before = np.where(place > 0, joined[np.clip(starts[piece] + place - 1, 0, len(joined) - 1)].astype(np.int64), 256 + np.arange(len(piece)))
     long = np.flatnonzero(common >= least)
     if not len(long):
         return
@@ -163,10 +195,6 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def halves(a: int, b: int) -> list[tuple[int, int]]:
-    return [(a, (a + b) // 2), ((a + b) // 2 + 1, b)]
-
-
 #: What is known of an occurrence in one number: 16 bits of its text's hash, the first window's start, windows less one, the anchor's offset.
 def packed(tag: int, first: np.ndarray, last: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (np.int64(tag - (1 << 15)) << 48) + (first << 16) + (last - first << 8) + (place - first)
@@ -178,10 +206,6 @@ def unpacked(at: int) -> tuple[int, int, int, int]:
     return (at >> 48) + (1 << 15), first, first + (at >> 8 & 255), first + (at & 255)
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
 def _tagged(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, tag, text) with the text as bytes; the tag keeps apart texts that share an id."""
     text = text_or_empty(f"`{text_column}`")
@@ -217,24 +241,47 @@ def _unsqueezer():
     return zstandard.ZstdDecompressor().decompress
 
 
-CONTEXT = "core long, a int, b int, id long, at long, own boolean, start long, context binary"
-_CONTEXT_ARROW = pa.schema([("core", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("id", pa.int64()), ("at", pa.int64()), ("own", pa.bool_()), ("start", pa.int64()), ("context", pa.binary())])
-
-
-def _half_contexts(content: bytes, offset: int, i: int | None, at: int, own: bool, a: int, b: int, least: int) -> Iterator[tuple]:
-    """The halves of windows a..b before their anchor that this occurrence has; content begins at offset of its text."""
-    _, first, last, place = unpacked(at)
-    for x, y in halves(a, b):
-        low, high = max(x, place - last), min(y, place - first)
-        if low <= high:
-            core = content[place - x - offset : place - y + least - offset]
-            yield _signed(xxhash.xxh64_intdigest(core, 256 * x + y)), x, y, i, at, own, place - high, content[place - high - offset : place - low + least - offset]
+CONTEXT = "id long, at long, own boolean, start long, context binary"
+_CONTEXT_ARROW = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("own", pa.bool_()), ("start", pa.int64()), ("context", pa.binary())])
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CONTEXT_ARROW)], schema=_CONTEXT_ARROW)
 
 
+def _first() -> Column:
+    return F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _last() -> Column:
+    return _first() + F.shiftright("at", 8).bitwiseAND(F.lit(255))
+
+
+def _place() -> Column:
+    return _first() + F.col("at").bitwiseAND(F.lit(255))
+
+
+def _tag() -> Column:
+    return (F.shiftright("at", 48) + (1 << 15)).cast("int").alias("tag")
+
+
+def halved(level: DataFrame, least: int) -> DataFrame:
+    """Contexts (a, b, id, at, own, start, context) of windows a..b before their anchor, cut into those of either half.
+
+    core names the bytes that all windows of a half share, same the whole context of this occurrence's windows in it.
+    """
+    middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+    parts = []
+    for a, b in ((F.col("a"), middle), (middle + 1, F.col("b"))):
+        low, high = F.greatest(a, _place() - _last()), F.least(b, _place() - _first())
+        start = _place() - high
+        context = F.substring("context", start - F.col("start") + 1, _place() - low + least - start)
+        core = F.substring("context", _place() - a - F.col("start") + 1, a - b + least)
+        half = level.filter(low <= high).select(F.xxhash64(a, b, core).alias("core"), F.xxhash64(context).alias("same"), a.alias("a"), b.alias("b"), "id", "at", "own", start.alias("start"), context.alias("context"))
+        parts.append(half)
+    return parts[0].unionByName(parts[1])
+
+
 SPAN = "id long, tag int, start long, stop long"
 _SPAN_ARROW = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
 
@@ -250,15 +297,14 @@ def _compared(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) < 8 * CONTEXTS:
-            continue
-        rows = pa.Table.from_batches(held)
-        core = np.asarray(rows["core"])
-        whole = int(np.searchsorted(core, core[-1]))
-        held = rows.slice(whole).combine_chunks().to_batches()
-        if whole:
-            yield from search(rows.slice(0, whole))
+        for at in range(0, batch.num_rows, 4 * CONTEXTS):
+            held.append(batch.slice(at, 4 * CONTEXTS))
+            rows = pa.Table.from_batches(held)
+            core = np.asarray(rows["core"])
+            whole = int(np.searchsorted(core, core[-1]))
+            held = rows.slice(whole).combine_chunks().to_batches()
+            if whole:
+                yield from search(rows.slice(0, whole))
     if held and sum(b.num_rows for b in held):
         yield from search(pa.Table.from_batches(held))
 
@@ -266,26 +312,18 @@ def _compared(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, contexts: int = CONTEXTS) -> DataFrame:
     """(id, tag, start, stop): bytes of texts that a string of least bytes covers which also starts elsewhere."""
     rows = _tagged(docs, id_column, text_column)
-    found = rows.mapInArrow(lambda b: _occurrences(b, least), "key long, ctx long, id long, at long")
+    found = stored(rows.mapInArrow(lambda b: _occurrences(b, least), "key long, ctx long, id long, at long"), "occurrences")
     again = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     met = stored(found.join(again, "key"), "anchors")
     groups = stored(met.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("one")), "contexts")
-
-    def span(at: str, start, stop) -> list:
-        tag = (F.shiftright(at, 48) + (1 << 15)).cast("int").alias("tag")
-        return [F.col("id"), tag, start.alias("start"), stop.alias("stop")]
-
-    first = F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFFFFFF))
-    last = first + F.shiftright("at", 8).bitwiseAND(F.lit(255))
-    same = met.join(groups.filter("n > 1").select("key", "ctx"), ["key", "ctx"]).select(*span("at", first, last + least))
+    spans = met.join(groups.filter("n > 1").select("key", "ctx"), ["key", "ctx"]).select("id", _tag(), _first().alias("start"), (_last() + least).alias("stop"))
 
     mixed = groups.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("key")
-    each = groups.join(mixed, "key").select(F.col("one.id").alias("id"), (F.shiftright("one.at", 48) + (1 << 15)).cast("int").alias("tag"), F.struct(F.col("one.at").alias("at"), (F.col("n") == 1).alias("own")).alias("o"))
+    each = groups.join(mixed, "key").select("one.id", "one.at", (F.col("n") == 1).alias("own"))
     # As many as one text has anchors.
-    wanted = each.groupBy("id", "tag").agg(F.collect_list("o").alias("os"))
+    wanted = each.groupBy("id", _tag()).agg(F.collect_list(F.struct("at", "own")).alias("os"))
     squeezed = rows.mapInArrow(_squeezed, "id long, tag int, packed binary")
     of = wanted.select(F.col("id").alias("of_id"), F.col("tag").alias("of_tag"), "os")
-    # Rows that share id and text have the same contexts, so one of them is enough.
     read = squeezed.join(of, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("tag") == F.col("of_tag"))).select("id", "packed", "os")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,36 +333,34 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
             for i, content, os in zip(batch["id"].to_pylist(), batch["packed"], batch["os"].to_pylist()):
                 content = unpack(content.as_py())
                 for o in os:
-                    if unpacked(o["at"])[2] + least <= len(content):
-                        out += _half_contexts(content, 0, i, o["at"], o["own"], 0, least - GRAM, least)
-                if len(out) > 20_000:
+                    _, first, last, _ = unpacked(o["at"])
+                    if last + least <= len(content):
+                        out.append((i, o["at"], o["own"], first, content[first : last + least]))
+                if len(out) > 10_000:
                     yield _emit(out)
                     out = []
             if out:
                 yield _emit(out)
 
-    spans = same
-    level = stored(read.mapInArrow(cut, CONTEXT), "halves").dropDuplicates(["a", "b", "id", "at"])
+    # Rows that share id and text have the same contexts, so one of them is enough.
+    whole = read.mapInArrow(cut, CONTEXT).dropDuplicates(["id", "at"])
+    whole = whole.select(F.lit(0).alias("a"), F.lit(least - GRAM).alias("b"), "id", "at", "own", "start", "context")
+    level = stored(halved(whole, least), "halves")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        counted = level.groupBy("core").agg(F.count("*").alias("met")).filter("met > 1")
-        level = stored(level.join(counted, "core"), "cores")
-        few = level.filter(F.col("met") <= contexts).drop("met")
-        searched = few.repartition("core").sortWithinPartitions("core").mapInArrow(lambda b: _compared(b, least), SPAN)
-        spans = spans.unionByName(searched)
-        many = level.filter(F.col("met") > contexts)
-        # Windows that were halved down to one are equal if their cores are.
-        equal = many.filter("a = b and own").select(*span("at", F.col("start"), F.col("start") + least))
-        spans = spans.unionByName(equal)
-        many = many.filter("a < b").drop("met")
+        kinds = stored(level.groupBy("core", "same").agg(F.count("*").alias("n"), F.first(F.struct("a", "b", "id", "at", "own", "start", "context")).alias("one")), "kinds")
+        equal = level.filter("own").join(kinds.filter("n > 1").select("core", "same"), ["core", "same"])
+        spans = spans.unionByName(equal.select("id", _tag(), "start", (F.col("start") + F.length("context")).alias("stop")))
+        several = kinds.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+        left = kinds.join(several, "core").select("core", "kinds", "one.*", (F.col("one.own") & (F.col("n") == 1)).alias("alone")).drop("own").withColumnRenamed("alone", "own")
+        left = stored(left, "cores")
+        few = left.filter(F.col("kinds") <= contexts)
+        spans = spans.unionByName(few.repartition(parts, "core").sortWithinPartitions("core").mapInArrow(lambda b: _compared(b, least), SPAN))
+        # One window has one context, so these can be halved.
+        many = left.filter(F.col("kinds") > contexts)
         if many.isEmpty():
             return spans
-
-        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if out := [h for r in batch.to_pylist() for h in _half_contexts(r["context"], r["start"], r["id"], r["at"], r["own"], r["a"], r["b"], least)]:
-                    yield _emit(out)
-
-        level = stored(many.mapInArrow(split, CONTEXT), "halves")
+        level = stored(halved(many, least), "halves")
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, contexts: int = CONTEXTS, with_text: bool = False) -> DataFrame:
