@@ -244,6 +244,14 @@ def msh26_delaunay_check(spark: SparkSession, d: str) -> DataFrame:
     return hit.select("elem", F.col("pid").alias("nid"))
 
 
+@query()
+def msh27_delaunay(spark: SparkSession, d: str) -> DataFrame:
+    """Triangles over each user's points."""
+    from latticework.operators.triangulation import triangulated
+
+    return triangulated(T.points_ev(spark, d).withColumnRenamed("user_id", "grp"))
+
+
 @query(sql("SELECT s.sgm, s.lo, s.hi, min(f.elem) AS first, max(f.elem) AS last FROM (SELECT a.sgm, least(a.nid, b.nid) AS lo, greatest(a.nid, b.nid) AS hi FROM mesh_insgm a JOIN mesh_insgm b ON a.sgm = b.sgm AND b.seq = a.seq + 1) s JOIN mesh_face f USING (lo, hi) GROUP BY 1, 2, 3"))
 def msh34_elements_along_segments(spark: SparkSession, d: str) -> DataFrame:
     s = M.wall_faces(T.mesh_insgm(spark, d))

@@ -111,3 +111,22 @@ def test_step_texts_round_trip(spark):
 def test_settings(spark):
     lines = spark.createDataFrame([("a = 1.5 # x",), ("b <- text // y",), ("# only a note",), ("",), (None,)], "line string")
     assert sorted(tuple(r) for r in X.settings(lines).collect()) == [("a", "1.5", 1.5), ("b", "text", None)]
+
+
+def test_triangulation_has_empty_circles():
+    import numpy as np
+
+    from latticework.operators.triangulation import delaunay
+
+    rng = np.random.default_rng(1)
+    x, y = rng.random(120), rng.random(120)
+    t = delaunay(x, y)
+    for a, b, c in t:
+        bx, by, cx, cy = x[b] - x[a], y[b] - y[a], x[c] - x[a], y[c] - y[a]
+        det = 2 * (bx * cy - by * cx)
+        ux, uy = (cy * (bx**2 + by**2) - by * (cx**2 + cy**2)) / det, (bx * (cx**2 + cy**2) - cx * (bx**2 + by**2)) / det
+        assert det > 0 and ((x - x[a] - ux) ** 2 + (y - y[a] - uy) ** 2 >= (ux**2 + uy**2) * (1 - 1e-9)).all()
+    edges = {tuple(sorted(e)) for q in t.tolist() for e in zip(q, q[1:] + q[:1])}
+    assert 120 - len(edges) + len(t) == 1  # vertices less edges plus triangles
+    gx, gy = (v.ravel().astype(float) for v in np.meshgrid(np.arange(12) * 10, np.arange(12) * 10))
+    assert len(delaunay(gx, gy)) == 2 * 11 * 11 and len(delaunay(gx[:2], gy[:2])) == 0
