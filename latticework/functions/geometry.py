@@ -6,18 +6,32 @@ definite result (a circle through collinear points, a unit vector of no length)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Point = tuple[Column, Column]
+Point = "tuple[Column, Column] | Named"
 #: Tolerances of lengths, of squared lengths, of the in-circle test and of level sets (fixed values).
 TOL, TOL2, CIRCLE_TOL, LEVEL_TOL = 1.5e-8, 2.25e-16, 1e-9, 1e-6
 
 
-def point(x: str, y: str) -> Point:
-    return F.col(x), F.col(y)
+class Named:
+    """A point by the names of its columns, which it looks up when used, so that it can be made without a session."""
+
+    def __init__(self, x: str, y: str):
+        self.names = x, y
+
+    def __getitem__(self, k: int) -> Column:
+        return F.col(self.names[k])
+
+    def __iter__(self) -> Iterator[Column]:
+        return (F.col(n) for n in self.names)
+
+
+def point(x: str, y: str) -> Named:
+    return Named(x, y)
 
 
 def dist2(a: Point, b: Point) -> Column:

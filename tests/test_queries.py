@@ -23,3 +23,12 @@ def test_entry(spark):
 
 def test_every_query_is_named_by_its_operator():
     assert all(name[0].isalpha() and any(c.isdigit() for c in name.split("_")[0]) for name in QUERIES)
+
+
+def test_queries_can_be_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
