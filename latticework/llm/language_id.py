@@ -7,7 +7,6 @@ so that a text of several languages falls into spans; the document's language is
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,22 +27,39 @@ SCRIPTS = (
 )
 STARTS = np.array([start for start, _ in SCRIPTS])
 NAMES = sorted({name for _, name in SCRIPTS})
-#: Learned rows of each language at most, n-gram lengths, hash buckets, smoothing, cost of a switch, words a task remembers.
-LEARN_ROWS, GRAMS, BUCKETS, SMOOTH, SWITCH, REMEMBERED = 1000, (1, 2, 3), 1 << 15, 0.5, 12.0, 500_000
-#: Characters of a word from which it is forgotten at once.
-LONG = 64
-NOT_LETTERS, NOT_IN_WORD = regex.compile(r"\P{L}+"), regex.compile(r"[^\p{L}\p{M}]+")
-
-
-def script_of(word: str) -> int:
-    """The script of a word's first letter, as a place in NAMES."""
-    return NAMES.index(SCRIPTS[int(np.searchsorted(STARTS, ord(word[0]), "right")) - 1][1])
-
-
-def grams_of(word: str) -> list[int]:
-    """Buckets of a lower-case word's n-grams between boundary marks."""
-    marked = f"^{word}$"
-    return [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
+SCRIPT_OF = np.array([NAMES.index(name) for _, name in SCRIPTS])
+#: Learned rows of each language at most, n-gram lengths, bits of the hash, smoothing, cost of a switch, words a task remembers.
+LEARN_ROWS, GRAMS, BUCKET_BITS, SMOOTH, SWITCH, REMEMBERED = 1000, (1, 2, 3), 15, 0.5, 12.0, 500_000
+BUCKETS = 1 << BUCKET_BITS
+#: Characters of a word from which it is forgotten at once, and bytes of text that are looked up together.
+LONG, TOGETHER = 64, 1 << 20
+NOT_LETTERS, NOT_IN_WORD = regex.compile(r"[^\p{L}\n]+"), regex.compile(r"[^\p{L}\p{M}\n]+")
+#: Odd multipliers of the n-gram hash.
+MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, ...]:
+    """(letters, script, bucket, word): of each word its letters and the script of the first one as a place in NAMES;
+    then each n-gram's bucket and the place of its word, n-grams taken in lower case between boundary marks.
+    """
+    joined = "\n".join(words)
+    letters = np.array([len(w) for w in NOT_LETTERS.sub("", joined).split("\n")], np.int64)
+    marked = "^" + NOT_IN_WORD.sub("", joined).lower().replace("\n", "$^") + "$"
+    code = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)
+    opens = code == ord("^")
+    word = np.cumsum(opens) - 1
+    script = SCRIPT_OF[np.searchsorted(STARTS, code[np.flatnonzero(opens) + 1], "right") - 1]
+    buckets, of = [], []
+    wide = code.astype(np.uint64)
+    for n in GRAMS:
+        h = np.full(len(code) - n + 1, n, np.uint64)
+        for k in range(n):
+            h = (h ^ wide[k : len(code) - n + 1 + k]) * MIX_1
+            h ^= h >> np.uint64(29)
+        inside = word[: len(h)] == word[n - 1 :]
+        buckets.append(((h * MIX_2) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)[inside])
+        of.append(word[: len(h)][inside])
+    return letters, script, np.concatenate(buckets), np.concatenate(of)
 
 
 class Model:
@@ -51,58 +67,64 @@ class Model:
 
     def __init__(self, languages: list[str], logs: np.ndarray, allowed: np.ndarray):
         self.languages, self.logs, self.allowed = languages, logs, allowed
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.used = 0
-        self.rows = np.zeros((1024, len(languages)))
-        self.letters = np.zeros(1024, np.int64)
+        self.rows = np.zeros((1 << 16, len(languages)))
+        self.letters = np.zeros(1 << 16, np.int64)
 
-    def look_up(self, words: list[str]) -> np.ndarray:
+    def look_up(self, words: list[bytes]) -> np.ndarray:
         """Rows of the words in the table of scores, which grows by those not met before."""
-        get = self.known.get
-        found = [get(w, -1) for w in words]
-        if min(found, default=0) < 0:
-            if self.used > REMEMBERED:
-                self.known.clear()
-                self.used = 0
-            for w in [w for w in dict.fromkeys(words) if w not in self.known]:
-                row = self.known[w] = self.used
-                self.used += 1
-                if row >= len(self.rows):
-                    self.rows, self.letters = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
-                self.rows[row], self.letters[row] = self.score(w), len(NOT_LETTERS.sub("", w))
-            found = [self.known[w] for w in words]
-            for w in [w for w in words if len(w) > LONG]:
-                self.known.pop(w, None)
-        return np.array(found, np.int64)
-
-    def score(self, word: str) -> np.ndarray:
-        letters = NOT_IN_WORD.sub("", word).lower()
-        if not NOT_LETTERS.sub("", letters):
-            return np.zeros(len(self.languages))
-        can = self.allowed[script_of(letters)]
-        if not can.any():
-            return np.zeros(len(self.languages))
-        s = self.logs[grams_of(letters)].sum(axis=0)
-        s -= s[can].max()
-        # A candidate is never better off than by a fixed bound, so that one odd word doesn't decide a text.
-        return np.maximum(np.where(can, s, -np.inf), -3.0 * SWITCH)
-
-    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Language of each word, as a place in languages, and the letters of each word."""
-        words = text.encode().split()
-        at = self.look_up([w.decode() for w in words])
-        return viterbi(self.rows[at]), self.letters[at]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages:
-            return "und", 0.0
-        path, letters = self.spans(text)
-        total = letters.sum()
-        if not total:
-            return "und", 0.0
-        by = np.bincount(path, weights=letters, minlength=len(self.languages))
-        best = int(by.argmax())
-        return self.languages[best], float(by[best] / total)
+        if self.used > REMEMBERED:
+            self.known.clear()
+            self.used = 0
+        known = self.known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            end = self.used + len(new)
+            while end > len(self.rows):
+                self.rows, self.letters = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
+            self.rows[self.used : end], self.letters[self.used : end] = self.scores([w.decode() for w in new])
+            known.update(zip(new, range(self.used, end)))
+            self.used = end
+        found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        return found
+
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of words by language, at most 0, and their letters. Without letters or candidates all are 0."""
+        letters, script, bucket, of = features(words)
+        n = len(words)
+        s = np.stack([np.bincount(of, weights=self.logs[bucket, k], minlength=n) for k in range(len(self.languages))], axis=1)
+        can = self.allowed[script]
+        s = np.where(can, s, -np.inf)
+        top = s.max(axis=1)
+        flat = ~can.any(axis=1) | (letters == 0)
+        # A language is never worse off than by a fixed bound, so that one odd word doesn't decide a text.
+        s = np.maximum(s - np.where(flat, 0, top)[:, None], -3.0 * SWITCH)
+        s[flat] = 0
+        return s, letters
+
+    def spans(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the language of each word, as a place in languages, and the letters of each word."""
+        split = [t.split() for t in texts]
+        at = self.look_up([w for words in split for w in words])
+        begin = 0
+        for words in split:
+            own = at[begin : begin + len(words)]
+            begin += len(words)
+            yield viterbi(self.rows[own]), self.letters[own]
+
+    def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [("und", 0.0)] * len(texts)
+        out = []
+        for path, letters in self.spans([t or b"" for t in texts]):
+            by = np.bincount(path, weights=letters, minlength=len(self.languages))
+            best = int(by.argmax())
+            out.append((self.languages[best], float(by[best] / by.sum())) if by[best] else ("und", 0.0))
+        return out
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -141,7 +163,7 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 def learn(docs: DataFrame, folds: int = 5, held: int = 0) -> Model:
     """The model from rows (id, text, lang): at most LEARN_ROWS of each language, those of the smallest hash of the id.
 
-    Held-out rows and rows without an id, text or language are never read as examples. Spark counts n-grams in a fixed number of buckets.
+    Held-out rows and rows without an id, text or language are never read as examples. Spark counts n-grams in a fixed number of buckets for each language.
     """
     can = docs.filter("lang is not null and text is not null and id is not null").filter(crc_fold("id", folds) != held)
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
@@ -152,23 +174,31 @@ def learn(docs: DataFrame, folds: int = 5, held: int = 0) -> Model:
         sums: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, word, n in zip(batch["lang"].to_pylist(), batch["word"].to_pylist(), batch["count"].to_pylist()):
-                if NOT_LETTERS.sub("", letters := NOT_IN_WORD.sub("", word).lower()):
-                    if lang not in sums:
-                        sums[lang], scripts[lang] = np.zeros(BUCKETS), np.zeros(len(NAMES))
-                    np.add.at(sums[lang], grams_of(letters), n)
-                    scripts[lang][script_of(letters)] += n
+            if not batch.num_rows:
+                continue
+            langs, n = np.array(batch["lang"].to_pylist(), object), np.asarray(batch["count"]).astype(float)
+            letters, script, bucket, of = features(batch["word"].to_pylist())
+            n[letters == 0] = 0
+            for lang in set(langs):
+                own = langs == lang
+                take = own[of]
+                sums[lang] = sums.get(lang, 0) + np.bincount(bucket[take], weights=n[of[take]], minlength=BUCKETS)
+                scripts[lang] = scripts.get(lang, 0) + np.bincount(script[own], weights=n[own], minlength=len(NAMES))
         for lang, counts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([counts.tolist()]), pa.array([scripts[lang].tolist()])], ["lang", "counts", "scripts"])
-
-    parts = words.repartition(8, "lang", "word").mapInArrow(count, "lang string, counts array<double>, scripts array<double>")
-    # Eight rows of fixed length for each language at most.
-    rows = parts.collect()
-    languages = sorted({r["lang"] for r in rows})
+            whole = np.r_[counts, scripts[lang]]
+            at = np.flatnonzero(whole)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(whole[at])], ["lang", "at", "n"])
+
+    parts = words.repartition("lang", "word").mapInArrow(count, "lang string, at long, n double")
+    # A row for each language and bucket or script at most.
+    table = parts.groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    names = table["lang"].to_pylist()
+    languages = sorted(set(names))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(NAMES), 0), bool))
-    counts = np.array([sum(np.array(r["counts"]) for r in rows if r["lang"] == x) for x in languages]).T
-    scripts = np.array([sum(np.array(r["scripts"]) for r in rows if r["lang"] == x) for x in languages]).T
+    whole = np.zeros((BUCKETS + len(NAMES), len(languages)))
+    whole[np.asarray(table["at"]), np.searchsorted(languages, names)] = np.asarray(table["n"])
+    counts, scripts = whole[:BUCKETS], whole[BUCKETS:]
     logs = np.log((counts + SMOOTH) / (counts + SMOOTH).sum(axis=0))
     return Model(languages, logs, scripts >= 0.01 * scripts.sum(axis=0))
 
@@ -186,8 +216,15 @@ def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Model(*sent.value)
         for batch in batches:
-            found = [judge.predict(t.as_py()) for t in batch["text"]]
+            found, texts, size = [], [], 0
+            for t in batch["text"]:
+                texts.append(t.as_py())
+                size += len(texts[-1] or b"")
+                if size > TOGETHER:
+                    found += judge.predict(texts)
+                    texts, size = [], 0
+            found += judge.predict(texts)
             yield pa.RecordBatch.from_arrays([batch["id"], batch["held_out"], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [id_column, "held_out", "lang_pred", "score"])
 
     held_out = F.coalesce(crc_fold("id", folds) == held, F.lit(False)).alias("held_out")
-    return rows.select("id", held_out, "text").mapInArrow(run, f"{id_column} {docs.schema[id_column].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return rows.select("id", held_out, F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{id_column} {docs.schema[id_column].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
