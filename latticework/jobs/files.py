@@ -116,7 +116,7 @@ def msh28_check_models(spark: SparkSession, d: str) -> DataFrame:
     return M.check(v, e)
 
 
-@query(sql("SELECT poly_id AS model, CAST(seq AS BIGINT) AS eid, CASE WHEN poly_id % 200 = 0 THEN 0 WHEN seq < 4 THEN 0 ELSE 4 END AS wire FROM rings"))
+@query(sql("SELECT poly_id AS model, CAST(seq AS BIGINT) AS eid, CAST(CASE WHEN poly_id % 200 = 0 THEN 0 WHEN seq < 4 THEN 0 ELSE 4 END AS BIGINT) AS wire FROM rings"))
 def msh29_wires(spark: SparkSession, d: str) -> DataFrame:
     # Every other ring has spurs at vertices 0 and 4, which cut it into two wires.
     _, e, _ = _ring_models(spark, d)
@@ -142,7 +142,7 @@ def msh33_subarea_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql("""WITH n AS (SELECT f.lo AS a, f.hi AS b FROM (SELECT DISTINCT lo, hi FROM mesh_face) f UNION ALL SELECT f.hi, f.lo FROM (SELECT DISTINCT lo, hi FROM mesh_face) f), d AS (SELECT a, (q.x-p.x)/l AS ux, (q.y-p.y)/l AS uy, ((2*q.x-q.y)-(2*p.x-p.y))/l AS s
-    FROM (SELECT a, p, q, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) AS l FROM n JOIN mesh_node p ON p.nid = a JOIN mesh_node q ON q.nid = b)) SELECT a AS nid, 2.0 AS gx, -1.0 AS gy FROM d GROUP BY a HAVING sum(ux*ux)*sum(uy*uy)-sum(ux*uy)*sum(ux*uy) > 1e-6"""))
+    FROM (SELECT a, p, q, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) AS l FROM n JOIN mesh_node p ON p.nid = a JOIN mesh_node q ON q.nid = b)) SELECT a AS nid, 2.0::DOUBLE AS gx, -1.0::DOUBLE AS gy FROM d GROUP BY a HAVING sum(ux*ux)*sum(uy*uy)-sum(ux*uy)*sum(ux*uy) > 1e-6"""))
 def msh32_local_derivative(spark: SparkSession, d: str) -> DataFrame:
     """Least-squares gradient of f = 2 x - y at each node from its neighbours, which is (2, -1) up to rounding."""
     from latticework.operators.mesh import edge_table

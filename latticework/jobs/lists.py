@@ -27,7 +27,7 @@ def win7_best_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return R.best_accuracy(T.ranked(spark, d)).select("list_id", r6(F.col("accuracy")).alias("accuracy"))
 
 
-@query(sql("WITH r AS (SELECT *, sum(label) OVER w AS tp, sum(1-label) OVER w AS fp, sum(label) OVER (PARTITION BY list_id) AS pos, sum(1-label) OVER (PARTITION BY list_id) AS neg FROM ranked WINDOW w AS (PARTITION BY list_id ORDER BY score DESC, doc_id)) SELECT list_id, round(min(fp) FILTER (tp >= ceil(pos/2.0)) / any_value(neg), 6) AS rfp FROM r GROUP BY list_id"))
+@query(sql("WITH r AS (SELECT *, sum(label) OVER w AS tp, sum(1-label) OVER w AS fp, sum(label) OVER (PARTITION BY list_id) AS pos, sum(1-label) OVER (PARTITION BY list_id) AS neg FROM ranked WINDOW w AS (PARTITION BY list_id ORDER BY score DESC, doc_id)) SELECT list_id, round(min(fp) FILTER (tp >= ceil(pos/2.0)) / nullif(any_value(neg), 0), 6) AS rfp FROM r GROUP BY list_id"))
 def win8_median_rfp(spark: SparkSession, d: str) -> DataFrame:
     return R.median_rfp(T.ranked(spark, d)).select("list_id", r6(F.col("rfp")).alias("rfp"))
 

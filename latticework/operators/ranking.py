@@ -36,10 +36,10 @@ def best_accuracy(ranked: DataFrame) -> DataFrame:
 
 
 def median_rfp(ranked: DataFrame) -> DataFrame:
-    """(list_id, rfp): share of negatives before half of the positives are reached; ties by doc_id."""
+    """(list_id, rfp): share of negatives before half of the positives are reached, null without negatives; ties by doc_id."""
     w, all_of = W.partitionBy("list_id").orderBy(F.desc("score"), "doc_id"), W.partitionBy("list_id")
     r = ranked.select("list_id", F.sum("label").over(w).alias("tp"), F.sum(1 - F.col("label")).over(w).alias("fp"), F.sum("label").over(all_of).alias("pos"), F.sum(1 - F.col("label")).over(all_of).alias("neg"))
-    return r.groupBy("list_id").agg((F.min(F.when(F.col("tp") >= F.ceil(F.col("pos") / 2.0), F.col("fp"))) / F.max("neg")).alias("rfp"))
+    return r.groupBy("list_id").agg(F.try_divide(F.min(F.when(F.col("tp") >= F.ceil(F.col("pos") / 2.0), F.col("fp"))), F.max("neg")).alias("rfp"))
 
 
 def collapse_collinear(wires: DataFrame, tol: float, most_rounds: int = 200) -> DataFrame:
