@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.sources.scratch import shared_dir, stored
 
-__all__ = ["SPACE", "WORD", "crc_fold", "shared_dir", "stored", "table", "text_or_empty", "words_of"]
+__all__ = ["SPACE", "WORD", "crc_fold", "fields", "picked", "shared_dir", "stored", "table", "text_or_empty", "words_of"]
 
 #: A word is a maximal run of anything but ASCII white space; bytes.split() splits at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,3 +31,20 @@ def words_of(text: Column) -> Column:
 def crc_fold(id_column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null where the id is null."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % folds
+
+
+def fields(row: str, names: list[str]) -> list[Column]:
+    """The columns that a struct column holds, under their own names."""
+    return [F.col(row).getField(n).alias(n) for n in names]
+
+
+def picked(docs: DataFrame, keys: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The rows of docs that keys names, each key once: row, a struct of all columns, beside the columns of keys.
+
+    keys is a stored table that holds each key once, as key_<name> for each of columns, with key_rows, the number of rows of docs
+    that have it. Nulls are equal. Rows that share a key are rare; only for them is there a second look at docs.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+    same = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"key_{name}")) for name in columns])
+    once, several = whole.join(keys.filter("key_rows = 1"), same), keys.filter("key_rows > 1")
+    return once if several.isEmpty() else once.unionByName(whole.join(several, same).dropDuplicates(list(columns)))

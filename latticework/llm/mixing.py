@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from latticework.llm.common import WORD, stored, text_or_empty
+from latticework.llm.common import WORD, fields, picked, stored, text_or_empty
 
 #: Expected copies are added as whole multiples of 1 / UNIT, so sums are the same in any order.
 UNIT = 1 << 20
@@ -87,12 +87,15 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 
 
 def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: str = SEED) -> DataFrame:
-    """docs with each row as often as the mix takes it, columns as they are."""
-    text = F.xxhash64(text_or_empty(f"`{text_column}`"))
-    keyed = docs.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"), F.col(f"`{source_column}`"), F.struct(F.col(f"`{id_column}`").alias("id"), text.alias("h")).alias("key"))
-    taken = mix(keyed.withColumn(id_column, F.col("key")), id_column, text_column, source_column, seed).filter("copies > 0")
-    # Rows that are equal in source, id and text share one entry here and one place in docs.
-    taken = taken.groupBy(F.col("id.id").alias("of_id"), F.col("id.h").alias("of_h"), F.col("source").alias("of_source")).agg(F.sum("copies").alias("of_copies"), F.count("*").alias("of_rows"))
-    same = docs[id_column].eqNullSafe(F.col("of_id")) & (text == F.col("of_h")) & docs[source_column].eqNullSafe(F.col("of_source"))
-    found = docs.join(taken, same).withColumn("of_place", F.when(F.col("of_rows") > 1, F.row_number().over(W.partitionBy("of_id", "of_h", "of_source").orderBy("of_h"))).otherwise(1))
-    return found.filter("of_place = 1").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("of_copies"))).alias("of_copy")).drop("of_copy")
+    """docs with each row as often as the mix takes it, columns as they are.
+
+    Nulls, empty texts and repeated rows count as in mix(); other columns may have any names. An empty table gives no rows.
+    """
+    text = f"`{text_column}`"
+    key = {"id": F.col(f"`{id_column}`"), "h": F.xxhash64(text_or_empty(text)), "source": F.col(f"`{source_column}`")}
+    slim = docs.select(F.struct(key["id"].alias("id"), key["h"].alias("h")).alias("key"), F.col(text).alias("text"), key["source"].alias("source"))
+    taken = mix(slim, "key", "text", "source", seed)
+    # Rows that are equal in source, id and text share one entry here, and one of them stands for all.
+    entries = taken.groupBy(F.col("id.id").alias("key_id"), F.col("id.h").alias("key_h"), F.col("source").alias("key_source")).agg(F.sum("copies").alias("copies"), F.count("*").alias("key_rows"))
+    found = picked(docs, stored(entries.filter("copies > 0"), "taken"), key)
+    return found.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*fields("row", docs.columns))

@@ -98,8 +98,17 @@ def cleaned_text(text: Column) -> Column:
 
 
 def passing(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """The rows of docs whose text passes, columns as they are."""
+    """The rows of docs whose text passes, with the lines that fail removed from it; other columns as they are.
+
+    Nulls, empty texts and repeated rows count as in quality(). An empty table gives no rows.
+    """
     text = text_or_empty(f"`{text_column}`")
-    lost = F.aggregate(F.filter(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)), line_fails), F.lit(0).cast("long"), lambda n, x: n + F.size(words_of(x)))
     n = F.regexp_count(text, F.lit(WORD))
-    return docs.filter((n >= LEAST_WORDS) & (100 * lost <= LOST_PERCENT * n)).filter(100 * repeated_words(words_of(text)) <= REPEAT_PERCENT * n)
+
+    def kept(clean: Column) -> Column:
+        # Lines that fail have words, so the words that are missing are theirs.
+        return F.when(100 * (n - F.regexp_count(clean, F.lit(WORD))) <= LOST_PERCENT * n, F.array(clean))
+
+    sound = docs.filter(n >= LEAST_WORDS).filter(100 * repeated_words(words_of(text)) <= REPEAT_PERCENT * n)
+    # One expression judges the lines once: exploding its array of one or no text drops what is rejected.
+    return sound.select(*[F.explode(let(cleaned_text(text), kept)).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])

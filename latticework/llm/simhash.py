@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import stored, text_or_empty
+from latticework.llm.common import fields, picked, stored, text_or_empty
 from latticework.operators.components import star_edges
 
 BITS, SHINGLE, SEED = 2, 3, 42
@@ -206,8 +206,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest id, columns as they are."""
-    stay = near_duplicates(docs, id_column, text_column).filter(F.col(id_column).eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col(id_column).alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct()
-    text = F.xxhash64(text_or_empty(f"`{text_column}`"))
-    return docs.join(stay, docs[id_column].eqNullSafe(F.col("stay_id")) & (text == F.col("stay_hash")), "left_semi")
+    """The rows of docs that stay: of each component one row with the smallest id, columns as they are.
+
+    Of repeated rows one stays, of several texts with that id the one of smallest hash. Rows without an id count as
+    larger than any; where a component has no others, one stays for each fingerprint. Other columns may have any
+    names. An empty table gives no rows.
+    """
+    found = near_duplicates(docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text")), "id")
+    least = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", F.when(F.col("id").isNull(), F.col("fingerprint")).alias("alone"), "text_hash").agg(F.count("*").alias("key_rows"))
+    stay = least.groupBy(F.col("id").alias("key_id"), "alone").agg(F.min(F.struct("text_hash", "key_rows")).alias("m")).select("key_id", F.col("m.text_hash").alias("key_h"), "m.key_rows")
+    key = {"id": F.col(f"`{id_column}`"), "h": F.xxhash64(text_or_empty(f"`{text_column}`"))}
+    return picked(docs, stored(stay, "staying"), key).select(*fields("row", docs.columns))

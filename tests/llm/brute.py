@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 
 import xxhash
@@ -18,6 +19,19 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 
 
+def cleaned(text: str | None) -> str:
+    """The text without lines that are noisy, lists of links or notices."""
+
+    def fails(line: str) -> bool:
+        words = [w for w in re.split("[ \t\n\v\f\r]+", line) if w]
+        noisy = sum(any(c in w for c in "#*$%&<>") or bool(re.search("[!?]{2}", w)) for w in words)
+        separators = sum(w in list("|>»•·") for w in words)
+        notice = re.search("all rights reserved|cookie policy|privacy policy|terms of (use|service)|accept (all )?cookies|subscribe to our newsletter|click here|licensed under|share on (facebook|twitter)|skip to (main )?content|^copyright |^©", line, re.I | re.A)
+        return bool(words) and (noisy >= 0.3 * len(words) or (separators > 1 and 5 * separators >= len(words)) or (bool(notice) and len(words) <= 30))
+
+    return "\n".join(x for x in (text or "").split("\n") if not fails(x))
+
+
 def components(prints: dict[int, int], bits: int = 2) -> dict[int, int]:
     """The smallest id reachable over pairs of at most bits differing bits."""
     parent = {k: k for k in prints}

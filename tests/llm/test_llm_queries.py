@@ -5,7 +5,7 @@ from collections import defaultdict
 from pathlib import Path
 
 import pytest
-from brute import components, fingerprint, removed
+from brute import cleaned, components, fingerprint, removed
 from oracle import same
 
 from latticework.llm import queries as Q
@@ -94,7 +94,9 @@ def test_pipeline_stages(spark):
         assert docs.columns == columns or name == P.STAGES[-1][0]
     kept = {r["doc_id"] for r in QUERIES["op1_quality_rules"](spark, SF).filter("kept").collect()}
     assert {r["doc_id"] for r in found["quality_rules"].collect()} == kept
-    texts = {r["doc_id"]: r["text"] for r in before.collect() if r["doc_id"] in kept}
+    texts = {r["doc_id"]: cleaned(r["text"]) for r in before.collect() if r["doc_id"] in kept}
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in found["quality_rules"].collect()} == {k: (t, len(t)) for k, t in texts.items()}
+    assert any(texts[r["doc_id"]] != r["text"] for r in before.collect() if r["doc_id"] in kept)
     first = {}
     for k in sorted(texts):
         first.setdefault(b" ".join((b"|" + texts[k].encode() + b"|").split()), k)
