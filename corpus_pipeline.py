@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of close fingerprints."""
-    return one_of_each(docs)
+    """One document of each component of close fingerprints and of texts of a Jaccard similarity of 0.8 over five words."""
+    return one_of_each(docs, close=True)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticework.llm.close_copies import close_links
 from latticework.llm.common import fields, picked, stored, text_or_empty
 from latticework.operators.components import star_edges
 
@@ -185,35 +186,40 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return source.mapInArrow(run, f"id {docs.schema[id_column].dataType.simpleString()}, text_hash long, fp long, rank long")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
-    """(id, fingerprint, component_id, text_hash) for each row of docs.
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", node_rows: int = NODE_ROWS, close: bool = False) -> DataFrame:
+    """(id, fingerprint, component_id, text_hash, root) for each row of docs.
 
-    component_id is the smallest id reachable over links, null ids left out; a component of null ids only has null.
+    component_id is the smallest id reachable over links, null ids left out; a component of null ids only has null. root
+    is a fingerprint that stands for the component. With close, texts of a Jaccard similarity of 0.8 over five words link too.
     Texts without words all have fingerprint zero. Repeated rows and equal texts share a fingerprint and meet there,
     before any search. An empty table gives no rows.
     """
     prints = stored(fingerprints(docs, id_column, text_column), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least"), F.first("rank").alias("rank")), "distinct-fingerprints")
-    roots = star_edges(near_links(distinct, node_rows))
+    links = near_links(distinct, node_rows)
+    if close:
+        text = text_or_empty(f"`{text_column}`")
+        links = close_links(docs.select(F.xxhash64(text).alias("doc"), text.alias("text")), prints.select(F.col("text_hash").alias("doc"), "fp"), stored(links, "near-links"))
+    roots = star_edges(links)
     rooted = distinct.join(roots, F.col("fp") == F.col("id"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     # Only components of several fingerprints need another look.
     several = rooted.join(roots.select(F.col("component").alias("root")).distinct(), "root")
     named = several.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = several.join(named, "root").select("fp", "component_id")
-    single = rooted.join(roots.select(F.col("component").alias("root")).distinct(), "root", "left_anti").select("fp", F.col("least").alias("component_id"))
+    linked = several.join(named, "root").select("fp", "component_id", "root")
+    single = rooted.join(roots.select(F.col("component").alias("root")).distinct(), "root", "left_anti").select("fp", F.col("least").alias("component_id"), "root")
     of = stored(linked.unionByName(single), "components")
-    return prints.join(of, "fp").select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+    return prints.join(of, "fp").select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root")
 
 
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", close: bool = False) -> DataFrame:
     """The rows of docs that stay: of each component one row with the smallest id, columns as they are.
 
     Of repeated rows one stays, of several texts with that id the one of smallest hash. Rows without an id count as
-    larger than any; where a component has no others, one stays for each fingerprint. Other columns may have any
+    larger than any; where a component has no others, one of its rows stays. close is as in near_duplicates. Other columns may have any
     names. An empty table gives no rows.
     """
-    found = near_duplicates(docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text")), "id")
-    least = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", F.when(F.col("id").isNull(), F.col("fingerprint")).alias("alone"), "text_hash").agg(F.count("*").alias("key_rows"))
+    found = near_duplicates(docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text")), "id", close=close)
+    least = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", F.when(F.col("id").isNull(), F.col("root")).alias("alone"), "text_hash").agg(F.count("*").alias("key_rows"))
     stay = least.groupBy(F.col("id").alias("key_id"), "alone").agg(F.min(F.struct("text_hash", "key_rows")).alias("m")).select("key_id", F.col("m.text_hash").alias("key_h"), "m.key_rows")
     key = {"id": F.col(f"`{id_column}`"), "h": F.xxhash64(text_or_empty(f"`{text_column}`"))}
     return picked(docs, stored(stay, "staying"), key).select(*fields("row", docs.columns))
