@@ -200,4 +200,4 @@ def srt5_sorted_rows(spark: SparkSession, d: str) -> DataFrame:
     p3 AS (SELECT a.item AS i1, b.item AS i2, c.item AS i3, count(*) AS support FROM t a JOIN t b ON a.tid = b.tid AND a.item < b.item SEMI JOIN p2 ON p2.i1 = a.item AND p2.i2 = b.item JOIN t c ON a.tid = c.tid AND b.item < c.item GROUP BY 1, 2, 3 HAVING count(*) >= 20)
     SELECT item AS items, support FROM l1 UNION ALL SELECT i1 || '+' || i2, support FROM p2 UNION ALL SELECT i1 || '+' || i2 || '+' || i3, support FROM p3"""))
 def min1_frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
-    return S.frequent_itemsets(T.tx(spark, d), 20, 1_000_000, 3).select(F.array_join("items", "+").alias("items"), "support")
+    return S.frequent_itemsets(T.tx(spark, d), 20, None, 3).select(F.array_join("items", "+").alias("items"), "support")
