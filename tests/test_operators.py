@@ -143,3 +143,25 @@ def test_frequent_itemsets_bound_single_items_only_if_asked(spark, monkeypatch):
     monkeypatch.setattr(matrix.S, "frequent_itemsets", lambda rows, least, most, longest: asked.append(most) or found(rows, least, most, longest))
     matrix.min1_frequent_itemsets(spark, "/root/testdata/sf0.001")
     assert asked == [None]
+
+
+def test_second_vector_equals_a_dense_solver(spark, monkeypatch):
+    import numpy as np
+
+    from latticework.jobs import files
+
+    rng = random.Random(4)
+    # Two loose clusters of unequal degree, and a hub.
+    edges = {(a, b): float(rng.randint(1, 3)) for a in range(41) for b in range(a + 1, 41) if rng.random() < (0.3 if (a < 20) == (b < 20) else 0.02)} | {(0, b): 2.0 for b in range(1, 20)} | {(20, b): 1.0 for b in range(21, 41)}
+    dense = np.zeros((41, 41))
+    for (a, b), w in edges.items():
+        dense[a, b] = dense[b, a] = -w
+    dense -= np.diag(dense.sum(axis=1))
+    values, vectors = np.linalg.eigh(dense)
+    assert values[1] > 1e-6
+    both = spark.createDataFrame([(*e, w) for (a, b), w in edges.items() for e in ((a, b), (b, a))], "src long, dst long, w double")
+    monkeypatch.setattr(files.T, "edges_sym", lambda s, d: both)
+    part = {r["id"]: r["part"] for r in files.gra10_spectral_partition(spark, "").collect()}
+    order = np.argsort(vectors[:, 1])
+    one, other = set(order[:21].tolist()), set(order[20:].tolist())  # a vector and its negative are alike
+    assert {k for k, p in part.items() if p == 0} in (one, other)
