@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.sources.scratch import shared_dir, stored
+from latticework.sources.scratch import released, shared_dir, stored
 
-__all__ = ["SPACE", "WORD", "crc_fold", "fields", "picked", "shared_dir", "stored", "table", "text_or_empty", "words_of"]
+__all__ = ["SPACE", "WORD", "crc_fold", "fields", "picked", "released", "shared_dir", "stored", "table", "text_or_empty", "words_of"]
 
 #: A word is a maximal run of anything but ASCII white space; bytes.split() splits at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
