@@ -2,30 +2,11 @@
 
 import random
 
-from brute import components, fingerprint
+from brute import components, fingerprint, stays
 
 from latticework.llm import close_copies
 
 
-def shingle_set(text):
-    words = (text or "").lower().split()
-    return {" ".join(words[k : k + 5]) for k in range(len(words) - 4)}
-
-
-def stays(texts):
-    """The smallest id of each component over fingerprints within two bits and similarities of 0.8 or more."""
-    of = components({k: fingerprint(t) for k, t in texts.items()})
-    sets = {k: shingle_set(t) for k, t in texts.items()}
-    ids = sorted(texts)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            common = len(sets[a] & sets[b])
-            if common and 9 * common >= 4 * (len(sets[a]) + len(sets[b])) and of[a] != of[b]:
-                low, high = sorted((of[a], of[b]))
-                of = {k: low if v == high else v for k, v in of.items()}
-    return set(of.values())
-
-
 def made():
     rng = random.Random(11)
     words = [f"word{k}" for k in range(3000)]

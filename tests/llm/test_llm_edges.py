@@ -159,6 +159,26 @@ def test_maximal_repeats_against_all_substrings():
             if len(where) > 1 and len(left) > 1 and len(right) > 1:
                 found[s] = sorted(where)
         assert {pieces[w[0][0]][w[0][1] : w[0][1] + n]: sorted(w) for n, w in repeats.maximal_repeats(pieces, least)} == found
+        # A piece of several occurrences is a repeat as a whole.
+        times = [rng.randint(1, 2) for _ in pieces]
+        whole = {(len(p), k) for k, p in enumerate(pieces) if times[k] > 1 and len(p) >= least}
+        assert {(n, w[0][0]) for n, w in repeats.maximal_repeats(pieces, least, times) if w[0][1] == 0 and n == len(pieces[w[0][0]])} >= whole
+
+
+def test_repeats_without_own_ids(spark):
+    from brute import removed
+
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [word(260) for _ in range(5)]
+    texts = [word(rng.randint(0, 300)) + (rng.choice(shared) if rng.random() < 0.5 else "") + word(rng.randint(0, 90)) for _ in range(200)]
+    expected = sorted(removed(dict(enumerate(t.encode() for t in texts)), 200).values())
+    for ids in ([None] * 200, [7] * 200, [f"a.{k % 3}" for k in range(200)]):
+        kind = "string" if isinstance(ids[0], str) else "long"
+        d = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts)], f"`doc.id` {kind}, text string, packed string")
+        rows = repeats.remove_repeats(d, "doc.id").collect()
+        assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows) == expected
+        assert sorted(map(str, ids)) == sorted(str(r["doc.id"]) for r in rows)
 
 
 def test_repeats_of_a_hot_passage(spark):
@@ -204,10 +224,32 @@ def test_urls_without_host(spark):
 def test_bpe_words_scan_as_by_heap():
     codec = bpe._codec(open(bpe.default_vocabulary(), encoding="utf-8").read())
     rng = random.Random(8)
-    for _ in range(200):
-        word = bytes(rng.choice(b"the inatonre ") for _ in range(rng.randint(1, 200)))
-        assert codec._scanned(word) == codec._heaped(word)
-    assert codec.decode(codec.encode("a<|endoftext|>b")) == "a<|endoftext|>b" and codec.encode("<|endoftext|>") == "50256"
+    words = [bytes(rng.choice(b"the inatonre ") for _ in range(rng.randint(1, 200))) for _ in range(300)] + [b"a", b"zzzz" * 40]
+    start, count, ids = codec.merged(words)
+    for word, a, n in zip(words, start.tolist(), count.tolist()):
+        assert ids[a : a + n].tolist() == [codec.vocab[part] for part in codec._heaped(word)]
+
+
+def test_bpe_odd_texts_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    rng = random.Random(9)
+    parts = ["a", "the", " ", "  ", "\n", " \n", "\t", "'s", "'ll", "'", "<|endoftext|>", "\u00e9", "\u4e2d", "\U0001f600", "\0", "\x1c", "\u00a0", "1", "\u0662", "!", "...", "\u2028"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["", " ", "x" * 1000, "ab " * 5000, "-" * 3000, LONG]
+    codec = bpe._codec(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    for together in (1 << 20, 50):  # the second cuts texts and batches at every chance
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        for (n, ids, raw), found in zip(codec.coded(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert (n, ids.decode()) == (len(found.ids), ",".join(map(str, found.ids)))
+            assert raw.decode("utf-8", "replace") == library.decode(found.ids, skip_special_tokens=False)
+
+
+def test_bpe_unlike_words_of_one_hash(monkeypatch):
+    codec = bpe._codec(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    right = list(codec.coded(["some words of some text"]))
+    monkeypatch.setattr(bpe, "POWERS", np.zeros(1024, np.uint64))
+    assert list(codec.coded(["some words of some text"])) == right
 
 
 def test_viterbi_labels_spans():
