@@ -1,10 +1,12 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
 Records are dealt out by range of page id: a histogram of a fixed number of bins gives the shard of each bin, so that
-the shards are the same in every run and of about equal size. A task sorts its shards, regenerates each record's
-headers and digests, gzips record by record, and rolls to the next file once one reaches its compressed size.
-A file is written under a temporary name and moved when whole; what files there are is a manifest table, which Spark
-commits. A task that is run again writes the same bytes under the same names.
+the shards are the same in every run and of about equal size. A bin of more than a shard's bytes, as an outlying id, ids that
+are null or repeated, or a very large table make it, takes several shards, between which a hash of id and digest divides its
+records. A task sorts its shards, regenerates each record's headers and digests, gzips record by record, and rolls to the next
+file once one reaches its compressed size. A file is written under a temporary name and moved when whole; what files there are is
+a manifest table, which Spark commits, and only files that it names are read, once their size and digest agree with it. A task
+that is run again writes the same bytes under the same names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -96,8 +98,9 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
     """Writes a record for each row of pages below folder and returns the manifest, read back from there.
 
     Of equal payloads of at least 100 bytes that of the smallest id is a response and the others revisit it; of
-    repeated rows one is the response. A null payload counts as empty, a null url has no target header; null
-    ids come first, have an empty record id and are responses unless a row with an id holds the payload.
+    repeated rows one is the response. A null payload counts as empty, a null url has no target header; null ids come first,
+    have an empty record id and are responses unless a row with an id holds the payload. Ids are cast to long. Payloads may be of any
+    length; one above file_bytes has a file of its own. Other columns may have any names. An empty table writes no file.
     """
     payload = text_or_empty(f"`{payload_column}`")
     rows = pages.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{url_column}`").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
@@ -107,13 +110,21 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
     of = F.coalesce(F.floor((F.col("id") - low) / width).cast("long"), F.lit(-1).cast("long"))
     # At most BINS + 1 rows, whatever the input.
     bins = slim.groupBy(of.alias("bin")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum(F.col("bytes") + 512 * F.col("n")).over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shards = bins.select("bin", F.floor(before / shard_bytes).cast("long").alias("shard"))
+    size = F.col("bytes") + 512 * F.col("n")
+    before = F.coalesce(F.sum(size).over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shards = bins.select("bin", F.floor(before / shard_bytes).cast("long").alias("first"), F.greatest(F.lit(1), F.floor(size / shard_bytes)).cast("long").alias("slices"))
+    count = shards.agg(F.max(F.col("first") + F.col("slices"))).first()[0]
+    if count is None:
+        return pages.sparkSession.createDataFrame([], MANIFEST)
     owners = slim.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("id").alias("owner"), F.count("*").alias("n")).filter("n > 1 and owner is not null").select("digest", "owner")
     revisits = slim.filter(F.col("size") >= LEAST_REVISIT).join(owners, "digest").filter(~F.col("id").eqNullSafe(F.col("owner"))).select("id", "digest", "owner").distinct()
     told = revisits.select(of.alias("bin"), "id", F.lit(0).alias("step"), "digest", "owner", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     kept = rows.select(of.alias("bin"), "id", F.lit(1).alias("step"), "digest", F.lit(None).cast("long").alias("owner"), "url", F.col("payload").cast("binary").alias("payload"))
-    dealt = told.unionByName(kept).join(F.broadcast(shards), "bin").repartition("shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "digest", "step", "url")
+    both = told.unionByName(kept).join(F.broadcast(shards), "bin")
+    shard = (F.col("first") + F.pmod(F.xxhash64("id", "digest"), "slices")).alias("shard")
+    # Equal shards stay together in a range, and there are as many ranges as shards.
+    ranges = both.select(shard, "id", "step", "digest", "owner", "url", "payload").repartitionByRange(int(count), "shard")
+    dealt = ranges.sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "digest", "step", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, known, last = None, {}, None
@@ -164,25 +175,31 @@ def records_of(content: bytes) -> Iterator[tuple]:
             yield page(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], page(head.get("WARC-Refers-To")), payload
 
 
-def read_archives(spark, folder: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record below folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record in the files that folder's manifest names."""
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("file", "bytes", "sha256")
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = _fs(folder)
         for batch in batches:
-            for content in batch["content"]:
-                found = [r[:5] for r in records_of(content.as_py())]
-                columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))]
-                if found:
-                    yield pa.RecordBatch.from_arrays(columns, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            for file, size, sha in zip(*(batch[c].to_pylist() for c in ("file", "bytes", "sha256"))):
+                with fs.open_input_stream(f"{path}/{file}", compression=None) as f:
+                    content = f.read()
+                if len(content) != size or hashlib.sha256(content).hexdigest() != sha:
+                    raise ValueError(f"{file} isn't the file that the manifest names")
+                found = [r[:5] for r in records_of(content)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return files.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.repartition(F.xxhash64("file")).mapInArrow(read, RECORD)
+
+
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def archive(pages: DataFrame) -> DataFrame:
     """Writes pages to a fresh folder in the shared one and reads the archives back; an empty table gives no rows."""
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    manifest = write_archives(pages, folder)
-    if manifest.isEmpty():
-        return pages.sparkSession.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    if write_archives(pages, folder).isEmpty():
+        return pages.sparkSession.createDataFrame([], RECORD)
     return read_archives(pages.sparkSession, folder)
