@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from latticework.llm.common import SPACE, crc_fold, stored, text_or_empty
+from latticework.llm.common import SPACE, crc_fold, smallest_hashes, stored
 
 #: First code points of blocks, and the script from there on (fixed values; blocks without a script of their own count as other).
 SCRIPTS = (
@@ -28,8 +28,8 @@ SCRIPTS = (
 STARTS = np.array([start for start, _ in SCRIPTS])
 NAMES = sorted({name for _, name in SCRIPTS})
 SCRIPT_OF = np.array([NAMES.index(name) for _, name in SCRIPTS])
-#: Learned rows of each language at most, n-gram lengths, bits of the hash, smoothing, cost of a switch, words a task remembers.
-LEARN_ROWS, GRAMS, BUCKET_BITS, SMOOTH, SWITCH, REMEMBERED = 1000, (1, 2, 3), 15, 0.5, 12.0, 500_000
+#: Learned rows of each language at most, n-gram lengths, bits of the hash, smoothing, cost of a switch, words and bytes of scores a worker remembers.
+LEARN_ROWS, GRAMS, BUCKET_BITS, SMOOTH, SWITCH, REMEMBERED, REMEMBERED_BYTES = 1000, (1, 2, 3), 15, 0.5, 12.0, 500_000, 64 << 20
 BUCKETS = 1 << BUCKET_BITS
 #: Characters of a word from which it is forgotten at once, and bytes of text that are looked up together.
 LONG, TOGETHER = 64, 1 << 20
@@ -69,12 +69,13 @@ class Model:
         self.languages, self.logs, self.allowed = languages, logs, allowed
         self.known: dict[bytes, int] = {}
         self.used = 0
-        self.rows = np.zeros((1 << 16, len(languages)))
-        self.letters = np.zeros(1 << 16, np.int64)
+        self.most = min(REMEMBERED, REMEMBERED_BYTES // (8 * max(1, len(languages))))
+        self.rows = np.zeros((1 << 12, len(languages)))
+        self.letters = np.zeros(1 << 12, np.int64)
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """Rows of the words in the table of scores, which grows by those not met before."""
-        if self.used > REMEMBERED:
+        if self.used > self.most:
             self.known.clear()
             self.used = 0
         known = self.known
@@ -130,14 +131,20 @@ class Model:
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best path over words x languages with a cost for each switch; ties go to the first language.
 
-    A constant path is best if no other language gains more than one switch over any stretch of words: every
-    stretch of another path costs one at least. Most texts end there, without a step per word.
+    Most texts end without a step per word, at a bound: take the path of the one best language, and another path with k stretches
+    between two of its words, or before the first or after the last. The stretches of a middle part cost a switch more than there are
+    of them, those of an end as many as there are, those of a path that never takes that language one less. So the one
+    language is best if no stretch gains more than a switch over it, and no two stretches at the two ends do so together.
     """
     n, m = scores.shape
+    if not n:
+        return np.zeros(0, np.int64)
     best = int(scores.sum(axis=0).argmax())
     gain = np.cumsum(scores - scores[:, [best]], axis=0)
-    low = np.minimum.accumulate(np.r_[np.zeros((1, m)), gain[:-1]], axis=0) if n else gain
-    if not n or (gain - low).max() <= switch:
+    before = np.r_[np.zeros((1, m)), gain]
+    middle = (gain - np.minimum.accumulate(before[:-1], axis=0)).max()
+    ends = before.max() + (gain[-1] - before).max()
+    if max(middle, ends) <= switch:
         return np.full(n, best)
     value, back = scores[0].tolist(), np.zeros((n, m), np.int8)
     langs = range(m)
@@ -166,9 +173,8 @@ def learn(docs: DataFrame, folds: int = 5, held: int = 0) -> Model:
     Held-out rows and rows without an id, text or language are never read as examples. Spark counts n-grams in a fixed number of buckets for each language.
     """
     can = docs.filter("lang is not null and text is not null and id is not null").filter(crc_fold("id", folds) != held)
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = stored(can.select("id", "lang").distinct().withColumn("place", place).filter(F.col("place") <= LEARN_ROWS).select("id", F.col("lang").alias("of")), "language-sample")
-    words = can.join(F.broadcast(ids), "id").filter("lang = of").select("lang", F.explode(F.split("text", SPACE)).alias("word")).groupBy("lang", "word").count()
+    ids = stored(smallest_hashes(can.select("id", "lang").distinct(), "lang", LEARN_ROWS).select("id", F.col("lang").alias("of")), "language-sample")
+    words = can.join(ids, "id").filter("lang = of").select("lang", F.explode(F.split("text", SPACE)).alias("word")).groupBy("lang", "word").count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -207,7 +213,8 @@ def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """(id, held_out, lang_pred, score) for each row of docs; score is the share of letters in spans of lang_pred.
 
     und with score 0 where the text is null or has no letter, or nothing could be learned. A null id isn't held out.
-    Repeated rows are judged alike; an empty table gives no rows.
+    Repeated rows are judged alike; whole texts are judged, however long; the id may be of any type, and other columns may have any
+    names. An empty table gives no rows.
     """
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"), F.col(f"`{lang_column}`").alias("lang"))
     model = learn(rows, folds, held)
@@ -224,7 +231,9 @@ def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                     found += judge.predict(texts)
                     texts, size = [], 0
             found += judge.predict(texts)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["held_out"], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [id_column, "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["held_out"], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["id", "held_out", "lang_pred", "score"])
 
     held_out = F.coalesce(crc_fold("id", folds) == held, F.lit(False)).alias("held_out")
-    return rows.select("id", held_out, F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{id_column} {docs.schema[id_column].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    out = T.StructType([T.StructField("id", docs.schema[id_column].dataType), *T.StructType.fromDDL("held_out boolean, lang_pred string, score double")])
+    judged = rows.select("id", held_out, F.col("text").cast("binary").alias("text")).mapInArrow(run, out)
+    return judged.select(F.col("id").alias(id_column), "held_out", "lang_pred", "score")

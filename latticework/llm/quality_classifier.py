@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from latticework.llm.common import crc_fold, stored, text_or_empty
+from latticework.llm.common import crc_fold, smallest_hashes, stored, text_or_empty
 
 #: Bounds of the fit: labelled rows of each label, and a dictionary's pieces. Of seven rows four go to the dictionaries, three fit the curve.
 SAMPLE_ROWS, DICT_PIECES, DICT_PIECE_CHARS = 3500, 256, 1024
@@ -62,13 +62,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     Rows whose crc32 of the id, modulo folds, is held are held out: their labels are never read. The others give at
     most SAMPLE_ROWS rows of each label, those of the smallest hash of the id. A null text counts as empty
     and has a score; a null id isn't held out. Without labelled rows of both kinds the score is the share of label 1,
-    or 0.5. Several labels of one id count as the largest. Repeated rows score alike; an empty table gives no rows.
+    or 0.5. Several labels of one id count as the largest. Repeated rows score alike; whole texts are compressed, piece by piece, however
+    long; other columns may have any names. An empty table gives no rows.
     """
     name = f"`{id_column}`"
     known = labels.select(F.col(name).alias("id"), F.col(f"`{label_column}`").cast("int").alias("y")).filter("y in (0, 1) and id is not null").filter(crc_fold("id", folds) != held)
     known = known.groupBy("id").agg(F.max("y").alias("y"))
-    place = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
-    sample = stored(known.withColumn("place", place).filter(F.col("place") <= SAMPLE_ROWS), "quality-labels")
+    sample = stored(smallest_hashes(known, "y", SAMPLE_ROWS), "quality-labels")
     shares = dict(known.groupBy("y").count().collect())
     total = sum(shares.values())
     base = shares.get(1, 0) / total if total else 0.5

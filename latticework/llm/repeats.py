@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.llm.common import released, stored, text_or_empty
+from latticework.llm.common import TEXT_ROWS, released, stored, text_or_empty
 
 #: Bytes of a repeat at least, bytes of an anchor, pieces that one suffix array takes of one anchor, positions hashed at once.
 LEAST, GRAM, CONTEXTS, CHUNK = 200, 32, 256, 1 << 19
-#: Pieces that are sorted together, whole anchors beyond, bytes of a batch that leaves Python, and rows of a batch of plain texts.
-TOGETHER, BATCH_BYTES, TEXT_ROWS = 512, 4 << 20, 2000
+#: Pieces that are sorted together, whole anchors beyond, and bytes of a batch that leaves Python.
+TOGETHER, BATCH_BYTES = 512, 4 << 20
 #: Odd multipliers of the K-gram hash.
 MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
