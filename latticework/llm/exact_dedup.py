@@ -1,9 +1,10 @@
 """Exact deduplication of whole texts by Grace hash partitioning.
 
 Each task first finds the copies within its own rows, so that a text with very many copies leaves one
-representative per task. Representatives are dealt out by a hash of their text; a task that receives more than
-fits spills them to partition files by further bits of the hash, again and again, until each bucket fits one
-open-addressing table. The table compares complete contents, so equal hashes of different texts do no harm.
+representative per task. Representatives are dealt out by a hash of their text. A task enters them into an open-addressing
+table that holds each content once, however many copies come; once it is full, representatives of contents that it
+doesn't hold are spilled to partition files by further bits of the hash, and each file is a bucket that is treated alike, until all fit.
+The table compares complete contents, so equal hashes of different texts do no harm.
 What a representative's bucket decides goes back to the rows it stands for by a join on the representative.
 """
 
@@ -25,9 +26,8 @@ from pyspark.sql import types as T
 
 from latticework.llm.common import SPACE, text_or_empty
 
-#: Bytes of content that one open-addressing table may hold, and partition files per level of spilling.
-TABLE_BYTES = 48 << 20
-FAN_OUT = 16
+#: Bytes of content that one open-addressing table may hold, partition files of each level of spilling, and rows of a batch of results.
+TABLE_BYTES, FAN_OUT, RESULT_ROWS = 48 << 20, 16, 2000
 
 
 def normalised(column: str = "text") -> Column:
@@ -35,26 +35,56 @@ def normalised(column: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(column), SPACE, " ")
 
 
+class Table:
+    """An open-addressing table of contents with linear probing; entries are numbered in the order in which they come."""
+
+    def __init__(self):
+        self.slots, self.mask, self.hashes, self.contents, self.bytes = [-1] * 16, 15, [], [], 0
+
+    def find(self, h: int, content: bytes) -> int:
+        """The entry of this content, or -1."""
+        s = h & self.mask
+        while (j := self.slots[s]) >= 0 and (self.hashes[j] != h or self.contents[j] != content):
+            s = (s + 1) & self.mask
+        return j
+
+    def _place(self, h: int, j: int) -> None:
+        s = h & self.mask
+        while self.slots[s] >= 0:
+            s = (s + 1) & self.mask
+        self.slots[s] = j
+
+    def insert(self, h: int, content: bytes) -> int:
+        """A new entry for a content that the table doesn't hold."""
+        j = len(self.contents)
+        self.hashes.append(h)
+        self.contents.append(content)
+        self.bytes += len(content)
+        if 2 * j > self.mask:
+            self.mask = 2 * self.mask + 1
+            self.slots = [-1] * (self.mask + 1)
+            for k, g in enumerate(self.hashes):
+                self._place(g, k)
+        else:
+            self._place(h, j)
+        return j
+
+
 def distinct_slots(hashes: np.ndarray, contents: list[bytes]) -> np.ndarray:
-    """For each row the first row of equal content, by an open-addressing table with linear probing."""
-    n = len(contents)
-    mask = (1 << max(3, (2 * n).bit_length())) - 1
-    slots: list[int] = [-1] * (mask + 1)
-    first = np.empty(n, np.int64)
+    """For each row the first row of equal content."""
+    table, first, of = Table(), [], np.empty(len(contents), np.int64)
     for i, (h, content) in enumerate(zip(hashes.tolist(), contents)):
-        s = h & mask
-        while (j := slots[s]) >= 0 and contents[j] != content:
-            s = (s + 1) & mask
-        if j < 0:
-            slots[s] = j = i
-        first[i] = j
-    return first
+        if (j := table.find(h, content)) < 0:
+            j = table.insert(h, content)
+            first.append(i)
+        of[i] = first[j]
+    return of
 
 
-def _smallest_first(ids: pa.Array, ties: np.ndarray) -> np.ndarray:
-    """Row numbers by id, nulls last, then by ties."""
-    null = np.asarray(ids.is_null())
-    return np.lexsort((ties, np.asarray(ids.fill_null(0)), null))
+def _smallest_first(ids: pa.Array) -> np.ndarray:
+    """Row numbers by id, nulls last, ties as they come."""
+    ids = ids.to_pylist()
+    return np.array(sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0)), np.int64)
 
 
 def _local(batches: Iterator[pa.RecordBatch], out: pa.Schema, table_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -67,7 +97,7 @@ def _local(batches: Iterator[pa.RecordBatch], out: pa.Schema, table_bytes: int)
         contents = rows["norm"].to_pylist()
         first = distinct_slots(np.asarray(rows["h"]), contents)
         ids = rows["id"].combine_chunks()
-        order = _smallest_first(ids, np.arange(len(first)))
+        order = _smallest_first(ids)
         order = order[np.argsort(first[order], kind="stable")]
         starts = np.flatnonzero(np.r_[True, first[order][1:] != first[order][:-1]])
         leaders, sizes = order[starts], np.diff(np.r_[starts, len(order)])
@@ -104,73 +134,65 @@ def _batch(schema: pa.Schema, columns: dict[str, pa.Array], n: int) -> pa.Record
 
 
 def _grace(batches: Iterator[pa.RecordBatch], out: pa.Schema, table_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Buckets of representatives until each fits; the rows with ids pass by."""
-
-    def decide(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        first = distinct_slots(np.asarray(rows["h"]), rows["norm"].to_pylist())
-        ids, rep = rows["id"].combine_chunks(), np.asarray(rows["rep"])
-        order = _smallest_first(ids, rep)
-        order = order[np.argsort(first[order], kind="stable")]
-        starts = np.flatnonzero(np.r_[True, first[order][1:] != first[order][:-1]])
-        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
-        sizes = np.add.reduceat(np.asarray(rows["n"])[order], starts)
-        leads = np.zeros(len(order), bool)
-        leads[starts] = True
-        row = rows["row"].combine_chunks().take(pa.array([int(i) if lead else None for i, lead in zip(order, leads)], pa.int64()))
-        yield _batch(out, {"rep": pa.array(rep[order]), "keep_id": ids.take(pa.array(order[starts])).take(pa.array(group)), "group_size": pa.array(sizes[group]), "leads": pa.array(leads), "row": row}, len(order))
+    """Decides representatives bucket by bucket; the rows with ids pass by."""
 
     def bucket(rows: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in rows:
-            held.append(batch)
-            size += batch.nbytes
-            if size > table_bytes and level < 12:
-                break
-        else:
-            if held:
-                yield from decide(pa.Table.from_batches(held))
-            return
-        folder = tempfile.mkdtemp(prefix="grace-")
+        table = Table()
+        # Of each representative its number, entry and copies; of each entry the smallest (id, number) with its row, and the copies.
+        reps, entries, best, row, copies = [], [], [], [], []
+        folder, files = None, {}
         try:
-            files: dict[int, pa.ipc.RecordBatchFileWriter] = {}
-
-            def spill(batch: pa.RecordBatch) -> None:
-                part = (np.asarray(batch["h"]) >> np.int64(4 * level + 8)) & (FAN_OUT - 1)
-                for k in np.unique(part).tolist():
-                    if k not in files:
-                        files[k] = pa.ipc.new_file(f"{folder}/{k}", batch.schema)
-                    files[k].write_batch(batch.filter(pa.array(part == k)))
-
-            for batch in held:
-                spill(batch)
-            held.clear()
             for batch in rows:
-                spill(batch)
-            for writer in files.values():
+                stands = batch["norm"].is_null()
+                if (known := batch.filter(stands)).num_rows:
+                    yield _batch(out, {"rep": known["rep"], "members": known["members"], "sha": known["sha"]}, known.num_rows)
+                new = batch.filter(pa.compute.invert(stands))
+                full: list[int] = []
+                for i, (rep, h, id_, n, content) in enumerate(zip(*(new[c].to_pylist() for c in ("rep", "h", "id", "n")), new["norm"])):
+                    content = content.as_py()
+                    if (j := table.find(h, content)) < 0:
+                        if table.contents and table.bytes + len(content) > table_bytes:
+                            full.append(i)
+                            continue
+                        j = table.insert(h, content)
+                        best.append(None)
+                        row.append(None)
+                        copies.append(0)
+                    order = (id_ is None, id_ if id_ is not None else 0, rep)
+                    if best[j] is None or order < best[j]:
+                        best[j], row[j] = order, new["row"].take(pa.array([i]))
+                    copies[j] += n
+                    reps.append(rep)
+                    entries.append(j)
+                if full:
+                    folder = folder or tempfile.mkdtemp(prefix="grace-")
+                    spilled = new.take(pa.array(full))
+                    # Each level removes what its table holds, so buckets end even where the hash has no bits left.
+                    part = (np.asarray(spilled["h"]) >> np.int64(min(60, 4 * level + 8))) & (FAN_OUT - 1)
+                    for k in np.unique(part).tolist():
+                        if k not in files:
+                            files[k] = pa.ipc.new_file(f"{folder}/{k}", spilled.schema)
+                        files[k].write_batch(spilled.filter(pa.array(part == k)))
+            table = None
+            for at in range(0, len(reps), RESULT_ROWS):
+                rep, entry = reps[at : at + RESULT_ROWS], entries[at : at + RESULT_ROWS]
+                leads = [best[j][2] == r for r, j in zip(rep, entry)]
+                keep = pa.array([None if best[j][0] else best[j][1] for j in entry], out.field("keep_id").type)
+                none = pa.nulls(1, out.field("row").type)
+                whole = pa.concat_arrays([row[j] if lead else none for j, lead in zip(entry, leads)])
+                yield _batch(out, {"rep": pa.array(rep), "keep_id": keep, "group_size": pa.array([copies[j] for j in entry]), "leads": pa.array(leads), "row": whole}, len(rep))
+            reps, entries, best, row, copies = [], [], [], [], []
+            for k, writer in sorted(files.items()):
                 writer.close()
-            for k in sorted(files):
                 with pa.OSFile(f"{folder}/{k}") as source:
                     reader = pa.ipc.open_file(source)
-                    yield from bucket(iter([reader.get_batch(i) for i in range(reader.num_record_batches)]) if os.path.getsize(f"{folder}/{k}") <= table_bytes else (reader.get_batch(i) for i in range(reader.num_record_batches)), level + 1)
+                    yield from bucket((reader.get_batch(i) for i in range(reader.num_record_batches)), level + 1)
                 os.remove(f"{folder}/{k}")
         finally:
-            shutil.rmtree(folder, ignore_errors=True)
-
-    passing: list[pa.RecordBatch] = []
+            if folder:
+                shutil.rmtree(folder, ignore_errors=True)
 
-    def representatives() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stands = batch["norm"].is_null()
-            if (known := batch.filter(stands)).num_rows:
-                passing.append(_batch(out, {"rep": known["rep"], "members": known["members"], "sha": known["sha"]}, known.num_rows))
-            if (new := batch.filter(pa.compute.invert(stands))).num_rows:
-                yield new
-
-    for result in bucket(representatives(), 0):
-        yield from passing
-        passing.clear()
-        yield result
-    yield from passing
+    yield from bucket(batches, 0)
 
 
 def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: bool = False, table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -197,7 +219,8 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """One row per row of docs: its id, keep_id, group_size, kept and text_sha256 of the normalised text.
 
     A null text counts as empty. The smallest id of a group stays; null ids come last. Of rows that are equal in id
-    and text, one stays. An empty table gives no rows. Other columns of docs are not read.
+    and text, one stays. Ids may be of any type that has an order, texts of any length. An empty table gives no rows. Other columns of
+    docs are not read and may have any names.
     """
     found = grouped(docs, id_column, text_column, table_bytes=table_bytes)
     by_rep = found.groupBy("rep").agg(
@@ -213,6 +236,10 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def exactly_distinct(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs that stay, whole: one of each group of equal texts."""
+    """The rows of docs that stay, whole: one of each group of equal texts.
+
+    Nulls, empty and very long texts, ties and repeated rows count as in exact_dedup(); other columns may have any names and come back
+    as they are. An empty table gives no rows.
+    """
     found = grouped(docs, id_column, text_column, rows=True).filter("leads")
     return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
