@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import stored
+from latticework.llm.common import TEXT_ROWS, stored
 from latticework.operators.components import star_edges
 
 #: Words of a shingle; further leading shingles of each ten; pairs for each row that are looked at in one go; texts compared first.
@@ -97,10 +97,10 @@ def close_links(texts: DataFrame, prints: DataFrame, near: DataFrame) -> DataFra
 
     doc is a hash of the text, prints (doc, fp) its fingerprint, near a stored table of links. Equal texts may come more than once.
     """
-    play = stored(_in_play(texts), "in-play")
+    play = stored(_in_play(texts), "in-play", TEXT_ROWS)
     chosen = texts.join(play, "doc").dropDuplicates(["doc"])
     prints = stored(prints.join(play, "doc").distinct(), "close-prints")
-    sets = stored(_sets(chosen, False), "shingle-sets")
+    sets = stored(_sets(chosen, False), "shingle-sets", TEXT_ROWS)
     rows = sets.select("doc", "n", "own", F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     # Those that no other text has are the rarest of all; they take the first places of a prefix.

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.close_copies import close_links
-from latticework.llm.common import fields, picked, stored, text_or_empty
+from latticework.llm.common import TEXT_ROWS, fields, picked, stored, text_or_empty
 from latticework.operators.components import star_edges
 
 BITS, SHINGLE, SEED = 2, 3, 42
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Texts without words all have fingerprint zero. Repeated rows and equal texts share a fingerprint and meet there,
     before any search. An empty table gives no rows.
     """
-    prints = stored(fingerprints(docs, id_column, text_column), "fingerprints")
+    prints = stored(fingerprints(docs, id_column, text_column), "fingerprints", TEXT_ROWS)
     distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least"), F.first("rank").alias("rank")), "distinct-fingerprints")
     links = near_links(distinct, node_rows)
     if close:
