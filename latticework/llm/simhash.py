@@ -1,16 +1,12 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-Fingerprints are cut into four blocks of 16 bits. Two that differ in two bits or fewer agree on two blocks at least,
-so each distinct fingerprint goes below six upper nodes, each a mask of two blocks and the pattern that it shares
-there. Spark deals out the upper nodes. Below one, fingerprints stand in Gray order, runs of neighbours share a
-masked pattern in a node above them, runs of such nodes again, and a search adds up differences from the top
-and drops a whole group once they pass the limit.
+Distinct fingerprints are sorted by Gray rank: neighbours differ in few bits. Ranges of that order are the leaves that Spark deals
+out. Of each leaf the bits that all its fingerprints share are factored out as a mask and a pattern, of groups of leaves again, and so on
+up to a root. A fingerprint goes down these upper nodes with the differences added up from mask to mask, and a whole group is
+dropped once they pass the limit; it visits the leaves that are left. Within a leaf its fingerprints form a tree of
+the same kind, down to single ones, which visitors go down likewise. Each pair meets once, in the later one's leaf.
 
-An upper node with more than NODE_ROWS fingerprints goes another exact way: two fingerprints differ in two bits or
-fewer exactly if some value is within one bit of both. Each one names itself and its one-bit neighbours in the
-node's free bits; no such value can be named more than 33 times, so no group is large.
-
-Links leave an upper node as a forest, never as all pairs; components() joins the forests.
+Links leave a leaf as a forest, never as all pairs; components() joins the forests.
 """
 
 from __future__ import annotations
@@ -20,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.close_copies import close_links
@@ -28,10 +24,8 @@ from latticework.llm.common import TEXT_ROWS, fields, picked, stored, text_or_em
 from latticework.operators.components import star_edges
 
 BITS, SHINGLE, SEED = 2, 3, 42
-#: Fingerprints below an upper node that one search takes, children of an inner node, and pairs held in one step.
-NODE_ROWS, FAN, FRONTIER = 512, 8, 1 << 19
-BLOCK_PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
-MASKS = np.array([(0xFFFF << 16 * i) | (0xFFFF << 16 * j) for i, j in BLOCK_PAIRS], np.uint64)
+#: Children of a node, and pairs held in one step.
+FAN, FRONTIER = 8, 1 << 19
 
 
 def fingerprint(content: bytes, words_per_shingle: int = SHINGLE) -> int:
@@ -60,54 +54,46 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _runs(key: np.ndarray, most: int) -> np.ndarray:
-    """Starts of runs of equal key, each cut into pieces of most."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    place = np.arange(len(key)) - np.repeat(starts, np.diff(np.r_[starts, len(key)]))
-    return np.flatnonzero(place % most == 0)
-
-
-def close_pairs(node: np.ndarray, fp: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs i < j with the same node and fingerprints that differ in at most bits bits.
-
-    Rows are sorted by node and Gray rank. levels holds, from the leaves up, each group's node, shared mask,
-    pattern on that mask and range of children.
-    """
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    levels = [(node, np.full(len(fp), full), fp, np.arange(len(fp) + 1))]
-    while len(levels[-1][0]) > len(np.unique(levels[-1][0])):
-        of, mask, pattern, _ = levels[-1]
-        starts = _runs(of, FAN)
-        first = np.repeat(pattern[starts], np.diff(np.r_[starts, len(of)]))
-        differ = np.bitwise_or.reduceat((pattern ^ first) | ~mask, starts)
-        levels.append((of[starts], ~differ, pattern[starts] & ~differ, np.r_[starts, len(of)]))
-    top = levels[-1]
-    home = np.searchsorted(top[0], node)
-    step = max(1, FRONTIER // FAN // 8)
-    for at in range(0, len(fp), step):
-        query = np.arange(at, min(len(fp), at + step))
-        frontier = [(query, home[query], np.zeros(len(query), np.int64), len(levels) - 1)]
-        while frontier:
-            q, group, off, depth = frontier.pop()
-            if not depth:
-                keep = q < group
-                if keep.any():
-                    yield q[keep], group[keep]
-                continue
-            _, mask, _, children = levels[depth]
-            _, child_mask, child_pattern, _ = levels[depth - 1]
-            width = children[group + 1] - children[group]
-            if len(q) > 1 and width.sum() > FRONTIER:
-                half = len(q) // 2
-                frontier += [(q[:half], group[:half], off[:half], depth), (q[half:], group[half:], off[half:], depth)]
-                continue
-            parent = np.repeat(np.arange(len(q)), width)
-            child = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + children[group][parent]
-            new = child_mask[child] & ~mask[group][parent]
-            total = off[parent] + np.bitwise_count((fp[q[parent]] ^ child_pattern[child]) & new)
-            near = total <= bits
-            if near.any():
-                frontier.append((q[parent[near]], child[near], total[near], depth - 1))
+class Tree:
+    """Nodes over things in Gray order that have a mask of bits and a pattern on it: of each level the masks, the patterns and, above the lowest, where children begin."""
+
+    def __init__(self, mask: np.ndarray, pattern: np.ndarray):
+        self.levels = [(mask, pattern, np.arange(len(mask) + 1))]
+        while len(self.levels[-1][0]) > 1:
+            mask, pattern, _ = self.levels[-1]
+            starts = np.arange(0, len(mask), FAN)
+            first = np.repeat(pattern[starts], np.diff(np.r_[starts, len(mask)]))
+            differ = np.bitwise_or.reduceat((pattern ^ first) | ~mask, starts)
+            self.levels.append((~differ, pattern[starts] & ~differ, np.r_[starts, len(mask)]))
+
+    def reach(self, fp: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (place in fp, place of a thing) whose differences on the thing's mask, and so on any above it, are at most bits."""
+        (mask, pattern, _), step = self.levels[-1], max(1, FRONTIER // FAN // 8)
+        for at in range(0, len(fp), step):
+            query = np.arange(at, min(len(fp), at + step))
+            off = np.bitwise_count((fp[query] ^ pattern[0]) & mask[0]).astype(np.int64)
+            near = off <= bits
+            frontier = [(query[near], np.zeros(near.sum(), np.int64), off[near], len(self.levels) - 1)]
+            while frontier:
+                q, group, off, depth = frontier.pop()
+                if not depth:
+                    yield q, group
+                    continue
+                above, _, children = self.levels[depth]
+                child_mask, child_pattern, _ = self.levels[depth - 1]
+                width = children[group + 1] - children[group]
+                if len(q) > 1 and width.sum() > FRONTIER:
+                    half = len(q) // 2
+                    frontier += [(q[:half], group[:half], off[:half], depth), (q[half:], group[half:], off[half:], depth)]
+                    continue
+                parent = np.repeat(np.arange(len(q)), width)
+                child = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + children[group][parent]
+                # What differs on the mask above has been counted there.
+                new = child_mask[child] & ~above[group][parent]
+                total = off[parent] + np.bitwise_count((fp[q[parent]] ^ child_pattern[child]) & new)
+                near = total <= bits
+                if near.any():
+                    frontier.append((q[parent[near]], child[near], total[near], depth - 1))
 
 
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -125,52 +111,61 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forest links of whole upper nodes; rows arrive sorted by node and Gray rank."""
+    """Forest links within leaves; rows arrive by leaf, its own fingerprints in Gray order first, then its visitors."""
+    leaf, own, tree = None, [], None
 
-    def search(rows: pa.Table) -> pa.RecordBatch:
-        node, fp = np.asarray(rows["node"]), np.asarray(rows["fp"])
-        label = forest(len(fp), close_pairs(node, fp.view(np.uint64)))
-        linked = np.flatnonzero(label != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[label[linked]])], ["src", "dst"])
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) < 16 * NODE_ROWS:
-            continue
-        rows = pa.Table.from_batches(held)
-        node = np.asarray(rows["node"])
-        whole = int(np.searchsorted(node, node[-1]))
-        held = rows.slice(whole).combine_chunks().to_batches()
-        if whole:
-            yield search(rows.slice(0, whole))
-    if held and sum(b.num_rows for b in held):
-        yield search(pa.Table.from_batches(held))
+    def linked(fps: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        label = forest(len(fps), pairs)
+        at = np.flatnonzero(label != np.arange(len(fps)))
+        return pa.RecordBatch.from_arrays([pa.array(fps[at].view(np.int64)), pa.array(fps[label[at]].view(np.int64))], ["src", "dst"])
 
+    def planted() -> Iterator[pa.RecordBatch]:
+        """Makes the leaf's tree of its own fingerprints, and gives their links."""
+        nonlocal own, tree
+        own = np.concatenate(own)
+        tree = Tree(np.full(len(own), ~np.uint64(0)), own)
+        yield linked(own, ((q[q > g], g[q > g]) for q, g in tree.reach(own)))
 
-def _masked(column: str = "k") -> Column:
-    return F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(int(m.astype(np.int64))) for m in MASKS]), F.col(column) + 1))
+    for batch in batches:
+        of, visits, fp = np.asarray(batch["leaf"]), batch["visits"].to_numpy(zero_copy_only=False), np.asarray(batch["fp"]).view(np.uint64)
+        cuts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (visits[1:] != visits[:-1])]) if len(of) else ()
+        for a, b in zip(cuts, np.r_[cuts[1:], len(of)] if len(of) else ()):
+            if of[a] != leaf:
+                if leaf is not None and tree is None:
+                    yield from planted()
+                leaf, own, tree = of[a], [], None
+            if not visits[a]:
+                own.append(fp[a:b])
+                continue
+            if tree is None:
+                yield from planted()
+            yield linked(np.r_[own, fp[a:b]], ((q + len(own), g) for q, g in tree.reach(fp[a:b])))
+    if leaf is not None and tree is None:
+        yield from planted()
 
 
-def near_links(distinct: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
+def near_links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """(src, dst) over distinct fingerprints fp (long) with their Gray rank (long): forests that connect what links."""
-    upper = distinct.select("fp", "rank", F.explode(F.array(*[F.lit(k) for k in range(len(MASKS))])).alias("k"))
-    upper = upper.select("k", _masked().alias("pattern"), "fp", "rank")
-    sizes = upper.groupBy("k", "pattern").agg(F.count("*").alias("rows")).filter("rows > 1")
-    below = stored(upper.join(sizes, ["k", "pattern"]), "upper-nodes")
-    dealt = below.filter(F.col("rows") <= node_rows).select(F.xxhash64("k", "pattern").alias("node"), "fp", "rank")
-    searched = dealt.repartition("node").sortWithinPartitions("node", "rank").select("node", "fp").mapInArrow(_links, "src long, dst long")
-    return searched.unionByName(crowded_links(below.filter(F.col("rows") > node_rows)))
-
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = stored(distinct.select("fp", "rank").repartitionByRange(parts, "rank").withColumn("leaf", F.spark_partition_id()), "leaves")
+    # A row for each range, of which there are as many as shuffle partitions.
+    shared = leaves.groupBy("leaf").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")).orderBy("leaf").toArrow()
+    number, ones, some = (np.asarray(shared[c]) for c in ("leaf", "ones", "any"))
+    mask = ~(ones ^ some).view(np.uint64)
+    sent = distinct.sparkSession.sparkContext.broadcast((number, mask, ones.view(np.uint64) & mask))
+
+    def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, mask, pattern = sent.value
+        upper = Tree(mask, pattern) if len(mask) else None
+        for batch in batches:
+            fp, rank, home = (np.asarray(batch[c]) for c in ("fp", "rank", "leaf"))
+            for q, g in upper.reach(fp.view(np.uint64), bits) if len(fp) else ():
+                later = number[g] >= home[q]
+                q, leaf = q[later], number[g[later]]
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(leaf != home[q]), pa.array(rank[q]), pa.array(fp[q])], ["leaf", "visits", "rank", "fp"])
 
-def crowded_links(below: DataFrame) -> DataFrame:
-    """The same for upper nodes (k, pattern, fp) of any size: fingerprints within one bit of a common value hang together."""
-    bits = F.array(F.lit(0).cast("long"), *[F.lit(int(np.uint64(1 << b).astype(np.int64))) for b in range(64)])
-    mask = F.element_at(F.array(*[F.lit(int(m.astype(np.int64))) for m in MASKS]), F.col("k") + 1)
-    named = below.select("k", "fp", mask.alias("mask"), F.explode(bits).alias("bit")).filter(F.col("bit").bitwiseAND(F.col("mask")) == 0)
-    named = named.select("k", "fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("value"))
-    groups = named.groupBy("k", "value").agg(F.collect_list("fp").alias("fps"), F.min("fp").alias("dst")).filter(F.size("fps") > 1)
-    return groups.select(F.explode("fps").alias("src"), "dst").filter("src <> dst").distinct()
+    dealt = leaves.mapInArrow(visiting, "leaf int, visits boolean, rank long, fp long").repartition("leaf").sortWithinPartitions("leaf", "visits", "rank")
+    return dealt.select("leaf", "visits", "fp").mapInArrow(_links, "src long, dst long")
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -186,17 +181,18 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return source.mapInArrow(run, f"id {docs.schema[id_column].dataType.simpleString()}, text_hash long, fp long, rank long")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", node_rows: int = NODE_ROWS, close: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", close: bool = False) -> DataFrame:
     """(id, fingerprint, component_id, text_hash, root) for each row of docs.
 
     component_id is the smallest id reachable over links, null ids left out; a component of null ids only has null. root
     is a fingerprint that stands for the component. With close, texts of a Jaccard similarity of 0.8 over five words link too.
     Texts without words all have fingerprint zero. Repeated rows and equal texts share a fingerprint and meet there,
-    before any search. An empty table gives no rows.
+    before any search. Texts may be of any length, ids of any type that has an order; other columns are not read. An empty table
+    gives no rows.
     """
     prints = stored(fingerprints(docs, id_column, text_column), "fingerprints", TEXT_ROWS)
     distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least"), F.first("rank").alias("rank")), "distinct-fingerprints")
-    links = near_links(distinct, node_rows)
+    links = near_links(distinct)
     if close:
         text = text_or_empty(f"`{text_column}`")
         links = close_links(docs.select(F.xxhash64(text).alias("doc"), text.alias("text")), prints.select(F.col("text_hash").alias("doc"), "fp"), stored(links, "near-links"))
