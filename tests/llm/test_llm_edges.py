@@ -1,9 +1,11 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns, for each operator."""
 
+import itertools
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from latticework.llm import bpe, exact_dedup, language_id, mixing, quality_classifier, quality_rules, repeats, simhash, url_filter, warc
 
@@ -74,21 +76,46 @@ def test_exact_dedup_spills(spark):
         assert (r["keep_id"], r["group_size"], r["kept"]) == (first[n], size[n], first[n] == r["doc_id"])
 
 
+def test_exact_dedup_of_a_hot_text_above_the_table(spark):
+    """Copies of one text from many tasks, of more bytes than the table; ids of text type."""
+    hot = "hot words " * 50
+    texts = [hot if k % 3 else f"text {k}" for k in range(300)]
+    docs = spark.createDataFrame([(f"id{k:03d}", t) for k, t in enumerate(texts)], "doc_id string, text string").repartition(40)
+    rows = {r["doc_id"]: r for r in exact_dedup.exact_dedup(docs, table_bytes=600).collect()}
+    assert len(rows) == 300 and all(rows[f"id{k:03d}"]["keep_id"] == (f"id{k:03d}" if k % 3 == 0 else "id001") for k in range(300))
+    assert {r["group_size"] for r in rows.values()} == {1, 200} and sum(r["kept"] for r in rows.values()) == 101
+    whole = exact_dedup.grouped(docs, rows=True, table_bytes=600).filter("leads").select("row.*").collect()
+    assert sorted(r["doc_id"] for r in whole) == sorted(k for k, r in rows.items() if r["kept"])
+
+
 def test_open_addressing_compares_contents():
     assert exact_dedup.distinct_slots(np.zeros(4, np.int64), [b"a", b"b", b"a", b"c"]).tolist() == [0, 1, 0, 3]
 
 
-def test_simhash_crowded_nodes_equal_search(spark):
+@pytest.mark.parametrize("spread", ["clusters", "even", "low bits"])
+def test_simhash_links_against_all_pairs(spark, monkeypatch, spread):
+    from latticework.operators.components import star_edges
+
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 12, dtype=np.uint64)
-    fps = {int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 64, (12, 2))}
+    fps = {
+        "clusters": lambda: {int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 64, (25, 2))},
+        "even": lambda: {int(x) << 50 | int(y) for x, y in rng.integers(0, 1 << 7, (400, 2))},
+        "low bits": lambda: {int(x) for x in rng.integers(0, 1 << 12, 300)} | {2**64 - 1, 2**63, 0},
+    }[spread]()
     fps = np.array(sorted(fps), np.uint64)
     rows = [(int(f), int(r)) for f, r in zip(fps.view(np.int64), simhash.gray_rank(fps).view(np.int64))]
-    distinct = spark.createDataFrame(rows, "fp long, rank long")
-    from latticework.operators.components import star_edges
-
-    one, other = ({tuple(r) for r in star_edges(simhash.near_links(distinct, n)).collect()} for n in (512, 2))
-    assert one == other and one
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+    label = simhash.forest(len(fps), [np.nonzero(np.triu(near, 1))[::-1]])
+    expected = {}
+    for f, k in zip(fps.view(np.int64).tolist(), label.tolist()):
+        expected.setdefault(k, set()).add(f)
+    for fan in (8, 2):
+        monkeypatch.setattr(simhash, "FAN", fan)
+        found = {}
+        for r in star_edges(simhash.near_links(spark.createDataFrame(rows, "fp long, rank long"))).collect():
+            found.setdefault(r["component"], {r["component"]}).add(r["id"])
+        assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in expected.values() if len(g) > 1) and found
 
 
 def test_simhash_keeps_one_of_each(docs):
@@ -206,6 +233,30 @@ def test_warc_round_trip_and_reruns(spark, tmp_path):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "outlier"])
+def test_warc_splits_heavy_bins(spark, tmp_path, ids):
+    of = {"null": lambda k: None, "one": lambda k: 5, "outlier": lambda k: k or 1 << 60}[ids]
+    pages = spark.createDataFrame([(of(k), f"u{k}", f"{k % 50} " * 100) for k in range(400)], "page_id long, url string, html string")
+    manifest = warc.write_archives(pages, str(tmp_path), shard_bytes=20_000, file_bytes=4000).collect()
+    shards = {m["shard"] for m in manifest}
+    assert len(shards) > 3 and max(sum(m["records"] for m in manifest if m["shard"] == s) for s in shards) < 200
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    if ids == "null":
+        assert all(r["record_type"] == "response" for r in rows) and len(rows) == 400
+    else:
+        assert sum(r["record_type"] == "response" for r in rows) == 50 and len(rows) == 400
+        first = {}
+        for r in sorted(rows, key=lambda r: r["page_id"]):
+            first.setdefault(r["payload_digest"], r["page_id"])
+            assert r["refers_to"] in (None, first[r["payload_digest"]])
+    # Files that no manifest names aren't read, and changed ones are found.
+    (tmp_path / "part-99999999-00000.warc.gz").write_bytes(b"left over")
+    assert warc.read_archives(spark, str(tmp_path)).count() == 400
+    (tmp_path / manifest[0]["file"]).write_bytes(b"changed")
+    with pytest.raises(Exception, match="manifest"):
+        warc.read_archives(spark, str(tmp_path)).collect()
+
+
 def test_warc_damage_is_found():
     data = bytearray(warc.record("response", 1, "u", b"payload" * 20, "0" * 64, None))
     with pytest.raises(ValueError):
@@ -259,6 +310,41 @@ def test_viterbi_labels_spans():
     assert language_id.viterbi(np.zeros((0, 2))).tolist() == []
 
 
+def test_viterbi_against_all_paths():
+    def value(scores, path, switch):
+        return sum(scores[t][k] for t, k in enumerate(path)) - switch * sum(a != b for a, b in zip(path, path[1:]))
+
+    rng = np.random.default_rng(2)
+    cases = [np.array([[0.0, -36, -10], [-36, 0, -10]])] + [-rng.integers(0, 37, (rng.integers(1, 7), 3)).astype(float) for _ in range(600)]
+    for scores in cases:
+        best = max(value(scores, p, 12.0) for p in itertools.product(range(3), repeat=len(scores)))
+        assert value(scores, language_id.viterbi(scores, 12.0).tolist(), 12.0) == best
+
+
+def test_spans_of_mixed_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), "text", "lang")
+    model = language_id.learn(docs)
+    long = {r["lang"]: r["text"].split()[:60] for r in docs.filter("length(text) > 2000 and crc32(cast(cast(id as string) as binary)) % 5 = 0").collect()}
+    right = n = 0
+    for a, b in itertools.permutations(sorted(long), 2):
+        path, _ = next(model.spans([" ".join(long[a] + long[b] + long[a]).encode()]))
+        expected = [a] * 60 + [b] * 60 + [a] * 60
+        right += sum(model.languages[k] == e for k, e in zip(path, expected))
+        n += len(expected)
+    assert len(long) > 2 and right >= 0.95 * n
+
+
+def test_smallest_hashes_are_those_of_all_rows(spark):
+    from latticework.llm.common import smallest_hashes
+
+    ids = spark.createDataFrame([(k, "a" if k % 10 else "b") for k in range(4000)], "id long, g string")
+    got = {(r["g"], r["place"]): r["id"] for r in smallest_hashes(ids, "g", 100).collect()}
+    every = ids.select("id", "g", F.xxhash64("id").alias("h")).collect()
+    for g in "ab":
+        order = [r["id"] for r in sorted((r for r in every if r["g"] == g), key=lambda r: r["h"])]
+        assert [got[g, k + 1] for k in range(100)] == order[:100]
+
+
 def test_quality_counts(spark):
     text = "a b c d\n\na b c d\nx # y | z\n"
     r = quality_rules.quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
