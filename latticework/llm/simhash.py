@@ -24,8 +24,8 @@ from latticework.llm.common import TEXT_ROWS, fields, picked, stored, text_or_em
 from latticework.operators.components import star_edges
 
 BITS, SHINGLE, SEED = 2, 3, 42
-#: Children of a node, and pairs held in one step.
-FAN, FRONTIER = 8, 1 << 19
+#: Children of a node, leaves at least, and pairs held in one step.
+FAN, LEAVES, FRONTIER = 8, 64, 1 << 19
 
 
 def fingerprint(content: bytes, words_per_shingle: int = SHINGLE) -> int:
@@ -146,9 +146,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """(src, dst) over distinct fingerprints fp (long) with their Gray rank (long): forests that connect what links."""
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    leaves = stored(distinct.select("fp", "rank").repartitionByRange(parts, "rank").withColumn("leaf", F.spark_partition_id()), "leaves")
-    # A row for each range, of which there are as many as shuffle partitions.
+    parts = max(LEAVES, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    leaves = stored(distinct.select("fp", "rank").repartitionByRange(parts, "rank").withColumn("leaf", F.spark_partition_id()).coalesce(-(-parts // FAN)), "leaves")
+    # A row for each range, of which there are as many as shuffle partitions, and LEAVES at least.
     shared = leaves.groupBy("leaf").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")).orderBy("leaf").toArrow()
     number, ones, some = (np.asarray(shared[c]) for c in ("leaf", "ones", "any"))
     mask = ~(ones ^ some).view(np.uint64)
