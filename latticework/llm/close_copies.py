@@ -5,7 +5,8 @@ so n - ceil(0.8 n) at most are its own. Two filters follow, each for an order of
 
 - In order of hash, the first n - ceil(0.8 n) + l shingles of both sets share l at least. A text with too many shingles there
   that no other text has there has no close copy; most texts leave here, and only these leading shingles are shuffled.
-- The rest have all shingles counted. Of the n - ceil(0.8 n) + 1 rarest, close sets share one, under which they meet.
+- The rest have all shingles counted. Of the n - ceil(0.8 n) + 1 rarest, close sets share one, under which they meet. The first that
+  they share has all others behind it in both sets, so a pair is looked at only if enough are left there for its similarity.
 
 Pairs that links connect already need no look. Under a shingle that many texts share, a few texts are compared with all
 others first, so that a large group of copies becomes one component without all its pairs; the texts outside the largest
@@ -27,7 +28,7 @@ from latticework.llm.common import TEXT_ROWS, stored
 from latticework.operators.components import star_edges
 
 #: Words of a shingle; further leading shingles of each ten; pairs for each row that are looked at in one go; texts compared first.
-WORDS, FURTHER, PAIRS, FIRST = 5, 0.1, 64, 4
+WORDS, FURTHER, PAIRS, FIRST = 5, 0.1, 8, 2
 #: Words whose hashes a worker remembers.
 REMEMBERED = 400_000
 
@@ -105,8 +106,9 @@ def close_links(texts: DataFrame, prints: DataFrame, near: DataFrame) -> DataFra
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     # Those that no other text has are the rarest of all; they take the first places of a prefix.
     shared = rows.join(counts, "token").groupBy("doc", "n", "own").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    rarest = shared.select("doc", "n", F.slice("t", 1, F.greatest(F.lit(0), F.col("own") + 1 - (F.col("n") - F.size("t")))).alias("t"))
-    member = stored(rarest.select("doc", "n", F.explode("t.token").alias("token")), "prefixes")
+    rarest = shared.select("doc", "n", F.size("t").alias("shared"), F.slice("t", 1, F.greatest(F.lit(0), F.col("own") + 1 - (F.col("n") - F.size("t")))).alias("t"))
+    # left: shingles from this one on, in order of rarity.
+    member = stored(rarest.select("doc", "n", "shared", F.posexplode("t.token").alias("at", "token")).select("doc", "n", "token", (F.col("shared") - F.col("at")).alias("left")), "prefixes")
     links, most, step = near, FIRST, 0
     while True:
         roots = star_edges(links)
@@ -115,17 +117,17 @@ def close_links(texts: DataFrame, prints: DataFrame, near: DataFrame) -> DataFra
         sizes = now.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max("c").alias("top_c"), F.max_by("comp", "c").alias("top")).filter("m > top_c")
         first = F.pmod(F.xxhash64("doc", F.lit(step)), F.col("m") - F.col("top_c")) < most
         pivot = (F.col("comp") != F.col("top")) & ((F.col("m") * F.col("m") - F.col("sq") <= PAIRS * F.col("m")) | first)
-        live = stored(now.join(sizes, "token").select("token", "doc", "n", "comp", pivot.alias("pivot")), "members")
+        live = stored(now.join(sizes, "token").select("token", "doc", "n", "left", "comp", pivot.alias("pivot")), "members")
         if live.isEmpty():
             return links
-        a = live.filter("pivot").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        b = live.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        met = a.join(b, "token").filter("ca <> cb and 5 * na >= 4 * nb and 5 * nb >= 4 * na")
+        a = live.filter("pivot").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("comp").alias("ca"))
+        b = live.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("comp").alias("cb"))
+        met = a.join(b, "token").filter("ca <> cb").filter(close(F.least("la", "lb"), F.col("na"), F.col("nb")))
         pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close-candidates")
         side = lambda k: sets.join(prints, "doc").select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"), F.col("fp").alias(f"f{k}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         right = both.filter(close(F.size(F.array_intersect("ta", "tb")), F.col("na"), F.col("nb"))).select(F.col("fa").alias("src"), F.col("fb").alias("dst"))
         links = links.unionByName(stored(right, "close-links"))
         # What has met all others of its shingle is done there.
-        member = live.filter("not pivot").select("doc", "n", "token")
+        member = live.filter("not pivot").select("doc", "n", "token", "left")
         most, step = most * 8, step + 1
