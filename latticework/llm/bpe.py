@@ -30,7 +30,7 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 WHITE, LETTER, NUMBER, OTHER = range(4)
 NO_RANK = 1 << 30
 #: Bytes of a word up to which its ranks are scanned, and characters of text that are encoded together.
-SHORT, TOGETHER = 128, 1 << 20
+SHORT, TOGETHER = 128, 1 << 18
 #: A space that begins a word, whatever stands before and after: long texts may be cut there.
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Odd multipliers of hashes.

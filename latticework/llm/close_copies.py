@@ -30,7 +30,7 @@ from latticework.operators.components import star_edges
 #: Words of a shingle; further leading shingles of each ten; pairs for each row that are looked at in one go; texts compared first.
 WORDS, FURTHER, PAIRS, FIRST = 5, 0.1, 8, 2
 #: Words whose hashes a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 class _Hashes(dict):

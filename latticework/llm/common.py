@@ -16,7 +16,7 @@ __all__ = ["SPACE", "TEXT_ROWS", "WORD", "crc_fold", "fields", "picked", "releas
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of whole texts that go to Python at once.
-TEXT_ROWS = 2000
+TEXT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

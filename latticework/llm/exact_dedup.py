@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from latticework.llm.common import SPACE, text_or_empty
 
 #: Bytes of content that one open-addressing table may hold, partition files of each level of spilling, and rows of a batch of results.
-TABLE_BYTES, FAN_OUT, RESULT_ROWS = 48 << 20, 16, 2000
+TABLE_BYTES, FAN_OUT, RESULT_ROWS = 16 << 20, 16, 2000
 
 
 def normalised(column: str = "text") -> Column:
