@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.sources.scratch import stored
+from latticework.sources.scratch import released, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,7 +32,8 @@ def star_edges(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         large = large.unionByName(now.join(low, "a").select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = stored(small.filter("a <> b").distinct(), "edges")
+        before, now = now, stored(small.filter("a <> b").distinct(), "edges")
+        released(before)
         was, mark = mark, _mark(now)
         if was == mark:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
