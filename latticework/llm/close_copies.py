@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import TEXT_ROWS, stored
+from latticework.llm.common import TEXT_ROWS, released, stored
 from latticework.operators.components import star_edges
 
 #: Words of a shingle; further leading shingles of each ten; pairs for each row that are looked at in one go; texts compared first.
@@ -97,37 +97,45 @@ def close_links(texts: DataFrame, prints: DataFrame, near: DataFrame) -> DataFra
     """(src, dst) over fingerprints: near and further links that connect all fingerprints whose texts (doc, text) are close.
 
     doc is a hash of the text, prints (doc, fp) its fingerprint, near a stored table of links. Equal texts may come more than once.
+    The further ones lie between fingerprints that stand for components, each pair of components once in a round. Tables of one round go
+    once the next has read them.
     """
     play = stored(_in_play(texts), "in-play", TEXT_ROWS)
     chosen = texts.join(play, "doc").dropDuplicates(["doc"])
     prints = stored(prints.join(play, "doc").distinct(), "close-prints")
     sets = stored(_sets(chosen, False), "shingle-sets", TEXT_ROWS)
-    rows = sets.select("doc", "n", "own", F.explode("tokens").alias("token"))
+    rows = sets.select("doc", F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     # Those that no other text has are the rarest of all; they take the first places of a prefix.
-    shared = rows.join(counts, "token").groupBy("doc", "n", "own").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    shared = rows.join(counts, "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).join(sets.select("doc", "n", "own"), "doc")
     rarest = shared.select("doc", "n", F.size("t").alias("shared"), F.slice("t", 1, F.greatest(F.lit(0), F.col("own") + 1 - (F.col("n") - F.size("t")))).alias("t"))
     # left: shingles from this one on, in order of rarity.
-    member = stored(rarest.select("doc", "n", "shared", F.posexplode("t.token").alias("at", "token")).select("doc", "n", "token", (F.col("shared") - F.col("at")).alias("left")), "prefixes")
-    links, most, step = near, FIRST, 0
+    member = held = stored(rarest.select("doc", "n", "shared", F.posexplode("t.token").alias("at", "token")).select("doc", "n", "token", (F.col("shared") - F.col("at")).alias("left")), "prefixes")
+    # Components by near's links; after that only links between components are looked at, so that no round meets older links again.
+    of = prints.join(star_edges(near), F.col("fp") == F.col("id"), "left").select("doc", F.coalesce("component", "fp").alias("comp"))
+    member, links, most, step = member.join(of, "doc"), near, FIRST, 0
     while True:
-        roots = star_edges(links)
-        of = prints.join(roots, F.col("fp") == F.col("id"), "left").select("doc", F.coalesce("component", "fp").alias("comp"))
-        now = stored(member.join(of, "doc"), "members")
+        now = stored(member, "members")
+        released(held)
         sizes = now.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max("c").alias("top_c"), F.max_by("comp", "c").alias("top")).filter("m > top_c")
         first = F.pmod(F.xxhash64("doc", F.lit(step)), F.col("m") - F.col("top_c")) < most
         pivot = (F.col("comp") != F.col("top")) & ((F.col("m") * F.col("m") - F.col("sq") <= PAIRS * F.col("m")) | first)
-        live = stored(now.join(sizes, "token").select("token", "doc", "n", "left", "comp", pivot.alias("pivot")), "members")
+        live = held = stored(now.join(sizes, "token").select("token", "doc", "n", "left", "comp", pivot.alias("pivot")), "members")
+        released(now)
         if live.isEmpty():
+            for done in (held, sets, prints, play):
+                released(done)
             return links
         a = live.filter("pivot").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("comp").alias("ca"))
         b = live.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("comp").alias("cb"))
         met = a.join(b, "token").filter("ca <> cb").filter(close(F.least("la", "lb"), F.col("na"), F.col("nb")))
-        pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close-candidates")
-        side = lambda k: sets.join(prints, "doc").select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"), F.col("fp").alias(f"f{k}"))
+        turned = F.col("a") > F.col("b")
+        pairs = stored(met.select(*[F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ca", "cb"), ("cb", "ca"))]).distinct(), "close-candidates")
+        side = lambda k: sets.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        right = both.filter(close(F.size(F.array_intersect("ta", "tb")), F.col("na"), F.col("nb"))).select(F.col("fa").alias("src"), F.col("fb").alias("dst"))
-        links = links.unionByName(stored(right, "close-links"))
+        right = stored(both.filter(close(F.size(F.array_intersect("ta", "tb")), F.col("na"), F.col("nb"))).select(F.col("ca").alias("src"), F.col("cb").alias("dst")).distinct(), "close-links")
+        released(pairs)
+        links = links.unionByName(right)
         # What has met all others of its shingle is done there.
-        member = live.filter("not pivot").select("doc", "n", "token", "left")
+        member = live.filter("not pivot").join(star_edges(right), F.col("comp") == F.col("id"), "left").select("doc", "n", "token", "left", F.coalesce("component", "comp").alias("comp"))
         most, step = most * 8, step + 1
