@@ -32,7 +32,9 @@ def sql(statement: str) -> str:
     body = statement.strip()
     recursive = "RECURSIVE " if body[:14].upper() == "WITH RECURSIVE" else ""
     body = re.sub(r"^WITH (RECURSIVE )?", ", ", body, flags=re.I) if body[:5].upper() == "WITH " else " " + body
-    return f"WITH {recursive}" + ", ".join(f"{n} AS ({TWINS[n].strip()})" for n in named) + body
+    # The mesh twins are joined with themselves; engines that inline them would do so again for each mention.
+    kept = {n: "MATERIALIZED " if n.startswith("mesh_") else "" for n in named}
+    return f"WITH {recursive}" + ", ".join(f"{n} AS {kept[n]}({TWINS[n].strip()})" for n in named) + body
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
