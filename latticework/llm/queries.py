@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.llm.alignment import align
 from latticework.llm.bpe import bpe_round_trip
 from latticework.llm.common import table
 from latticework.llm.exact_dedup import exact_dedup
+from latticework.llm.hard_negatives import hard_negatives
 from latticework.llm.language_id import identify
 from latticework.llm.mixing import mix
 from latticework.llm.quality_classifier import classify
@@ -60,11 +62,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_simhash, op4_language_id, op5_mixing, op6_suffix_dedup, op7_bpe, op8_warc, op9_exact_dedup, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_simhash, op4_language_id, op5_mixing, op6_suffix_dedup, op7_bpe, op8_warc, op9_exact_dedup, op10_quality_classifier, op11_hard_negatives, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
     from latticework.llm import sql
 
-    return {"op1_quality_rules": sql.OP1, "op5_mixing": sql.OP5, "op8_warc": sql.OP8, "op9_exact_dedup": sql.OP9}
+    return {"op1_quality_rules": sql.OP1, "op5_mixing": sql.OP5, "op8_warc": sql.OP8, "op9_exact_dedup": sql.OP9, "op11_hard_negatives": sql.OP11}
