@@ -18,6 +18,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,10 @@ def cut_spaces(codes: np.ndarray) -> np.ndarray:
     return at[~before & ~MAY_BE_WHITE[codes[at + 1]]]
 
 
+def low_bits(pieces: sentencepiece.SentencePieceProcessor) -> int:
+    return (pieces.get_piece_size() - 1).bit_length()
+
+
 class Tokens:
     """Ids of both sides for each spelling, in flat arrays that grow."""
 
@@ -77,7 +82,6 @@ class Aligner:
 
     def __init__(self, vocabulary: str, pieces: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
-        import sentencepiece
         from tokenizers import Tokenizer
 
         letters = byte_letters()
@@ -93,7 +97,7 @@ class Aligner:
         self.first = [np.cumsum(n) - n for n in self.size]
         self.bytes = [np.frombuffer(b"".join(of), np.uint8) for of in tokens]
         #: A pair's key has B's id in its lowest bits.
-        self.bits = (len(tokens[1]) - 1).bit_length()
+        self.bits = low_bits(self.b)
         width = len(str(max(map(len, tokens)) - 1))
         self.digits = np.frombuffer("".join(f"{i}".ljust(width, "\0") + "," for i in range(max(map(len, tokens)))).encode(), np.uint8).reshape(-1, width + 1)
         # Where a piece goes on over a space, texts can't be cut at spaces.
@@ -372,11 +376,11 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     return stored(docs.select(F.col(f"`{id_column}`").alias("id"), text_or_empty(f"`{text_column}`").alias("text")).mapInArrow(run, out), "linked", TEXT_ROWS)
 
 
-def pair_counts(links: DataFrame) -> DataFrame:
+def pair_counts(links: DataFrame, bits: int) -> DataFrame:
     """(pair, docs, best): in how many documents of all each pair is linked, and whether no pair of its A id is in more."""
     each = links.filter("chunk_pairs IS NOT NULL").select(F.explode(F.arrays_zip("chunk_pairs", "chunk_docs")).alias("p")).select(F.col("p.chunk_pairs").alias("pair"), F.col("p.chunk_docs").alias("docs"))
     counts = stored(each.groupBy("pair").agg(F.sum("docs").alias("docs")), "pair_counts")
-    a = F.shiftright("pair", ID_BITS)
+    a = F.shiftright("pair", bits)
     most = counts.groupBy(a.alias("a")).agg(F.max("docs").alias("most"))
     return counts.join(most, a == F.col("a")).select("pair", "docs", (F.col("docs") == F.col("most")).alias("best"))
 
@@ -404,8 +408,9 @@ def align(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     of the counts comes to it by a join on the pair, each pair once for a chunk.
     """
     links = linked(docs, id_column, text_column, vocabulary, pieces)
-    wanted = links.filter("chunk_pairs IS NOT NULL").select("chunk", F.explode("chunk_pairs").alias("pair"))
-    found = wanted.join(pair_counts(links), "pair")
+    bits = low_bits(sentencepiece.SentencePieceProcessor(model_file=pieces or default_pieces()))
+    wanted = links.filter("chunk_pairs IS NOT NULL").select(F.col("chunk").alias("of_chunk"), F.explode("chunk_pairs").alias("pair"))
+    found = wanted.join(pair_counts(links, bits), "pair")
     out = T.StructType([links.schema["id"], *[T.StructField(n, T.LongType()) for n in NUMBERS], T.StructField("groups_sha256", T.StringType()), T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())])
-    scored = links.drop("chunk_pairs", "chunk_docs").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_scored, out)
+    scored = links.drop("chunk_pairs", "chunk_docs").groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(_scored, out)
     return scored.select(F.col("id").alias(id_column), *NUMBERS, "n_best", "count_sum", "groups_sha256")
