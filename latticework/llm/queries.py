@@ -17,6 +17,7 @@ from latticework.llm.mixing import mix
 from latticework.llm.quality_classifier import classify
 from latticework.llm.quality_rules import quality
 from latticework.llm.repeats import remove_repeats
+from latticework.llm.secret_scan import scan
 from latticework.llm.simhash import near_duplicates
 from latticework.llm.url_filter import filter_urls
 from latticework.llm.warc import archive
@@ -66,12 +67,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_simhash, op4_language_id, op5_mixing, op6_suffix_dedup, op7_bpe, op8_warc, op9_exact_dedup, op10_quality_classifier, op11_hard_negatives, op13_alignment)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_simhash, op4_language_id, op5_mixing, op6_suffix_dedup, op7_bpe, op8_warc, op9_exact_dedup, op10_quality_classifier, op11_hard_negatives, op12_secret_scan, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
