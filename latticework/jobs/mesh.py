@@ -252,6 +252,41 @@ def msh27_delaunay(spark: SparkSession, d: str) -> DataFrame:
     return triangulated(T.points_ev(spark, d).withColumnRenamed("user_id", "grp"))
 
 
+@query(sql("SELECT CAST(count(*) AS BIGINT) AS points, CAST(0 AS BIGINT) AS euler, CAST(0 AS BIGINT) AS illegal, CAST(0 AS BIGINT) AS dents, 0.0::DOUBLE AS gap FROM (SELECT DISTINCT x, y FROM points_neg)"))
+def msh27_one_cloud(spark: SparkSession, d: str) -> DataFrame:
+    """One triangulation of all embeddings' points, and what makes it the right one.
+
+    Of n points it has 2 n - 2 - border triangles, no edge whose two triangles see each other's corner in their circle, a border
+    without dents, and as much area as the border encloses.
+    """
+    from latticework.operators.triangulation import triangulated
+
+    p = T.points_neg(spark, d)
+    t = T.stored_once(triangulated(p.withColumn("grp", F.lit(0)), bound=500))
+    for k in (1, 2, 3):
+        t = t.join(p.select(F.col("pid").alias(f"n{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")), f"n{k}")
+    t = T.stored_once(t)
+    end = lambda k, s: [F.col(f"{c}{k}").alias(f"{c}{s}") for c in "nxy"]
+    edge = t.select(F.explode(F.array(*[F.struct(*end(i, "a"), *end(j, "b"), *end(k, "c")) for i, j, k in ((1, 2, 3), (2, 3, 1), (3, 1, 2))])).alias("e")).select("e.*")
+    twin = edge.select(F.col("na").alias("nb"), F.col("nb").alias("na"), F.col("nc").alias("nd"), F.col("xc").alias("xd"), F.col("yc").alias("yd"))
+    both = T.stored_once(edge.join(twin, ["na", "nb"], "left"))
+    # A distance from the circle's rim, so that points on it pass.
+    cx, cy = G.circumcenter(G.point("xa", "ya"), G.point("xb", "yb"), G.point("xc", "yc"))
+    r2, d2 = G.dist2((cx, cy), G.point("xa", "ya")), G.dist2((cx, cy), G.point("xd", "yd"))
+    border = both.filter("nd is null")
+    follow = border.select(F.col("na").alias("nb"), F.col("xb").alias("xe"), F.col("yb").alias("ye"))
+    dents = border.join(follow, "nb").filter(G.orient(G.point("xa", "ya"), G.point("xb", "yb"), G.point("xe", "ye")) < -1e-9)
+    cross = F.expr("xa * yb - xb * ya") / 2
+    parts = [
+        t.select(F.explode(F.array("n1", "n2", "n3")).alias("n")).distinct().agg(F.count("*").alias("points")), t.agg(F.count("*").alias("triangles"), F.sum(G.tri_area(G.point("x1", "y1"), G.point("x2", "y2"), G.point("x3", "y3"))).alias("area")),
+        border.agg(F.count("*").alias("border"), F.sum(cross).alias("hull")), both.filter(F.col("nd").isNotNull() & (d2 < r2 * (1 - 1e-9))).agg(F.count("*").alias("illegal")), dents.agg(F.count("*").alias("dents")),
+    ]
+    one = parts[0]
+    for more in parts[1:]:
+        one = one.join(more, F.lit(True))
+    return one.select("points", F.expr("triangles - (2 * points - 2 - border)").alias("euler"), "illegal", "dents", r6(F.round(F.col("area") - F.col("hull"), 3)).alias("gap"))
+
+
 @query(sql("SELECT s.sgm, s.lo, s.hi, min(f.elem) AS first, max(f.elem) AS last FROM (SELECT a.sgm, least(a.nid, b.nid) AS lo, greatest(a.nid, b.nid) AS hi FROM mesh_insgm a JOIN mesh_insgm b ON a.sgm = b.sgm AND b.seq = a.seq + 1) s JOIN mesh_face f USING (lo, hi) GROUP BY 1, 2, 3"))
 def msh34_elements_along_segments(spark: SparkSession, d: str) -> DataFrame:
     s = M.wall_faces(T.mesh_insgm(spark, d))
