@@ -13,6 +13,8 @@ from latticework.operators import graph as GR
 from latticework.operators import models as M
 from latticework.operators import sparse as SP
 from latticework.operators import spatial as S
+from latticework.sources import formats as FM
+from latticework.sources import lines as L
 from latticework.sources import tables as T
 from latticework.sources import textfiles as X
 from latticework.sources.scratch import shared_dir
@@ -32,12 +34,12 @@ def src1_read_tables(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(sum(x), 3) AS sx, round(sum(y), 3) AS sy FROM points_ev GROUP BY user_id"))
 def src2_points_text(spark: SparkSession, d: str) -> DataFrame:
-    # Written as one text file per user and read again.
+    # Written as a document for each user and read again.
     p = T.points_ev(spark, d)
     path = _fresh(spark, "points")
-    X.write_points(p.select(F.col("user_id").alias("key"), "pid", "x", "y"), path)
-    back = X.read_points(spark, f"{path}/key=*")
-    return back.groupBy(F.regexp_extract("file", r"key=(\d+)", 1).cast("long").alias("user_id")).agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum("y"), 3).alias("sy"))
+    L.write_lines(FM.point_lines(p.select(F.col("user_id").alias("key"), "pid", "x", "y")), path, ["pid"])
+    back = FM.points_read(L.lines_of(spark, f"{path}/key=*", folders=True))
+    return back.groupBy(F.regexp_extract("doc", r"key=(\d+)", 1).cast("long").alias("user_id")).agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum("y"), 3).alias("sy"))
 
 
 def _ring_models(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -52,8 +54,8 @@ def _ring_models(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
 @query(sql("SELECT CAST(count(*) AS BIGINT) AS vertices, CAST(count(*) AS BIGINT) AS edges, CAST(count(*) FILTER (seq = 0 AND poly_id % 300 = 0) AS BIGINT) AS holes, round(sum(x), 3) AS sx FROM rings"))
 def src3_pslg_text(spark: SparkSession, d: str) -> DataFrame:
     path = _fresh(spark, "pslg")
-    X.pslg_text(*_ring_models(spark, d)).repartition("model").write.partitionBy("model").text(path)
-    back = X.read_pslg(spark, f"{path}/model=*")
+    L.write_lines(FM.pslg_lines(*_ring_models(spark, d)), path, ["part", "id"])
+    back = FM.pslg_read(L.lines_of(spark, f"{path}/key=*", folders=True))
     v = back["vertex"].agg(F.count("*").alias("vertices"), F.round(F.sum("x"), 3).alias("sx"))
     return v.join(back["edge"].agg(F.count("*").alias("edges")), F.lit(True)).join(back["hole"].agg(F.count("*").alias("holes")), F.lit(True))
 
@@ -67,6 +69,53 @@ def src4_sparse_text(spark: SparkSession, d: str) -> DataFrame:
     return X.parse_sparse(spark.read.text(path).select(t[0].cast("long").alias("i"), t[1].alias("value")))
 
 
+def _numbers(spark: SparkSession, entries: DataFrame) -> DataFrame:
+    """(i) from 0 to the largest row or column of entries."""
+    return spark.range(entries.agg(F.max(F.greatest("i", "j"))).first()[0] + 1).select(F.col("id").alias("i"))
+
+
+def _symmetric(spark: SparkSession, d: str) -> DataFrame:
+    return T.edges_sym(spark, d).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").cast("double").alias("v"))
+
+
+@query(sql("SELECT 'plain' AS form, i, j, CAST(v AS DOUBLE) AS v FROM coo UNION ALL SELECT 'sized', i, j, CAST(v AS DOUBLE) FROM coo UNION ALL SELECT 'graph', src, dst, CAST(w AS DOUBLE) FROM edges_sym"))
+def src4_matrix_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Matrices written and read again in each form, rows without entries too; a header's counts are held against what follows."""
+    m, g = T.stored_once(T.coo(spark, d).withColumn("v", F.col("v").cast("double"))), T.stored_once(_symmetric(spark, d))
+    out = None
+    for form, entries in (("plain", m), ("sized", m), ("graph", g)):
+        path = _fresh(spark, "matrix")
+        L.write_lines(FM.matrix_lines(entries, _numbers(spark, entries), form).withColumn("key", F.lit(0)), path, ["i"])
+        back, _, faults = FM.matrix_read(L.lines_of(spark, path + "/key=*", folders=True), form)
+        # A document with a fault gives no rows.
+        back = back.join(faults.select("doc").distinct(), "doc", "left_anti").select(F.lit(form).alias("form"), "i", "j", "v")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query(sql("""WITH c AS (SELECT max(greatest(i, j)) AS most FROM coo), r AS (SELECT CAST(range AS BIGINT) AS i FROM c, range(0, c.most + 1)),
+    l AS (SELECT r.i, coalesce(string_agg((j + 1) || ' ' || CAST(CAST(v AS INTEGER) AS VARCHAR), ' ' ORDER BY j), '') AS line FROM r LEFT JOIN coo USING (i) GROUP BY r.i)
+    SELECT i, line FROM l UNION ALL SELECT -1, (SELECT most + 1 FROM c) || ' ' || (SELECT max(j) + 1 FROM coo) || ' ' || (SELECT count(*) FROM coo)"""))
+def src5_matrix_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a matrix with a header of rows, columns and entries (i = -1)."""
+    m = T.stored_once(T.coo(spark, d).withColumn("v", F.col("v").cast("int")))
+    return FM.matrix_lines(m, _numbers(spark, m), "sized")
+
+
+@query(sql("""WITH g AS (SELECT max(src) AS most FROM edges_sym), r AS (SELECT CAST(range AS BIGINT) AS i FROM g, range(0, g.most + 1))
+    SELECT r.i, CAST(count(dst) AS BIGINT) AS degree, CAST(coalesce(sum(w), 0) AS DOUBLE) AS w, CAST(r.i % 5 + 1 AS DOUBLE) AS size, CAST(r.i % 3 AS DOUBLE) AS w1, CAST(r.i % 7 AS DOUBLE) AS w2 FROM r LEFT JOIN edges_sym ON src = r.i GROUP BY r.i"""))
+def src6_graph_formats(spark: SparkSession, d: str) -> DataFrame:
+    """A graph with vertex sizes, two weights a vertex and edge weights, written under its flags and read again; several files, one document."""
+    e = T.stored_once(_symmetric(spark, d))
+    path = _fresh(spark, "graph")
+    rows = _numbers(spark, e).withColumns({"size": F.col("i") % 5 + 1, "w1": F.col("i") % 3, "w2": F.col("i") % 7})
+    L.write_lines(FM.matrix_lines(e, rows, "graph", sizes="size", weights=["w1", "w2"]).withColumn("key", F.lit(0)), path, ["i"])
+    entries, vertices, faults = FM.matrix_read(L.lines_of(spark, path + "/key=*", folders=True), "graph")
+    sums = entries.groupBy("doc", "i").agg(F.count("*").alias("degree"), F.sum("v").alias("w"))
+    whole = vertices.join(faults.select("doc").distinct(), "doc", "left_anti").join(sums, ["doc", "i"], "left")
+    return whole.select("i", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("w", F.lit(0.0)).alias("w"), "size", F.col("weights")[0].alias("w1"), F.col("weights")[1].alias("w2"))
+
+
 @query(sql("SELECT i, string_agg((j + 1) || ' ' || CAST(CAST(v AS INTEGER) AS VARCHAR), ' ' ORDER BY j) AS value FROM coo GROUP BY i"))
 def src5_write_sparse(spark: SparkSession, d: str) -> DataFrame:
     return X.sparse_text(T.coo(spark, d).withColumn("v", F.col("v").cast("int")))
@@ -89,11 +138,35 @@ def _step_rows(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("SELECT step, comp, CAST(count(*) AS BIGINT) AS n, round(sum(value), 3) AS total FROM (SELECT CAST(floor(x/24) AS INTEGER) + 1 AS step, unnest([0, 1]) AS comp, unnest([x, y]) AS value FROM points_ev) GROUP BY 1, 2"))
 def src7_step_fields(spark: SparkSession, d: str) -> DataFrame:
     path = _fresh(spark, "steps")
-    X.steps_text(_step_rows(spark, d)).repartition("step").write.partitionBy("step").text(path)
-    back = X.parse_steps(spark.read.text(f"{path}/step=*", wholetext=True))
+    L.write_lines(FM.step_lines(_step_rows(spark, d).withColumn("key", F.lit(0))), path, ["step", "part", "name", "row"])
+    back = FM.steps_read(L.lines_of(spark, path + "/key=*", folders=True, comment="#.*$"))
     return back.groupBy("step", "comp").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
+HOT_STEP = "CASE WHEN pid % 3 = 0 THEN 1 ELSE CAST(floor(x/24) AS INTEGER) + 1 END"
+
+
+def _hot_steps(spark: SparkSession, d: str) -> DataFrame:
+    """A document of steps with two fields; a third of all rows lies in step 1."""
+    p = T.points_ev(spark, d).withColumn("step", F.when(F.col("pid") % 3 == 0, 1).otherwise((F.floor(F.col("x") / 24) + 1).cast("int")))
+    base = lambda name, kind: [F.lit(0).alias("key"), "step", (F.col("step") / 4).alias("time"), F.lit(name).alias("name"), F.lit(kind).alias("support"), F.col("pid").alias("id")]
+    fields = p.select(*base("place", "Nodes"), F.posexplode(F.array("x", "y")).alias("comp", "value")).unionByName(p.select(*base("level", "Elements"), F.lit(0).alias("comp"), F.col("y").alias("value")))
+    path = _fresh(spark, "steps")
+    L.write_lines(FM.step_lines(fields), path, ["step", "part", "name", "row"])
+    return L.lines_of(spark, path + "/key=*", folders=True, comment="#.*$")
+
+
+@query(sql(f"SELECT step, step / 4.0::DOUBLE AS time, CAST(row_number() OVER (PARTITION BY step ORDER BY pid) - 1 AS BIGINT) AS id, y AS value, 'Scalar' AS type, 'Elements' AS support FROM (SELECT *, {HOT_STEP} AS step FROM points_ev)"))
+def src7_named_field(spark: SparkSession, d: str) -> DataFrame:
+    """All steps of one field."""
+    return FM.steps_read(_hot_steps(spark, d), name="level").select("step", "time", "id", "value", "type", "support")
+
+
+@query(sql(f"SELECT DISTINCT step, step / 4.0::DOUBLE AS time FROM (SELECT {HOT_STEP} AS step FROM points_ev)"))
+def src7_step_list(spark: SparkSession, d: str) -> DataFrame:
+    return FM.step_list(_hot_steps(spark, d)).select("step", "time")
+
+
 @query(sql("SELECT elem, '3 ' || string_agg(CAST(nid AS VARCHAR), ' ' ORDER BY pos) AS line, 5 AS type FROM mesh_elem GROUP BY elem"))
 def src8_mesh_view(spark: SparkSession, d: str) -> DataFrame:
     return X.vtk_cells(T.mesh_elem(spark, d))

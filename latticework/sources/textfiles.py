@@ -1,9 +1,8 @@
-"""Readers and writers of plain-text formats: points, planar graphs, sparse rows, graphs, result steps, mesh views, settings."""
+"""Plain text of single rows: sparse rows, small result steps as a stream gives them, mesh views, settings. Documents: see formats.py."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.strings import assignment
@@ -11,58 +10,10 @@ from latticework.functions.strings import assignment
 WHITE = r"\s+"
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, line) with n counted from 0 in each file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
-    return whole.select("file", F.posexplode("lines").alias("n", "line"))
-
-
 def parts(line) -> F.Column:
     return F.filter(F.split(F.trim(line), WHITE), lambda t: t != "")
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pid, x, y) of files with a count and then a line 'x y' for each point."""
-    p = numbered_lines(spark, path).select("file", "n", parts("line").alias("t")).filter("n > 0 and size(t) >= 2")
-    return p.select("file", (F.col("n") - 1).cast("long").alias("pid"), F.col("t")[0].cast("double").alias("x"), F.col("t")[1].cast("double").alias("y"))
-
-
-def write_points(points: DataFrame, path: str) -> None:
-    """One file per value of key: points (key, pid, x, y) as text, in order of pid."""
-    rows = points.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pid", "x", "y"))).alias("p"))
-    lines = F.transform("p", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
-    rows.select("key", F.concat_ws("\n", F.array(F.size("p").cast("string")), lines).alias("value")).repartition("key").write.partitionBy("key").text(path)
-
-
-def read_pslg(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables vertex (file, vid, x, y), edge (file, eid, v1, v2) and hole (file, hid, x, y) of files N, vertices, M, edges, H, holes."""
-    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), parts(F.regexp_replace("value", "#[^\n]*", "")).alias("t"))
-    n = t.withColumn("n", F.get("t", F.lit(0)).cast("int")).withColumn("m", F.get("t", 1 + 2 * F.col("n")).cast("int"))
-    n = n.withColumn("h", F.get("t", 2 + 2 * F.col("n") + 2 * F.col("m")).cast("int"))
-
-    def pairs(at, count, id_name: str, a: str, b: str, kind: str) -> DataFrame:
-        rows = n.filter(count > 0).select("file", "t", at.alias("at"), F.explode(F.sequence(F.lit(0), count - 1)).alias(id_name))
-        return rows.select("file", id_name, F.get("t", F.col("at") + 2 * F.col(id_name)).cast(kind).alias(a), F.get("t", F.col("at") + 2 * F.col(id_name) + 1).cast(kind).alias(b))
-
-    return {
-        "vertex": pairs(F.lit(1), F.col("n"), "vid", "x", "y", "double"),
-        "edge": pairs(2 + 2 * F.col("n"), F.col("m"), "eid", "v1", "v2", "long"),
-        "hole": pairs(3 + 2 * F.col("n") + 2 * F.col("m"), F.coalesce("h", F.lit(0)), "hid", "x", "y", "double"),
-    }
-
-
-def pslg_text(vertex: DataFrame, edge: DataFrame, hole: DataFrame) -> DataFrame:
-    """(model, value): the text of each model from vertex (model, vid, x, y), edge (model, eid, v1, v2), hole (model, hid, x, y)."""
-
-    def block(df: DataFrame, key: str, a: str, b: str, name: str) -> DataFrame:
-        rows = df.groupBy("model").agg(F.sort_array(F.collect_list(F.struct(key, a, b))).alias("r"))
-        lines = F.transform("r", lambda r: F.concat_ws(" ", r[a].cast("string"), r[b].cast("string")))
-        return rows.select("model", F.concat_ws("\n", F.array(F.size("r").cast("string")), lines).alias(name))
-
-    all_of = block(vertex, "vid", "x", "y", "v").join(block(edge, "eid", "v1", "v2", "e"), "model", "left").join(block(hole, "hid", "x", "y", "h"), "model", "left")
-    return all_of.select("model", F.concat_ws("\n", "v", F.coalesce("e", F.lit("0")), F.coalesce("h", F.lit("0"))).alias("value"))
-
-
 def sparse_text(m: DataFrame, values: bool = True, numbering: int = 1) -> DataFrame:
     """(i, value): a line 'j v j v ...' for each row with entries; columns counted from numbering."""
     rows = m.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("r"))
@@ -80,14 +31,6 @@ def parse_sparse(lines: DataFrame, values: bool = True, numbering: int = 1) -> D
     return e.select("i", (F.get("t", F.col("k")).cast("long") - numbering).alias("j"), F.get("t", F.col("k") + 1).cast("double").alias("v"))
 
 
-def read_sparse(spark: SparkSession, path: str, header: bool = False, values: bool = True, numbering: int = 1) -> DataFrame:
-    """(file, i, j, v) of files with a row per line; lines of % are no rows, header skips a first line of sizes."""
-    lines = numbered_lines(spark, path).filter(~F.col("line").startswith("%"))
-    row = F.row_number().over(W.partitionBy("file").orderBy("n")) - 1 - int(header)
-    lines = lines.withColumn("i", row).filter("i >= 0")
-    return parse_sparse(lines.select(F.struct("file", "i").alias("i"), F.col("line").alias("value")), values, numbering).select("i.file", F.col("i.i").cast("long").alias("i"), "j", "v")
-
-
 STEP = r"(?s)Step\s+(\d+).*?Time\s*=\s*([-+.\deE]+)"
 
 
