@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.jobs.registry import query
+from latticework.operators import itemsets as I
 from latticework.operators import sparse as S
 from latticework.sources import tables as T
 from latticework.sources.tables import r6, sql
@@ -195,9 +196,33 @@ def srt5_sorted_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("i", F.array_join(F.transform("e", lambda e: F.concat(e["j"].cast("string"), F.lit(":"), e["v"].cast("int").cast("string"))), " ").alias("line"))
 
 
-@query(sql("""WITH l1 AS (SELECT item, count(*) AS support FROM tx GROUP BY item HAVING count(*) BETWEEN 20 AND 1000000), t AS (SELECT tid, item FROM tx SEMI JOIN l1 USING (item)),
-    p2 AS (SELECT a.item AS i1, b.item AS i2, count(*) AS support FROM t a JOIN t b ON a.tid = b.tid AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 20),
-    p3 AS (SELECT a.item AS i1, b.item AS i2, c.item AS i3, count(*) AS support FROM t a JOIN t b ON a.tid = b.tid AND a.item < b.item SEMI JOIN p2 ON p2.i1 = a.item AND p2.i2 = b.item JOIN t c ON a.tid = c.tid AND b.item < c.item GROUP BY 1, 2, 3 HAVING count(*) >= 20)
-    SELECT item AS items, support FROM l1 UNION ALL SELECT i1 || '+' || i2, support FROM p2 UNION ALL SELECT i1 || '+' || i2 || '+' || i3, support FROM p3"""))
+def _itemset_sql(least: int, longest: int) -> str:
+    """Common table expressions l1, l2, ... of the frequent sets of each length."""
+    out = [f"l1 AS (SELECT item AS i1, count(*) AS support FROM tx GROUP BY item HAVING count(*) >= {least})", "t AS (SELECT tid, item FROM tx SEMI JOIN l1 ON item = i1)"]
+    for k in range(2, longest + 1):
+        names = [f"i{m}" for m in range(1, k + 1)]
+        joins = " ".join(f"JOIN t t{m} ON t1.tid = t{m}.tid AND t{m - 1}.item < t{m}.item" for m in range(2, k + 1))
+        known = f"SEMI JOIN l{k - 1} p ON " + " AND ".join(f"t{m}.item = p.i{m}" for m in range(1, k)) if k > 2 else ""
+        out.append(f"l{k} AS (SELECT {', '.join(f't{m}.item AS {n}' for m, n in enumerate(names, 1))}, count(*) AS support FROM t t1 {joins} {known} GROUP BY ALL HAVING count(*) >= {least})")
+    return "WITH " + ", ".join(out)
+
+
+def _set_rows(k: int) -> str:
+    return f"SELECT {" || '+' || ".join(f'i{m}' for m in range(1, k + 1))} AS items, support FROM l{k}"
+
+
+@query(sql(f"{_itemset_sql(20, 3)} {_set_rows(1)} UNION ALL {_set_rows(2)} UNION ALL {_set_rows(3)}"))
 def min1_frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
-    return S.frequent_itemsets(T.tx(spark, d), 20, None, 3).select(F.array_join("items", "+").alias("items"), "support")
+    return I.itemsets(T.tx(spark, d), 20, longest=3).sets.select(F.array_join("items", "+").alias("items"), "support")
+
+
+@query(sql(f"{_itemset_sql(4, 4)} {_set_rows(2)} UNION ALL {_set_rows(3)} UNION ALL {_set_rows(4)}"))
+def min1_longer_itemsets(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of two to four items."""
+    return I.itemsets(T.tx(spark, d), 4, longest=4, shortest=2).sets.select(F.array_join("items", "+").alias("items"), "support")
+
+
+@query(sql(f"{_itemset_sql(6, 3)} SELECT i1 || '+' || i2 || '+' || i3 AS items, t1.tid AS tid FROM l3 JOIN t t1 ON t1.item = i1 JOIN t t2 ON t2.item = i2 AND t2.tid = t1.tid JOIN t t3 ON t3.item = i3 AND t3.tid = t1.tid"))
+def min1_itemset_transactions(spark: SparkSession, d: str) -> DataFrame:
+    """The transactions of each set of three items."""
+    return I.itemsets(T.tx(spark, d), 6, longest=3, shortest=3).transactions().select(F.array_join("items", "+").alias("items"), "tid")

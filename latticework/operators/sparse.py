@@ -273,22 +273,3 @@ def density_map(m: DataFrame, n: int, plot: int) -> DataFrame:
     counts = m.groupBy(F.floor(F.col("i") / side).alias("r"), F.floor(F.col("j") / side).alias("c")).agg(F.count("*").alias("n"))
     top = counts.agg(F.max("n").alias("top"))
     return counts.join(F.broadcast(top), F.lit(True)).select("r", "c", (F.col("n") / F.col("top")).alias("share"))
-
-
-def frequent_itemsets(tx: DataFrame, least: int, most: int | None, longest: int) -> DataFrame:
-    """(items, support) of itemsets in at least least transactions, level by level; most bounds single items only, None nothing.
-
-    An itemset grows by larger items of its transactions, so each comes once; only frequent items are carried on.
-    """
-    single = tx.groupBy("item").agg(F.count("*").alias("support")).filter(F.col("support") >= least)
-    single = single if most is None else single.filter(F.col("support") <= most)
-    rows = stored(tx.join(single.select("item"), "item").select("tid", "item"), "transactions")
-    level = rows.select("tid", F.array("item").alias("items"))
-    found = single.select(F.array("item").alias("items"), "support")
-    for _ in range(longest - 1):
-        wider = level.join(rows, "tid").filter(F.col("item") > F.element_at("items", -1)).select("tid", F.concat("items", F.array("item")).alias("items"))
-        wider = stored(wider, "itemsets")
-        keep = wider.groupBy("items").agg(F.count("*").alias("support")).filter(F.col("support") >= least)
-        found = found.unionByName(keep)
-        level = wider.join(keep.select("items"), "items", "left_semi")
-    return found

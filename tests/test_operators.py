@@ -132,19 +132,6 @@ def test_triangulation_has_empty_circles():
     assert len(delaunay(gx, gy)) == 2 * 11 * 11 and len(delaunay(gx[:2], gy[:2])) == 0
 
 
-def test_frequent_itemsets_bound_single_items_only_if_asked(spark, monkeypatch):
-    from latticework.jobs import matrix
-
-    tx = spark.createDataFrame([(k, item) for k in range(6) for item in ("a", "b", "c") if item != "c" or k < 3], "tid long, item string")
-    of = lambda df: {("+".join(r["items"]), r["support"]) for r in df.collect()}
-    assert of(SP.frequent_itemsets(tx, 3, None, 3)) == {("a", 6), ("b", 6), ("c", 3), ("a+b", 6), ("a+c", 3), ("b+c", 3), ("a+b+c", 3)}
-    assert of(SP.frequent_itemsets(tx, 3, 5, 3)) == {("c", 3)}
-    asked, found = [], SP.frequent_itemsets
-    monkeypatch.setattr(matrix.S, "frequent_itemsets", lambda rows, least, most, longest: asked.append(most) or found(rows, least, most, longest))
-    matrix.min1_frequent_itemsets(spark, "/root/testdata/sf0.001")
-    assert asked == [None]
-
-
 def test_second_vector_equals_a_dense_solver(spark, monkeypatch):
     import numpy as np
 
