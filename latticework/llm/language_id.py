@@ -146,7 +146,7 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     ends = before.max() + (gain[-1] - before).max()
     if max(middle, ends) <= switch:
         return np.full(n, best)
-    value, back = scores[0].tolist(), np.zeros((n, m), np.int8)
+    value, back = scores[0].tolist(), np.zeros((n, m), np.int16 if m < 1 << 15 else np.int32)
     langs = range(m)
     rows = scores.tolist()
     for t in range(1, n):

@@ -349,3 +349,14 @@ def test_quality_counts(spark):
     text = "a b c d\n\na b c d\nx # y | z\n"
     r = quality_rules.quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (13, 13, 2, 1, 8, True)
+
+
+def test_viterbi_of_more_languages_than_a_byte_has():
+    rng = np.random.default_rng(5)
+    scores = rng.normal(size=(12, 300)) * 4
+    path = language_id.viterbi(scores, 3.0)
+    value = scores[0].copy()
+    for row in scores[1:]:
+        value = np.maximum(value, value.max() - 3.0) + row
+    worth = scores[np.arange(12), path].sum() - 3.0 * (np.diff(path) != 0).sum()
+    assert np.isclose(worth, value.max()) and path.max() > 128
