@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import geometry as G
 from latticework.jobs.registry import query
+from latticework.operators import faces as FC
 from latticework.operators import graph as GR
 from latticework.operators import models as M
 from latticework.operators import sparse as SP
@@ -258,6 +259,36 @@ def set5_overlay(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+# A square and a turned one around each of some events' points: what each kind of overlay has for one pair (vertices, edges, holes, subareas, area).
+PAIR = {"combination": (16, 24, 0, 9, 5.0), "union": (16, 16, 0, 1, 5.0), "intersection": (8, 8, 0, 1, 3.5), "difference": (16, 24, 1, 8, 1.5), "subtraction": (12, 12, 0, 4, 0.5)}
+
+
+@query(sql("SELECT kind, n * v AS vertices, n * e AS edges, n * h AS holes, n * s AS subareas, round(n * area, 3) AS area FROM (SELECT count(*) AS n FROM points_ev WHERE pid % 100 = 0), (VALUES " + ", ".join(f"('{k}', {v}, {e}, {h}, {s}, {a}::DOUBLE)" for k, (v, e, h, s, a) in PAIR.items()) + ") t(kind, v, e, h, s, area)"))
+def set5_overlay_faces(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices, edges, holes and subareas of overlays, from the faces that their edges bound."""
+    p = T.points_ev(spark, d).filter("pid % 100 = 0")
+    # Pairs lie apart, each in a column of the plane of its own.
+    shape = lambda corners: p.select("pid", "y", F.posexplode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in corners])).alias("seq", "c")).select(F.col("pid").alias("poly_id"), "seq", (F.col("pid") * 8 + F.col("c.dx")).alias("x"), (F.floor("y") + F.col("c.dy")).alias("y"))
+    square, turned = shape([(1.0, 1.0), (-1.0, 1.0), (-1.0, -1.0), (1.0, -1.0)]), shape([(0.0, 1.5), (-1.5, 0.0), (0.0, -1.5), (1.5, 0.0)])
+    sides = M.overlay_sides(square, turned, 2.0)
+    each = [M.overlaid(sides, kind).withColumn("grp", F.lit(kind)) for kind in M.KINDS]
+    every = each[0]
+    for more in each[1:]:
+        every = every.unionByName(more)
+    return FC.summary(T.stored_once(every)).select(F.col("grp").alias("kind"), "vertices", "edges", "holes", "subareas", F.round("area", 3).alias("area"))
+
+
+@query(sql("""WITH a AS (SELECT poly_id, sum(x * y2 - y * x2) / 2 AS area FROM (SELECT poly_id, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM rings WINDOW w AS (PARTITION BY poly_id ORDER BY seq)) GROUP BY poly_id)
+    SELECT poly_id AS model, CAST(2 AS BIGINT) AS subareas, round(area, 2) AS area FROM a"""))
+def msh33_face_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Octagons cut in two by a chord: their bounded faces and the area of these."""
+    v, e, _ = _ring_models(spark, d)
+    chord = e.filter("eid = 0").select("model", F.lit(8).cast("long").alias("eid"), F.lit(0).cast("long").alias("v1"), F.lit(4).cast("long").alias("v2"))
+    ends = M.edge_ends(v, e.unionByName(chord)).select(F.col("model").alias("grp"), "x1", "y1", "x2", "y2", F.lit(True).alias("left"), F.lit(True).alias("right"))
+    bounded = FC.faces(ends).filter("area > 0").groupBy("grp").agg(F.count("*").alias("subareas"), F.sum("area").alias("area"))
+    return bounded.select(F.col("grp").alias("model"), "subareas", F.round("area", 2).alias("area"))
+
+
 @query()
 def gra10_spectral_partition(spark: SparkSession, d: str) -> DataFrame:
     """Halves of the graph by the order of the second eigenvector of its Laplacian; the first half has the odd vertex. Two parts only: k > 2 isn't built."""

@@ -83,11 +83,12 @@ def subareas(vertex: DataFrame, edge: DataFrame, hole: DataFrame) -> DataFrame:
     return m.join(used, "model").join(parts, "model").join(h, "model", "left").select("model", (F.col("m") - F.col("n") + F.col("k") - F.coalesce("h", F.lit(0))).alias("areas"))
 
 
-def overlay(a: DataFrame, b: DataFrame, kind: str, size: float, eps: float = 1e-6) -> DataFrame:
-    """Sub-edges (x1, y1, x2, y2) of the overlay of ring tables a and b (poly_id, seq, x, y): combination, union, intersection,
-    difference (in one of both only) or subtraction (a less b).
+KINDS = ("combination", "union", "intersection", "difference", "subtraction")
 
-    Edges are cut where they meet. A sub-edge stays if exactly one of its sides is in the result; combination keeps all.
+
+def overlay_sides(a: DataFrame, b: DataFrame, size: float, eps: float = 1e-6) -> DataFrame:
+    """A stored table (x1, y1, x2, y2, la, lb, ra, rb) of the sub-edges of ring tables a and b (poly_id, seq, x, y), cut where they meet: whether
+    what lies left and right of each is in a and in b.
     """
     ea, eb = S.ring_edges(a), S.ring_edges(b)
     both = ea.select(F.struct(F.lit(0).alias("s"), "poly_id", "seq").alias("sid"), "x1", "y1", "x2", "y2").unionByName(eb.select(F.struct(F.lit(1).alias("s"), "poly_id", "seq").alias("sid"), "x1", "y1", "x2", "y2"))
@@ -108,8 +109,6 @@ def overlay(a: DataFrame, b: DataFrame, kind: str, size: float, eps: float = 1e-
     first, last = F.least(F.struct("x1", "y1"), F.struct(F.col("x2").alias("x1"), F.col("y2").alias("y1"))), F.greatest(F.struct("x1", "y1"), F.struct(F.col("x2").alias("x1"), F.col("y2").alias("y1")))
     sub = sub.select(first.alias("p"), last.alias("q")).distinct().select(F.col("p.x1").alias("x1"), F.col("p.y1").alias("y1"), F.col("q.x1").alias("x2"), F.col("q.y1").alias("y2"))
     sub = stored(sub, "sub-edges")
-    if kind == "combination":
-        return sub
     nx, ny = G.unit_direction(G.point("x1", "y1"), G.point("x2", "y2"))
     side = lambda s: F.struct(F.lit(s).alias("side"), ((F.col("x1") + F.col("x2")) / 2 - s * eps * 50 * ny).alias("x"), ((F.col("y1") + F.col("y2")) / 2 + s * eps * 50 * nx).alias("y"))
     tests = sub.select("x1", "y1", "x2", "y2", F.explode(F.array(side(1), side(-1))).alias("t")).select(F.struct("x1", "y1", "x2", "y2", "t.side").alias("pid"), "t.x", "t.y")
@@ -117,7 +116,21 @@ def overlay(a: DataFrame, b: DataFrame, kind: str, size: float, eps: float = 1e-
     for name, rings in (("ia", a), ("ib", b)):
         hit = S.points_in_polygons(tests, rings, size).select("pid").distinct().withColumn(name, F.lit(True))
         inside = inside.join(hit, "pid", "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    ia, ib = F.col("ia"), F.col("ib")
-    keep = {"union": ia | ib, "intersection": ia & ib, "difference": ia != ib, "subtraction": ia & ~ib}[kind]
-    edge = inside.select("pid.x1", "pid.y1", "pid.x2", "pid.y2", keep.cast("int").alias("in"))
-    return edge.groupBy("x1", "y1", "x2", "y2").agg(F.sum("in").alias("n")).filter("n = 1").drop("n")
+    on = lambda side, name, out: F.max(F.when(F.col("pid.side") == side, F.col(name))).alias(out)
+    return stored(inside.groupBy(*[F.col(f"pid.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]).agg(on(1, "ia", "la"), on(1, "ib", "lb"), on(-1, "ia", "ra"), on(-1, "ib", "rb")), "overlay")
+
+
+def overlaid(sides: DataFrame, kind: str) -> DataFrame:
+    """(x1, y1, x2, y2, left, right) of an overlay's sub-edges of one kind, with whether each side is in the result; kind as in overlay."""
+    keep = {"combination": lambda a, b: a | b, "union": lambda a, b: a | b, "intersection": lambda a, b: a & b, "difference": lambda a, b: a != b, "subtraction": lambda a, b: a & ~b}[kind]
+    found = sides.select("x1", "y1", "x2", "y2", keep(F.col("la"), F.col("lb")).alias("left"), keep(F.col("ra"), F.col("rb")).alias("right"))
+    return found if kind == "combination" else found.filter("left <> right")
+
+
+def overlay(a: DataFrame, b: DataFrame, kind: str, size: float, eps: float = 1e-6) -> DataFrame:
+    """Sub-edges (x1, y1, x2, y2) of the overlay of ring tables a and b (poly_id, seq, x, y): combination, union, intersection,
+    difference (in one of both only) or subtraction (a less b).
+
+    Edges are cut where they meet. A sub-edge stays if exactly one of its sides is in the result; combination keeps all.
+    """
+    return overlaid(overlay_sides(a, b, size, eps), kind).select("x1", "y1", "x2", "y2")
