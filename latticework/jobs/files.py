@@ -198,6 +198,15 @@ def msh29_wires(spark: SparkSession, d: str) -> DataFrame:
     return M.wires(e.unionByName(spur)).filter("eid < 10")
 
 
+@query(sql("""SELECT poly_id AS model, CAST(seq AS BIGINT) AS eid, CAST(CASE WHEN poly_id % 200 = 0 OR seq < 4 THEN 0 ELSE 4 END AS BIGINT) AS wire,
+    CAST(CASE WHEN poly_id % 200 = 0 OR seq < 4 THEN seq ELSE 7 - seq END AS BIGINT) AS place, poly_id % 200 = 0 OR seq < 4 AS forward FROM rings"""))
+def msh29_wire_order(spark: SparkSession, d: str) -> DataFrame:
+    """The order of edges along their wires: around whole rings, and along both halves of those with spurs from the smaller of their ends."""
+    _, e, _ = _ring_models(spark, d)
+    spur = e.filter("eid in (0, 4) and model % 200 <> 0").select("model", (F.col("eid") + 10).alias("eid"), "v1", (F.col("v1") + 50).alias("v2"))
+    return M.wire_order(e.unionByName(spur)).filter("eid < 10")
+
+
 @query(sql("SELECT poly_id AS model, CAST(7 AS BIGINT) AS vertices, CAST(7 AS BIGINT) AS edges FROM rings GROUP BY poly_id"))
 def msh30_collapse_small(spark: SparkSession, d: str) -> DataFrame:
     # Vertex 1 is moved close to vertex 0, which is fixed.

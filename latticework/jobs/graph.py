@@ -48,6 +48,21 @@ def gra6_bfs(spark: SparkSession, d: str) -> DataFrame:
     return G.bfs(e, e.agg(F.min("src").alias("id")))
 
 
+def _order_sql(levels: int) -> str:
+    """A level after another; each numbers its vertices after all before it."""
+    out = ["l0 AS (SELECT min(src) AS id, 0 AS level, CAST(0 AS BIGINT) AS place FROM edges_sym)", "s0 AS (SELECT * FROM l0)"]
+    for k in range(1, levels + 1):
+        out.append(f"l{k} AS (SELECT id, {k} AS level, (SELECT count(*) FROM s{k - 1}) + row_number() OVER (ORDER BY parent, id) - 1 AS place FROM (SELECT dst AS id, min(place) AS parent FROM l{k - 1} JOIN edges_sym ON src = id WHERE dst NOT IN (SELECT id FROM s{k - 1}) GROUP BY dst))")
+        out.append(f"s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM l{k})")
+    return "WITH " + ", ".join(out) + f" SELECT id, CAST(level AS INTEGER) AS level, CAST(place AS BIGINT) AS place FROM s{levels}"
+
+
+@query(sql(_order_sql(9)))
+def gra6_bfs_order(spark: SparkSession, d: str) -> DataFrame:
+    e = T.stored_once(T.edges_sym(spark, d))
+    return G.bfs_order(e, e.agg(F.min("src").alias("id")))
+
+
 @query(sql("""WITH RECURSIVE s(id, cost) USING KEY (id) AS (SELECT min(src), 0.0::DOUBLE FROM edges_sym UNION
     SELECT e.dst, min(s.cost + 1/e.w) FROM s JOIN edges_sym e ON e.src = s.id LEFT JOIN recurring.s r ON r.id = e.dst WHERE r.cost IS NULL OR s.cost + 1/e.w < r.cost GROUP BY e.dst) SELECT id, round(cost, 6) AS cost FROM s"""))
 def gra7_shortest_paths(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from latticework.operators.chains import cycles
 from latticework.sources.scratch import released, stored
 
 
@@ -28,23 +29,6 @@ def half_edges(edges: DataFrame) -> DataFrame:
     return out
 
 
-def cycles(steps: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, cycle) of a permutation (id, next): the least id of each cycle, in rounds that grow with the logarithm of the longest.
-
-    In each round every id takes the least that its reach knows and doubles that reach.
-    """
-    now = stored(steps.select("id", "next", F.col("id").alias("cycle")), "cycles")
-    for _ in range(most_rounds):
-        ahead = now.select(F.col("id").alias("next"), F.col("next").alias("further"), F.col("cycle").alias("theirs"))
-        wider = stored(now.join(ahead, "next").select("id", F.col("further").alias("next"), F.least("cycle", "theirs").alias("cycle"), (F.col("theirs") < F.col("cycle")).alias("new")), "cycles")
-        settled = wider.filter("new").isEmpty()
-        released(now)
-        now = wider
-        if settled:
-            return now.select("id", "cycle")
-    raise RuntimeError("cycles did not settle")
-
-
 def faces(edges: DataFrame) -> DataFrame:
     """(grp, cycle, sides, area, inside) of the cycles around the faces of edges (grp, x1, y1, x2, y2, left, right).
 

@@ -45,6 +45,24 @@ def bfs(edges: DataFrame, start: DataFrame, most_rounds: int = 10_000) -> DataFr
     raise RuntimeError("the graph is deeper than most_rounds")
 
 
+def bfs_order(edges: DataFrame, start: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """(id, level, place) from one vertex start (id), as a queue would take them: place 0 is the start, then come each vertex's new neighbours in order of id.
+
+    Within a level vertices are in the order of their first parent's place, then of their id; range partitions number them.
+    """
+    reached = stored(start.select("id", F.lit(0).alias("level"), F.lit(0).cast("long").alias("place")), "order")
+    front, before = reached, 1
+    for level in range(1, most_rounds):
+        met = front.join(edges, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("place").alias("parent"))
+        new = stored(met.join(reached, "id", "left_anti"), "order")
+        held = new.count()
+        if not held:
+            return reached
+        front = stored(ranked(new, [F.col("parent"), F.col("id")]).select("id", F.lit(level).alias("level"), (F.col("rank") + before).alias("place")), "order")
+        reached, before = reached.unionByName(front), before + held
+    raise RuntimeError("the graph is deeper than most_rounds")
+
+
 def shortest_paths(edges: DataFrame, start: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(id, cost) of the cheapest ways from start (id) over non-negative weights. Only improved vertices go on."""
     known = stored(start.select("id", F.lit(0.0).alias("cost")), "costs")

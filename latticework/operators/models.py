@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import geometry as G
 from latticework.operators import spatial as S
+from latticework.operators.chains import places
 from latticework.operators.components import connected_components
 from latticework.sources.scratch import stored
 
@@ -55,6 +56,34 @@ def wires(edge: DataFrame) -> DataFrame:
     return edge.select("model", "eid").join(found, ["model", "eid"], "left").select("model", "eid", F.coalesce("wire", "eid").alias("wire"))
 
 
+def wire_order(edge: DataFrame) -> DataFrame:
+    """(model, eid, wire, place, forward): each edge's place along its wire from 0, and whether it is walked from v1 to v2.
+
+    A wire with ends begins at that of the smaller vertex (both the same: at its least edge, from the end that it has there), a closed one
+    at its least edge from v1. Loops at one vertex are wires of their own.
+    """
+    named = stored(edge.join(wires(edge), ["model", "eid"]).select("model", "eid", "v1", "v2", "wire"), "wires")
+    end = lambda a, b, k: F.struct("model", "wire", "eid", F.lit(k).alias("back"), F.col(a).alias("u"), F.col(b).alias("v"))
+    ways = stored(named.select(F.explode(F.array(end("v1", "v2", 0), end("v2", "v1", 1))).alias("e")).select("e.*"), "ways")
+    key = F.struct("model", "eid", "back")
+    joints = ways.groupBy("model", F.col("u").alias("at")).agg(F.count("*").alias("n"), F.count_distinct("eid").alias("k")).filter("n = 2 and k = 2").select("model", "at")
+    # What leaves a joint by its other edge follows.
+    onward = ways.select("model", F.col("wire").alias("of"), F.col("u").alias("v"), F.col("eid").alias("next_eid"), F.col("back").alias("next_back"))
+    follow = ways.join(joints.withColumnRenamed("at", "v"), ["model", "v"]).join(onward, ["model", "v"]).filter("eid <> next_eid").select("model", "eid", "back", "next_eid", "next_back")
+    steps = ways.join(follow, ["model", "eid", "back"], "left")
+    # Closed wires have joints only; they are cut before their least edge.
+    open_wires = ways.join(joints.withColumnRenamed("at", "u"), ["model", "u"], "left_anti").select("model", "wire").distinct().withColumn("ends", F.lit(True))
+    steps = steps.join(open_wires, ["model", "wire"], "left")
+    next_ = F.when(F.col("next_eid").isNotNull() & (F.col("ends") | (F.col("next_eid") != F.col("wire"))), F.struct("model", F.col("next_eid").alias("eid"), F.col("next_back").alias("back")))
+    found = places(steps.select(key.alias("id"), next_.alias("next")))
+    at = found.select("id.model", "id.eid", "id.back", "last", "left").join(ways, ["model", "eid", "back"])
+    # The walk of two that begins at the smaller vertex, or at the least edge from v1.
+    heads = at.join(open_wires, ["model", "wire"], "left").groupBy("model", "wire", "last").agg(F.max("left").alias("most"), F.max_by(F.struct("u", "eid", "back"), "left").alias("head"), F.max("ends").alias("ends"))
+    first = F.when(F.col("ends"), F.struct(F.col("head.u").alias("a"), F.col("head.eid").alias("b"), F.col("head.back").alias("c"))).otherwise(F.struct(F.lit(None).cast("long").alias("a"), F.col("head.eid").alias("b"), F.col("head.back").alias("c")))
+    chosen = heads.groupBy("model", "wire").agg(F.min_by(F.struct("last", "most"), first).alias("w")).select("model", "wire", F.col("w.last").alias("last"), "w.most")
+    return at.join(chosen, ["model", "wire", "last"]).select("model", "eid", "wire", (F.col("most") - F.col("left")).alias("place"), (F.col("back") == 0).alias("forward"))
+
+
 def collapse_small(vertex: DataFrame, edge: DataFrame, tol: float, fixed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vertex, edge) with the ends of edges shorter than tol merged, at their fixed vertex or else at their mean.
 
