@@ -105,11 +105,12 @@ def join11_near_duplicate_vertices(spark: SparkSession, d: str) -> DataFrame:
     return S.near_pairs(T.points_ev(spark, d), 0.3).select("a", "b")
 
 
-@query(sql("""SELECT sid, pid, CAST(layer AS INTEGER) AS layer FROM (SELECT *, min(layer) OVER (PARTITION BY sid) AS low FROM (SELECT s.sid, p.pid, layer FROM
-    (SELECT *, (x1+x2)/2 - (y2-y1)/l*h AS cx, (y1+y2)/2 + (x2-x1)/l*h AS cy FROM (SELECT *, sqrt(r*r - l*l/4) AS h FROM (SELECT *, (1+layer)*l AS r FROM (SELECT *, sqrt((x1-x2)*(x1-x2)+(y1-y2)*(y1-y2)) AS l FROM segs), range(3) t(layer)))) s
-    JOIN points_ev p ON p.x BETWEEN cx - r AND cx + r AND r*r - ((p.x-cx)*(p.x-cx)+(p.y-cy)*(p.y-cy)) > 2.25e-16 AND (x2-x1)*(p.y-y1)-(y2-y1)*(p.x-x1) >= 1.5e-8)) WHERE layer = low"""))
+@query(sql("""WITH g AS (SELECT *, (x2-x1)*(x2-x1)+(y2-y1)*(y2-y1) AS q FROM segs WHERE x1 <> x2 OR y1 <> y2),
+    h AS (SELECT sid, pid, q, ((p.x-(x1+x2)/2)*(p.x-(x1+x2)/2) + (p.y-(y1+y2)/2)*(p.y-(y1+y2)/2) - q/4) / (2 * ((x2-x1)*(p.y-y1)-(y2-y1)*(p.x-x1)) / sqrt(q)) AS height FROM g, points_ev p WHERE (x2-x1)*(p.y-y1)-(y2-y1)*(p.x-x1) >= 1.5e-8),
+    l AS (SELECT sid, pid, CAST(CASE WHEN height <= 0 THEN 0 ELSE floor(sqrt(height*height + q/4) / sqrt(q)) END AS BIGINT) AS layer FROM h), m AS (SELECT sid, min(layer) AS low FROM l GROUP BY sid)
+    SELECT sid, pid, layer FROM l JOIN m USING (sid) WHERE layer = low"""))
 def join12_half_plane_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return S.half_plane_candidates(T.segs(spark, d), T.points_ev(spark, d), 2.0, 3).select("sid", "pid", "layer")
+    return S.half_plane_candidates(T.segs(spark, d), T.points_ev(spark, d), 2.0).select("sid", "pid", "layer")
 
 
 @query(sql("SELECT elem, pos, nid, x, y FROM mesh_elem JOIN mesh_node USING (nid)"))

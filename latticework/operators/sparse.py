@@ -260,11 +260,42 @@ def similarity(m: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
     return of.select("a", "b", F.coalesce(value, F.lit(0.0)).alias("sim"))
 
 
+def _after_prefix(rows: DataFrame, key: str, value: str, least: float) -> DataFrame:
+    """rows (key, j, value, n, most) without each row's leading columns, the commonest first, whose products can't reach least.
+
+    What those columns add is at most the sum of |value| times most, the other side's largest of that column, and at most
+    the length of that part of the row where the other side's rows have length 1.
+    """
+    so_far = W.partitionBy(key).orderBy(F.desc("n"), "j")
+    reach = F.least(F.sum(F.abs(value) * F.col("most")).over(so_far), F.sqrt(F.sum(F.col(value) * F.col(value)).over(so_far)))
+    return rows.withColumn("reach", reach).filter(F.col("reach") >= least - 1e-9).select(key, "j", value)
+
+
+def similar_candidates(m: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """(q, i): pairs of unit rows that may have a dot product of least or more; the others surely haven't.
+
+    Columns have one order, the commonest first, and a row's leading part that can't reach least by itself is left out on both sides. Of two such parts
+    the longer has all that the rows share before its end, so a pair above least shares a column after both. A column that nearly all
+    rows have comes first and is rarely met under.
+    """
+    sizes = m.groupBy("j").agg(F.count("*").alias("n"), F.max(F.abs("v")).alias("most_v"))
+    asked = queries.groupBy("j").agg(F.max(F.abs("v")).alias("most_q"))
+    both = stored(sizes.join(asked, "j"), "columns")
+    index = _after_prefix(m.join(both.select("j", "n", F.col("most_q").alias("most")), "j"), "i", "v", least)
+    probes = _after_prefix(queries.join(both.select("j", "n", F.col("most_v").alias("most")), "j"), "q", "v", least)
+    return probes.select("q", "j").join(index.select("i", "j"), "j").filter("q <> i").select("q", "i").distinct()
+
+
 def similar_rows(m: DataFrame, queries: DataFrame, least: float, most: int) -> DataFrame:
-    """(q, i, sim, rank): for each query row (q, j, v) the most similar unit rows by dot product of at least least."""
-    dots = queries.select("q", "j", F.col("v").alias("qv")).join(m, "j").filter("q <> i").groupBy("q", "i").agg(F.sum(F.col("qv") * F.col("v")).alias("sim"))
+    """(q, i, sim, rank): for each query row (q, j, v) the most similar unit rows by dot product of at least least, which is above zero; ties by i.
+
+    Candidates meet under their rarer columns only and are verified on whole rows.
+    """
+    pairs = stored(similar_candidates(m, queries, least), "candidates")
+    met = pairs.join(m, "i").join(queries.select("q", "j", F.col("v").alias("qv")), ["q", "j"])
+    dots = met.groupBy("q", "i").agg(F.sum(F.col("qv") * F.col("v")).alias("sim")).filter(F.col("sim") >= least)
     place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "i"))
-    return dots.filter(F.col("sim") >= least).withColumn("rank", place).filter(F.col("rank") <= most)
+    return dots.withColumn("rank", place).filter(F.col("rank") <= most)
 
 
 def density_map(m: DataFrame, n: int, plot: int) -> DataFrame:

@@ -6,14 +6,16 @@ several cells is exploded over them. A dense cell is a skewed join key, which ad
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from latticework.functions import geometry as G
-from latticework.sources.scratch import stored
+from latticework.sources.scratch import released, stored
 
 
 def over_cells(df: DataFrame, size: float, x1: Column, y1: Column, x2: Column, y2: Column) -> DataFrame:
@@ -144,16 +146,97 @@ def near_pairs(points: DataFrame, reach: float) -> DataFrame:
     return wide.join(other, ["bx", "by"]).filter((F.col("a") < F.col("b")) & (d2 < reach * reach)).select("a", "b", d2.alias("d2"))
 
 
-def half_plane_candidates(segs: DataFrame, points: DataFrame, size: float, layers: int = 4) -> DataFrame:
+def hull_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the corners of the convex hull, counter-clockwise; points on its sides are none."""
+    order = np.lexsort((y, x))
+    order = order[np.r_[True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)][: len(order)]].tolist()
+
+    def half(places: list[int]) -> list[int]:
+        out: list[int] = []
+        for c in places:
+            while len(out) > 1 and (x[out[-1]] - x[out[-2]]) * (y[c] - y[out[-2]]) - (y[out[-1]] - y[out[-2]]) * (x[c] - x[out[-2]]) <= 0:
+                out.pop()
+            out.append(c)
+        return out
+
+    if len(order) < 3:
+        return np.array(order, np.int64)
+    return np.array(half(order)[:-1] + half(order[::-1])[:-1], np.int64)
+
+
+def convex_hull(points: DataFrame, most: int = 1_000_000, fan: int = 16) -> np.ndarray:
+    """The corners (x, y) of the convex hull of points; each task keeps its own hull, and hulls meet in ever fewer tasks.
+
+    Only corners come to the driver; beyond most of them it raises. Points with a null are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = np.empty(0), np.empty(0)
+        for batch in batches:
+            x, y = np.r_[x, batch["x"].to_numpy()], np.r_[y, batch["y"].to_numpy()]
+            at = hull_of(x, y)
+            x, y = x[at], y[at]
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+
+    now = stored(points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().mapInArrow(run, "x double, y double"), "hull")
+    parts = now.select(F.input_file_name()).distinct().count()
+    while parts > 1:
+        parts = -(-parts // fan)
+        now = stored(now.coalesce(parts).mapInArrow(run, "x double, y double"), "hull")
+    if now.count() > most:
+        raise RuntimeError(f"the hull has more than {most} corners")
+    table = now.toArrow()
+    x, y = table["x"].to_numpy(), table["y"].to_numpy()
+    at = hull_of(x, y)
+    return np.c_[x[at], y[at]]
+
+
+def _with_points_left(segs: DataFrame, corners: np.ndarray) -> DataFrame:
+    """segs (sid, x1, y1, x2, y2) with a point strictly on their left: then a corner of all points' hull lies there."""
+    sent = segs.sparkSession.sparkContext.broadcast(corners)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = sent.value
+        for batch in batches:
+            x1, y1, x2, y2 = (batch[n].to_numpy()[:, None] for n in ("x1", "y1", "x2", "y2"))
+            most = np.concatenate([np.full((len(x1), 1), -np.inf), *[((x2 - x1) * (p[:, 1] - y1) - (y2 - y1) * (p[:, 0] - x1)).max(axis=1, keepdims=True) for p in np.array_split(c, max(1, len(c) // 256)) if len(p)]], axis=1).max(axis=1)
+            yield batch.take(pa.array(np.flatnonzero(most >= G.TOL)))
+
+    return segs.mapInArrow(run, segs.schema)
+
+
+def half_plane_candidates(segs: DataFrame, points: DataFrame, size: float, first: int = 4, most_rounds: int = 64) -> DataFrame:
     """(sid, pid, layer): points strictly left of each segment in the first circle through its ends that holds any.
 
-    Circle number l has its centre left of the segment and radius (1 + l) times the segment's length.
+    Circle number l has its centre left of the segment and radius (1 + l) times the segment's length. Left of the segment these circles
+    lie in one another, so a point's first circle follows from where it lies. A round looks into a circle for each open segment, over cells of
+    the round's size on its left side; segments without any point there go on with a circle and cells of twice the size. Segments
+    that have no point on their left leave before, by the hull of all points; segments without length or with a null have none.
     """
     a, b = G.point("x1", "y1"), G.point("x2", "y2")
-    s = segs.select("sid", "x1", "y1", "x2", "y2", F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("layer")).withColumn("r", (1 + F.col("layer")) * G.dist(a, b))
-    cx, cy = G.center_from_segment(a, b, F.col("r"))
-    s = s.withColumns({"cx": cx, "cy": cy}).filter("cx is not null")
-    s = s.withColumn("cid", F.col("sid"))
-    found = points_in_circles(points.select("pid", "x", "y"), s, size).filter(G.half_side(a, b, G.point("x", "y")))
-    first = found.groupBy("sid").agg(F.min("layer").alias("first"))
-    return found.join(first, "sid").filter("layer = first").select("sid", "pid", "layer")
+    known = segs.select(F.col("sid"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]).dropna().filter("x1 <> x2 or y1 <> y2")
+    p = stored(points.select("pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(), "points")
+    open_, out = stored(_with_points_left(known, convex_hull(p)), "segments"), None
+    for k in range(most_rounds):
+        if open_.isEmpty():
+            return segs.select("sid").limit(0).select("sid", F.lit(None).cast("long").alias("pid"), F.lit(None).cast("long").alias("layer")) if out is None else out
+        side, length = size * 2.0**k, G.dist(a, b)
+        s = open_.withColumn("r", float(first * 2**k) * length)
+        cx, cy = G.center_from_segment(a, b, F.col("r"))
+        s = over_cells(s.withColumns({"cx": cx, "cy": cy}), side, F.col("cx") - F.col("r"), F.col("cy") - F.col("r"), F.col("cx") + F.col("r"), F.col("cy") + F.col("r"))
+        corner = lambda i, j: G.orient(a, b, ((F.col("bx") + i) * side, (F.col("by") + j) * side))  # noqa: B023, E731
+        s = s.filter(F.greatest(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1)) > 0)
+        near = with_cell(p, side).join(s, ["bx", "by"]).filter(G.half_side(a, b, G.point("x", "y")) & (F.col("r") * F.col("r") - G.dist2(G.point("x", "y"), G.point("cx", "cy")) > G.TOL2))
+        # From the middle of the segment: along it, and away from it to the left.
+        mx, my = F.col("x") - (F.col("x1") + F.col("x2")) / 2, F.col("y") - (F.col("y1") + F.col("y2")) / 2
+        away, half2 = G.orient(a, b, G.point("x", "y")) / length, G.dist2(a, b) / 4
+        # A circle whose centre is further left than this one holds the point.
+        height = (mx * mx + my * my - half2) / (2 * away)
+        layer = F.when(height <= 0, 0).otherwise(F.greatest(F.lit(0), F.floor(F.sqrt(height * height + half2) / length))).cast("long")
+        hit = stored(near.select("sid", "pid", layer.alias("layer")), "candidates")
+        low = hit.groupBy("sid").agg(F.min("layer").alias("low"))
+        new = hit.join(low, "sid").filter("layer = low").select("sid", "pid", "layer")
+        out = new if out is None else out.unionByName(new)
+        before, open_ = open_, stored(open_.join(low, "sid", "left_anti"), "segments")
+        released(before)
+    raise RuntimeError("segments did not settle")

@@ -152,3 +152,39 @@ def test_second_vector_equals_a_dense_solver(spark, monkeypatch):
     order = np.argsort(vectors[:, 1])
     one, other = set(order[:21].tolist()), set(order[20:].tolist())  # a vector and its negative are alike
     assert {k for k, p in part.items() if p == 0} in (one, other)
+
+
+def test_hull_and_candidates_of_a_half_plane(spark):
+    import numpy as np
+
+    from latticework.operators import spatial as S
+
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=400) * 20, rng.normal(size=400) * 20
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [(900, None, 1.0)], "pid long, x double, y double")
+    corners = S.convex_hull(points.repartition(7), fan=2)
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    for p, q in zip(corners, np.roll(corners, -1, axis=0)):
+        assert (((q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0])) >= -1e-9).all()
+    assert all(turn(*t) > 0 for t in zip(corners, np.roll(corners, -1, axis=0), np.roll(corners, -2, axis=0)))
+    # Short segments, some far outside, some with nothing on their left, one without length.
+    ends = [(k, *(rng.normal(size=2) * 25), *(rng.normal(size=2) * 0.4)) for k in range(60)] + [(60, 0.0, 0.0, 0.0, 0.0), (61, 300.0, 0.0, 0.1, 0.0), (62, 300.0, 300.0, -0.1, 0.0), (63, 0.0, 500.0, 0.2, 0.0), (64, 0.0, -500.0, 0.2, 0.0)]
+    segs = [(k, float(a), float(b), float(a + c), float(b + d)) for k, a, b, c, d in ends]
+    expected, late = set(), 0
+    for k, x1, y1, x2, y2 in segs:
+        length = np.hypot(x2 - x1, y2 - y1)
+        if not length:
+            continue
+        left = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) >= 1.5e-8
+        for layer in range(40_000):
+            r = (1 + layer) * length
+            h = np.sqrt(r * r - length * length / 4)
+            cx, cy = (x1 + x2) / 2 - (y2 - y1) / length * h, (y1 + y2) / 2 + (x2 - x1) / length * h
+            hit = np.flatnonzero(left & ((x - cx) ** 2 + (y - cy) ** 2 < r * r))
+            if len(hit) or not left.any():
+                expected |= {(k, int(i), layer) for i in hit}
+                late += layer > 8
+                break
+    got = S.half_plane_candidates(spark.createDataFrame(segs, "sid long, x1 double, y1 double, x2 double, y2 double"), points, 2.0)
+    assert {tuple(r) for r in got.collect()} == expected and late > 5
+    assert S.half_plane_candidates(spark.createDataFrame(segs[60:61], "sid long, x1 double, y1 double, x2 double, y2 double"), points, 2.0).isEmpty()
