@@ -12,10 +12,6 @@ from latticework.operators.chains import places
 from latticework.operators.components import connected_components
 from latticework.sources.scratch import stored
 
-#: Shift that keeps models apart in one plane, and the least distance of two vertices.
-APART = 1e7
-
-
 def edge_ends(vertex: DataFrame, edge: DataFrame) -> DataFrame:
     at = lambda k: vertex.select("model", F.col("vid").alias(f"v{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
     return edge.join(at(1), ["model", "v1"]).join(at(2), ["model", "v2"])
@@ -23,24 +19,24 @@ def edge_ends(vertex: DataFrame, edge: DataFrame) -> DataFrame:
 
 def check(vertex: DataFrame, edge: DataFrame, tol: float = 1e-6) -> DataFrame:
     """(model, code): 0 if sound, else the first of 1 no vertices, 2 no edges, 3 repeated vertices, 4 edge ends that don't exist,
-    5 repeated edges, 6 edges that cross, 7 a vertex on an edge. model must be a whole number.
+    5 repeated edges, 6 edges that cross, 7 a vertex on an edge. Vertices repeat if their squared distance is below tol.
+
+    Models may lie over one another: all joins are by model and cell.
     """
     models = vertex.select("model").unionByName(edge.select("model")).distinct()
     bad = [
         models.join(vertex.select("model"), "model", "left_anti").select("model", F.lit(1).alias("code")),
         models.join(edge.select("model"), "model", "left_anti").select("model", F.lit(2).alias("code")),
-        vertex.groupBy("model", F.round(F.col("x") / tol).alias("x"), F.round(F.col("y") / tol).alias("y")).count().filter("count > 1").select("model", F.lit(3).alias("code")),
+        S.near_pairs(vertex.select("model", F.col("vid").alias("pid"), "x", "y"), tol**0.5, ["model"]).select("model", F.lit(3).alias("code")),
         edge.select("model", F.explode(F.array("v1", "v2")).alias("vid")).join(vertex.select("model", "vid"), ["model", "vid"], "left_anti").select("model", F.lit(4).alias("code")),
         edge.groupBy("model", F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b")).count().filter("count > 1").select("model", F.lit(5).alias("code")),
     ]
     e = edge_ends(vertex, edge)
-    shift = F.col("model") * APART
-    segs = e.select(F.struct("model", "eid").alias("sid"), (F.col("x1") + shift).alias("x1"), "y1", (F.col("x2") + shift).alias("x2"), "y2")
     size = 1.0
-    cross = S.crossing_pairs(segs, size).filter("a.model = b.model")
-    bad.append(cross.select("a.model", F.lit(6).alias("code")))
-    on = S.points_on_edges(vertex.select("model", F.col("vid").alias("pid"), "x", "y"), e.withColumnRenamed("model", "of"), size, tol)
-    bad.append(on.filter("model = of and pid <> v1 and pid <> v2").select("model", F.lit(7).alias("code")))
+    cross = S.crossing_pairs(e.withColumnRenamed("eid", "sid"), size, within=["model"])
+    bad.append(cross.select("model", F.lit(6).alias("code")))
+    on = S.points_on_edges(vertex.select("model", F.col("vid").alias("pid"), "x", "y"), e, size, tol, ["model"])
+    bad.append(on.filter("pid <> v1 and pid <> v2").select("model", F.lit(7).alias("code")))
     all_bad = bad[0]
     for b in bad[1:]:
         all_bad = all_bad.unionByName(b)

@@ -98,12 +98,12 @@ def ring_edges(rings: DataFrame) -> DataFrame:
     return rings.select("poly_id", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), nxt("x").alias("x2"), nxt("y").alias("y2"))
 
 
-def points_on_edges(points: DataFrame, edges: DataFrame, size: float, tol: float = G.TOL) -> DataFrame:
-    """points joined to the edges (x1, y1, x2, y2) that they lie strictly inside of."""
+def points_on_edges(points: DataFrame, edges: DataFrame, size: float, tol: float = G.TOL, within: list[str] = ()) -> DataFrame:
+    """points joined to the edges (x1, y1, x2, y2) that they lie strictly inside of; within names columns that both must share."""
     grow = 2 * tol
     e = over_cells(edges, size, F.least("x1", "x2") - grow, F.least("y1", "y2") - grow, F.greatest("x1", "x2") + grow, F.greatest("y1", "y2") + grow)
     on = G.point_on_segment(G.point("x1", "y1"), G.point("x2", "y2"), G.point("x", "y"), tol)
-    return with_cell(points, size).join(e, ["bx", "by"]).filter(on).drop("bx", "by")
+    return with_cell(points, size).join(e, [*within, "bx", "by"]).filter(on).drop("bx", "by")
 
 
 def locate(points: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
@@ -114,36 +114,36 @@ def locate(points: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
     return with_cell(points.select("pid", "x", "y"), size).join(t, ["bx", "by"]).filter(inside).groupBy("pid").agg(F.min("elem").alias("elem"))
 
 
-def crossing_pairs(segs: DataFrame, size: float, touching: bool = False) -> DataFrame:
-    """(a, b) with a < b of segments (sid, x1, y1, x2, y2) that cross, or lie on one line and overlap.
+def crossing_pairs(segs: DataFrame, size: float, touching: bool = False, within: list[str] = ()) -> DataFrame:
+    """(a, b) with a < b of segments (sid, x1, y1, x2, y2) that cross, or lie on one line and overlap; within names columns that both must share.
 
     Where touching is true, an end on the other segment counts too. A pair that shares several cells is reported in
     the lowest of them, so no distinct is needed. The test is by orientations, which is short enough to compile.
     """
     low_x, low_y = F.least("x1", "x2"), F.least("y1", "y2")
-    s = over_cells(segs.select("sid", "x1", "y1", "x2", "y2").withColumns({"cx": G.cell(low_x, size), "cy": G.cell(low_y, size)}), size, low_x, low_y, F.greatest("x1", "x2"), F.greatest("y1", "y2"))
-    left = s.select("bx", "by", *[F.col(c).alias(f"a_{c}") for c in ("sid", "x1", "y1", "x2", "y2", "cx", "cy")])
-    right = s.select("bx", "by", *[F.col(c).alias(f"b_{c}") for c in ("sid", "x1", "y1", "x2", "y2", "cx", "cy")])
+    s = over_cells(segs.select(*within, "sid", "x1", "y1", "x2", "y2").withColumns({"cx": G.cell(low_x, size), "cy": G.cell(low_y, size)}), size, low_x, low_y, F.greatest("x1", "x2"), F.greatest("y1", "y2"))
+    left = s.select(*within, "bx", "by", *[F.col(c).alias(f"a_{c}") for c in ("sid", "x1", "y1", "x2", "y2", "cx", "cy")])
+    right = s.select(*within, "bx", "by", *[F.col(c).alias(f"b_{c}") for c in ("sid", "x1", "y1", "x2", "y2", "cx", "cy")])
     lowest = (F.col("bx") == F.greatest("a_cx", "b_cx")) & (F.col("by") == F.greatest("a_cy", "b_cy"))
     a1, a2, b1, b2 = (G.point(f"{s}_x{k}", f"{s}_y{k}") for s in "ab" for k in (1, 2))
     along = lambda p: (p[0] - a1[0]) * (a2[0] - a1[0]) + (p[1] - a1[1]) * (a2[1] - a1[1])
-    pairs = left.join(right, ["bx", "by"]).filter((F.col("a_sid") < F.col("b_sid")) & lowest)
-    signs = pairs.select("a_sid", "b_sid", G.orient(a1, a2, b1).alias("o1"), G.orient(a1, a2, b2).alias("o2"), G.orient(b1, b2, a1).alias("o3"), G.orient(b1, b2, a2).alias("o4"), G.dist2(a1, a2).alias("l2"), along(b1).alias("s1"), along(b2).alias("s2"))
+    pairs = left.join(right, [*within, "bx", "by"]).filter((F.col("a_sid") < F.col("b_sid")) & lowest)
+    signs = pairs.select(*within, "a_sid", "b_sid", G.orient(a1, a2, b1).alias("o1"), G.orient(a1, a2, b2).alias("o2"), G.orient(b1, b2, a1).alias("o3"), G.orient(b1, b2, a2).alias("o4"), G.dist2(a1, a2).alias("l2"), along(b1).alias("s1"), along(b2).alias("s2"))
     line = (F.abs("o1") < G.TOL) & (F.abs("o2") < G.TOL) & (F.greatest("s1", "s2") > 0) & (F.least("s1", "s2") < F.col("l2"))
     cross = (F.col("o1") * F.col("o2") < 0) & (F.col("o3") * F.col("o4") < 0)
     if touching:
         tol = 1e-9
         cross = (F.col("o1") * F.col("o2") <= tol) & (F.col("o3") * F.col("o4") <= tol) & (F.abs(F.col("o1") - F.col("o2")) > G.TOL)
-    return signs.filter(cross | line).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
+    return signs.filter(cross | line).select(*within, F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
 
 
-def near_pairs(points: DataFrame, reach: float) -> DataFrame:
-    """(a, b, d2) with a < b of points closer than reach, by 3 x 3 cells of that size."""
-    p = points.select(F.col("pid").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+def near_pairs(points: DataFrame, reach: float, within: list[str] = ()) -> DataFrame:
+    """(a, b, d2) with a < b of points closer than reach, by 3 x 3 cells of that size; within names columns that both must share."""
+    p = points.select(*within, F.col("pid").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     wide = over_cells(p, reach, F.col("ax") - reach, F.col("ay") - reach, F.col("ax") + reach, F.col("ay") + reach)
-    other = with_cell(points.select(F.col("pid").alias("b"), "x", "y"), reach)
+    other = with_cell(points.select(*within, F.col("pid").alias("b"), "x", "y"), reach)
     d2 = G.dist2(G.point("ax", "ay"), G.point("x", "y"))
-    return wide.join(other, ["bx", "by"]).filter((F.col("a") < F.col("b")) & (d2 < reach * reach)).select("a", "b", d2.alias("d2"))
+    return wide.join(other, [*within, "bx", "by"]).filter((F.col("a") < F.col("b")) & (d2 < reach * reach)).select(*within, "a", "b", d2.alias("d2"))
 
 
 def hull_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
