@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from latticework.functions import geometry as G
 from latticework.jobs.graph import CC
 from latticework.jobs.registry import query
+from latticework.operators import conditions as CN
 from latticework.operators import mesh as M
 from latticework.sources import tables as T
 from latticework.sources.tables import r6, sql
@@ -205,6 +206,43 @@ def msh22_assemble(spark: SparkSession, d: str) -> DataFrame:
     return M.stiffness(T.mesh_tri(spark, d), (2.0, 0.6, 0.7)).select("i", "j", r6(F.col("v")).alias("v"))
 
 
+@query(sql(f"""SELECT nid, round(sum(t)*1.5, 6) AS mass, round(sum(t)*0.25, 6) AS fx, round(sum(t)*-9.5, 6)+0.0 AS fy FROM (SELECT unnest([n1, n2, n3]) AS nid, 0.7::DOUBLE*{DET}/6 AS t FROM mesh_tri) GROUP BY nid"""))
+def msh22_load_mass(spark: SparkSession, d: str) -> DataFrame:
+    """Lumped mass and body load of each node."""
+    sums = CN.element_sums(T.mesh_tri(spark, d), (0.25, -9.5), 1.5, 0.7)
+    return sums.select("nid", *[r6(F.col(c)).alias(c) for c in ("mass", "fx", "fy")])
+
+
+# Conditions on the mesh's input segments: a whole value across all, one that varies along every second, a force at the first node of each; some of each are fixed.
+CONDITIONS = """SELECT 'neumann' AS kind, 'segment' AS place, sgm AS id, 1 AS dof, 1.0 + sgm AS v0, 0.0 AS vx, 0.0 AS vy, FALSE AS varies FROM s UNION ALL SELECT 'neumann', 'segment', sgm, 0, 1.0, 0.1, -0.2, TRUE FROM s WHERE sgm % 16 = 4 UNION ALL SELECT 'neumann', 'point', sgm, 0, 5.0, 0.0, 0.0, FALSE FROM s
+    UNION ALL SELECT 'dirichlet', 'segment', sgm, 0, 2.0, 0.5, 0.0, TRUE FROM s WHERE sgm % 24 = 4 UNION ALL SELECT 'dirichlet', 'point', sgm, 0, -1.0, 0.0, 0.0, FALSE FROM s WHERE sgm % 16 = 4 UNION ALL SELECT 'dirichlet', 'point', sgm, 1, 0.0, 0.0, 3.0, TRUE FROM s"""
+CONDITION_SQL = f"s AS (SELECT DISTINCT sgm FROM mesh_insgm), c AS ({CONDITIONS}), v AS (SELECT sgm AS id, arg_min(nid, seq) AS nid FROM mesh_insgm GROUP BY sgm)"
+
+
+def _conditions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    insgm = T.mesh_insgm(spark, d)
+    rows = spark.sql(CONDITIONS.replace(" FROM s", " FROM {s}"), s=insgm.select("sgm").distinct())
+    doubles = rows.withColumns({k: F.col(k).cast("double") for k in ("v0", "vx", "vy")})
+    return doubles, insgm, T.mesh_node(spark, d), insgm.groupBy(F.col("sgm").alias("id")).agg(F.min_by("nid", "seq").alias("nid"))
+
+
+@query(sql(f"""WITH {CONDITION_SQL}, p AS (SELECT a.sgm, a.nid AS a, b.nid AS b, p.x AS xa, p.y AS ya, q.x AS xb, q.y AS yb, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) AS l FROM mesh_insgm a JOIN mesh_insgm b ON a.sgm = b.sgm AND b.seq = a.seq + 1 JOIN mesh_node p ON p.nid = a.nid JOIN mesh_node q ON q.nid = b.nid),
+    t AS (SELECT *, sum(l) OVER (PARTITION BY sgm) AS total FROM p), e AS (SELECT dof, unnest([a, b]) AS nid, CASE WHEN varies THEN (2*v0 + vx*(xa+xb) + vy*(ya+yb))/4*l ELSE v0*l/total/2 END AS f FROM c JOIN t ON c.id = t.sgm WHERE kind = 'neumann' AND place = 'segment'
+    UNION ALL SELECT dof, v.nid, CAST(v0 AS DOUBLE) FROM c JOIN v USING (id) WHERE kind = 'neumann' AND place = 'point')
+    SELECT step, 2*nid + dof AS i, round(sum(f)*factor, 6)+0.0 AS f FROM e, (VALUES (1, 0.5::DOUBLE), (2, 2.0::DOUBLE)) k(step, factor) GROUP BY step, factor, 2*nid + dof"""))
+def msh23_neumann(spark: SparkSession, d: str) -> DataFrame:
+    """What conditions add to the right side in two steps."""
+    c, insgm, node, vertex = _conditions(spark, d)
+    return CN.loads(c, insgm, node, vertex, {1: 0.5, 2: 2.0}).select("step", "i", r6(F.col("f")).alias("f"))
+
+
+@query(sql(f"""WITH {CONDITION_SQL}, e AS (SELECT c.*, i.nid FROM c JOIN (SELECT DISTINCT sgm, nid FROM mesh_insgm) i ON c.id = i.sgm WHERE kind = 'dirichlet' AND place = 'segment' UNION ALL SELECT c.*, v.nid FROM c JOIN v USING (id) WHERE kind = 'dirichlet' AND place = 'point')
+    SELECT 2*nid + dof AS i, round(arg_max(v0 + CASE WHEN varies THEN vx*x + vy*y ELSE 0 END, CASE WHEN place = 'point' THEN 1 ELSE 0 END), 6)+0.0 AS x FROM e JOIN mesh_node USING (nid) GROUP BY 2*nid + dof"""))
+def msh23_dirichlet(spark: SparkSession, d: str) -> DataFrame:
+    """Unknowns that conditions fix."""
+    return CN.fixed(*_conditions(spark, d)).select("i", r6(F.col("x")).alias("x"))
+
+
 @query(sql("""SELECT nid, round(sum(f), 6) AS force FROM (SELECT unnest([a.nid, b.nid]) AS nid, 3.0 * sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) / 2 AS f FROM mesh_insgm a JOIN mesh_insgm b ON a.sgm = b.sgm AND b.seq = a.seq + 1
     JOIN mesh_node p ON p.nid = a.nid JOIN mesh_node q ON q.nid = b.nid) GROUP BY nid"""))
 def msh23_boundary_load(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -108,11 +108,14 @@ def strains(tri: DataFrame, field: DataFrame) -> DataFrame:
 
 def stiffness(tri: DataFrame, d: tuple[float, float, float], thickness: float = 1.0) -> DataFrame:
     """(i, j, v) of the assembled matrix; the unknowns of node n are 2 n and 2 n + 1. Blocks of elements are summed by (i, j)."""
-    t = corners_long(shape_gradients(tri))
-    a = t.select("elem", "det", F.col("nid").alias("na"), F.col("bx").alias("ax"), F.col("by").alias("ay"))
-    b = t.select("elem", F.col("nid").alias("nb"), F.col("bx").alias("cx"), F.col("by").alias("cy"))
+    t = shape_gradients(tri)
     scale = F.col("det") / 2 * thickness
     d11, d12, d33 = (F.lit(v) for v in d)
-    block = [[d11 * F.col("ax") * F.col("cx") + d33 * F.col("ay") * F.col("cy"), d12 * F.col("ax") * F.col("cy") + d33 * F.col("ay") * F.col("cx")], [d12 * F.col("ay") * F.col("cx") + d33 * F.col("ax") * F.col("cy"), d11 * F.col("ay") * F.col("cy") + d33 * F.col("ax") * F.col("cx")]]
-    cells = F.array(*[F.struct((2 * F.col("na") + p).alias("i"), (2 * F.col("nb") + q).alias("j"), (scale * block[p][q]).alias("v")) for p in (0, 1) for q in (0, 1)])
-    return a.join(b, "elem").select(F.explode(cells).alias("e")).select("e.*").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+    def block(k: int, m: int) -> list[list[Column]]:
+        ax, ay, cx, cy = (F.col(f"b{c}{n}") for n in (k, m) for c in "xy")
+        return [[d11 * ax * cx + d33 * ay * cy, d12 * ax * cy + d33 * ay * cx], [d12 * ay * cx + d33 * ax * cy, d11 * ay * cy + d33 * ax * cx]]
+
+    # All entries of an element are on its row.
+    cells = [F.struct((2 * F.col(f"n{k}") + p).alias("i"), (2 * F.col(f"n{m}") + q).alias("j"), (scale * block(k, m)[p][q]).alias("v")) for k in (1, 2, 3) for m in (1, 2, 3) for p in (0, 1) for q in (0, 1)]
+    return t.select(F.explode(F.array(*cells)).alias("e")).select("e.*").groupBy("i", "j").agg(F.sum("v").alias("v"))
