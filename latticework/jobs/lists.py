@@ -66,10 +66,10 @@ def srt4_topk_by_key(spark: SparkSession, d: str) -> DataFrame:
     return T.read(spark, d, "events").withColumn("rank", n).filter("rank <= 3").select("user_id", "event_id", "rank")
 
 
-@query()
+@query("SELECT event_id, row_number() OVER (ORDER BY md5(event_id || ':7'), event_id) - 1 AS rank FROM events")
 def srt7_random_permutation(spark: SparkSession, d: str) -> DataFrame:
     e = T.read(spark, d, "events").select("event_id")
-    return ranked(e.withColumn("h", F.xxhash64("event_id", F.lit(7))), [F.col("h"), F.col("event_id")]).select("event_id", "rank")
+    return ranked(e.withColumn("h", F.md5(F.concat(F.col("event_id").cast("string"), F.lit(":7")))), [F.col("h"), F.col("event_id")]).select("event_id", "rank")
 
 
 @query()

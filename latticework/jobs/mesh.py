@@ -114,7 +114,11 @@ def msh13_segment_sides(spark: SparkSession, d: str) -> DataFrame:
     return M.wall_faces(T.mesh_insgm(spark, d)).select("lo", "hi").join(f, ["lo", "hi"], "left").select("lo", "hi", F.coalesce("sides", F.lit(0)).cast("long").alias("sides"))
 
 
-@query()
+@query(sql("""WITH m AS (SELECT poly_id, seq, x - avg(x) OVER (PARTITION BY poly_id) * 7 / 8 AS x, y FROM rings), e AS (SELECT poly_id, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM m WINDOW w AS (PARTITION BY poly_id ORDER BY seq)),
+    c AS (SELECT elem, (x1+x2+x3)/3 AS cx, (y1+y2+y3)/3 AS cy FROM mesh_tri), i AS (SELECT DISTINCT elem FROM (SELECT elem, poly_id FROM c JOIN e ON (y1 > cy) <> (y2 > cy) AND cx < x1 + (cy-y1)/(y2-y1)*(x2-x1) GROUP BY 1, 2 HAVING count(*) % 2 = 1)),
+    t AS (SELECT elem, x1 AS px, y1 AS py, x2 AS qx, y2 AS qy FROM mesh_tri UNION ALL SELECT elem, x2, y2, x3, y3 FROM mesh_tri UNION ALL SELECT elem, x3, y3, x1, y1 FROM mesh_tri),
+    o AS (SELECT elem, (x2-x1)*(py-y1)-(y2-y1)*(px-x1) AS o1, (x2-x1)*(qy-y1)-(y2-y1)*(qx-x1) AS o2, (qx-px)*(y1-py)-(qy-py)*(x1-px) AS o3, (qx-px)*(y2-py)-(qy-py)*(x2-px) AS o4 FROM t JOIN e ON greatest(px, qx) >= least(x1, x2) AND least(px, qx) <= greatest(x1, x2) AND greatest(py, qy) >= least(y1, y2) AND least(py, qy) <= greatest(y1, y2))
+    SELECT elem FROM i WHERE elem NOT IN (SELECT elem FROM o WHERE o1*o2 < 0 AND o3*o4 < 0)"""))
 def msh14_drop_outside(spark: SparkSession, d: str) -> DataFrame:
     """Elements whose centre lies in some ring and none of whose edges crosses one."""
     from latticework.operators import spatial as S
@@ -344,7 +348,9 @@ def agg12_max_displacement(spark: SparkSession, d: str) -> DataFrame:
     return T.field_u(spark, d).groupBy("nid").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("l")).agg(F.round(F.max("l"), 6).alias("max_disp"))
 
 
-@query(sql("SELECT a.elem, a.face, l.dst AS \"left\", r.dst AS \"right\" FROM mesh_face a0 JOIN (SELECT elem, face FROM mesh_face) a ON a.elem = a0.elem AND a.face = a0.face LEFT JOIN mesh_dual l ON l.src = a.elem AND l.face = (a.face + 2) % 3 LEFT JOIN mesh_dual r ON r.src = a.elem AND r.face = (a.face + 1) % 3"))
+@query(sql("""WITH n AS (SELECT f.elem, f.face, d.dst FROM mesh_face f LEFT JOIN mesh_dual d ON d.src = f.elem AND d.face = f.face),
+    p AS (SELECT elem, max(dst) FILTER (face = 0) AS d0, max(dst) FILTER (face = 1) AS d1, max(dst) FILTER (face = 2) AS d2 FROM n GROUP BY elem)
+    SELECT elem, face, CASE face WHEN 0 THEN d2 WHEN 1 THEN d0 ELSE d1 END AS "left", CASE face WHEN 0 THEN d1 WHEN 1 THEN d2 ELSE d0 END AS "right" FROM n JOIN p USING (elem)"""))
 def win11_side_neighbours(spark: SparkSession, d: str) -> DataFrame:
     elem = T.mesh_elem(spark, d)
     n = M.neighbours(elem).select(F.col("src").alias("elem"), "face", "dst")
