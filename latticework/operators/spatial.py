@@ -24,6 +24,22 @@ def over_cells(df: DataFrame, size: float, x1: Column, y1: Column, x2: Column, y
     return wide.withColumn("by", F.explode(F.sequence(G.cell(y1, size), G.cell(y2, size))))
 
 
+def over_segment_cells(df: DataFrame, size: float, grow: float = G.TOL) -> DataFrame:
+    """df with a row for each cell (bx, by) that its segment (x1, y1, x2, y2), grown by a little, may touch: as many as it is long, not as its box is large."""
+    low, high = F.least("x1", "x2") - grow, F.greatest("x1", "x2") + grow
+    wide = df.withColumn("bx", F.explode(F.sequence(G.cell(low, size), G.cell(high, size))))
+    # The part of the segment over this column of cells, one cell wider where rounding might count.
+    slope = F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+    steep = slope.isNull() | (F.abs(slope) > 1e9)
+    at = lambda x: F.col("y1") + slope * (F.greatest(F.least("x1", "x2"), F.least(F.greatest("x1", "x2"), x)) - F.col("x1"))
+    left, right = at(F.col("bx") * size - grow), at((F.col("bx") + 1) * size + grow)
+    bottom, top = F.least("y1", "y2"), F.greatest("y1", "y2")
+    more = grow * (2 + F.abs(F.coalesce(slope, F.lit(0.0))))
+    first = F.when(steep, bottom).otherwise(F.greatest(bottom, F.least(left, right) - more)) - grow
+    last = F.when(steep, top).otherwise(F.least(top, F.greatest(left, right) + more)) + grow
+    return wide.withColumn("by", F.explode(F.sequence(G.cell(first, size), F.greatest(G.cell(first, size), G.cell(last, size)))))
+
+
 def with_cell(points: DataFrame, size: float) -> DataFrame:
     return points.withColumns({"bx": G.cell(F.col("x"), size), "by": G.cell(F.col("y"), size)})
 
@@ -117,24 +133,22 @@ def locate(points: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
 def crossing_pairs(segs: DataFrame, size: float, touching: bool = False, within: list[str] = ()) -> DataFrame:
     """(a, b) with a < b of segments (sid, x1, y1, x2, y2) that cross, or lie on one line and overlap; within names columns that both must share.
 
-    Where touching is true, an end on the other segment counts too. A pair that shares several cells is reported in
-    the lowest of them, so no distinct is needed. The test is by orientations, which is short enough to compile.
+    Where touching is true, an end on the other segment counts too. Segments meet in the cells that they cross, not in all of their boxes;
+    a pair may share several, so pairs are made distinct in the end. The test is by orientations, which is short enough to compile.
     """
-    low_x, low_y = F.least("x1", "x2"), F.least("y1", "y2")
-    s = over_cells(segs.select(*within, "sid", "x1", "y1", "x2", "y2").withColumns({"cx": G.cell(low_x, size), "cy": G.cell(low_y, size)}), size, low_x, low_y, F.greatest("x1", "x2"), F.greatest("y1", "y2"))
-    left = s.select(*within, "bx", "by", *[F.col(c).alias(f"a_{c}") for c in ("sid", "x1", "y1", "x2", "y2", "cx", "cy")])
-    right = s.select(*within, "bx", "by", *[F.col(c).alias(f"b_{c}") for c in ("sid", "x1", "y1", "x2", "y2", "cx", "cy")])
-    lowest = (F.col("bx") == F.greatest("a_cx", "b_cx")) & (F.col("by") == F.greatest("a_cy", "b_cy"))
+    s = over_segment_cells(segs.select(*within, "sid", "x1", "y1", "x2", "y2"), size)
+    left = s.select(*within, "bx", "by", *[F.col(c).alias(f"a_{c}") for c in ("sid", "x1", "y1", "x2", "y2")])
+    right = s.select(*within, "bx", "by", *[F.col(c).alias(f"b_{c}") for c in ("sid", "x1", "y1", "x2", "y2")])
     a1, a2, b1, b2 = (G.point(f"{s}_x{k}", f"{s}_y{k}") for s in "ab" for k in (1, 2))
     along = lambda p: (p[0] - a1[0]) * (a2[0] - a1[0]) + (p[1] - a1[1]) * (a2[1] - a1[1])
-    pairs = left.join(right, [*within, "bx", "by"]).filter((F.col("a_sid") < F.col("b_sid")) & lowest)
+    pairs = left.join(right, [*within, "bx", "by"]).filter(F.col("a_sid") < F.col("b_sid"))
     signs = pairs.select(*within, "a_sid", "b_sid", G.orient(a1, a2, b1).alias("o1"), G.orient(a1, a2, b2).alias("o2"), G.orient(b1, b2, a1).alias("o3"), G.orient(b1, b2, a2).alias("o4"), G.dist2(a1, a2).alias("l2"), along(b1).alias("s1"), along(b2).alias("s2"))
     line = (F.abs("o1") < G.TOL) & (F.abs("o2") < G.TOL) & (F.greatest("s1", "s2") > 0) & (F.least("s1", "s2") < F.col("l2"))
     cross = (F.col("o1") * F.col("o2") < 0) & (F.col("o3") * F.col("o4") < 0)
     if touching:
         tol = 1e-9
         cross = (F.col("o1") * F.col("o2") <= tol) & (F.col("o3") * F.col("o4") <= tol) & (F.abs(F.col("o1") - F.col("o2")) > G.TOL)
-    return signs.filter(cross | line).select(*within, F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
+    return signs.filter(cross | line).select(*within, F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
 
 
 def near_pairs(points: DataFrame, reach: float, within: list[str] = ()) -> DataFrame:

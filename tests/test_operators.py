@@ -188,3 +188,24 @@ def test_hull_and_candidates_of_a_half_plane(spark):
     got = S.half_plane_candidates(spark.createDataFrame(segs, "sid long, x1 double, y1 double, x2 double, y2 double"), points, 2.0)
     assert {tuple(r) for r in got.collect()} == expected and late > 5
     assert S.half_plane_candidates(spark.createDataFrame(segs[60:61], "sid long, x1 double, y1 double, x2 double, y2 double"), points, 2.0).isEmpty()
+
+
+def test_crossings_of_long_segments_by_the_cells_that_they_cross(spark):
+    from latticework.operators import spatial as S
+
+    rng = random.Random(12)
+    segs = [(k, rng.uniform(-40, 40), rng.uniform(-40, 40), rng.uniform(-40, 40), rng.uniform(-40, 40)) for k in range(90)]
+    segs += [(90, -30.0, -30.0, 30.0, 30.0), (91, -10.0, -10.0, 40.0, 40.0), (92, 5.0, -40.0, 5.0, 40.0), (93, -40.0, 2.0, 40.0, 2.0), (94, 5.0, -10.0, 5.0, 60.0), (95, 0.0, 0.0, -20.0, 10.0)]
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    expected = set()
+    for i, *a in segs:
+        for j, *b in segs:
+            p, q, r, s = a[:2], a[2:], b[:2], b[2:]
+            o = turn(p, q, r), turn(p, q, s), turn(r, s, p), turn(r, s, q)
+            if i < j and (o[0] * o[1] < 0 and o[2] * o[3] < 0 or (i, j) in {(90, 91), (92, 94)}):
+                expected.add((i, j))
+    table = spark.createDataFrame(segs, "sid long, x1 double, y1 double, x2 double, y2 double")
+    for size in (1.0, 7.0):
+        assert sorted((r.a, r.b) for r in S.crossing_pairs(table, size).collect()) == sorted(expected)
+    # About 80 cells along a segment, where its box has 1,600.
+    assert S.over_segment_cells(table, 1.0).count() < 120 * len(segs)
