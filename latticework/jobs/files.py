@@ -173,6 +173,15 @@ def src8_mesh_view(spark: SparkSession, d: str) -> DataFrame:
     return X.vtk_cells(T.mesh_elem(spark, d))
 
 
+@query(sql("""WITH e AS (SELECT elem, dense_rank() OVER (ORDER BY elem) - 1 AS k, pos, nid FROM mesh_elem) SELECT CAST(k AS BIGINT) AS elem, pos, x, y, 5 AS type FROM e JOIN mesh_node USING (nid)"""))
+def src8_mesh_text(spark: SparkSession, d: str) -> DataFrame:
+    """A mesh as a document of points, cells and types, written and read again."""
+    path = _fresh(spark, "mesh")
+    L.write_lines(FM.mesh_lines(T.mesh_node(spark, d), T.mesh_elem(spark, d)).withColumn("key", F.lit(0)), path, ["part", "row"])
+    t = FM.mesh_read(L.lines_of(spark, path + "/key=*", folders=True))
+    return t["elem"].join(t["node"], ["doc", "i"]).join(t["type"], ["doc", "elem"]).select("elem", "pos", "x", "y", "type")
+
+
 @query("SELECT 'k' || event_id AS name, CAST(value AS VARCHAR) AS value, value AS number FROM events WHERE event_id % 5 <> 0")
 def src9_assignments(spark: SparkSession, d: str) -> DataFrame:
     e = T.read(spark, d, "events")

@@ -139,6 +139,49 @@ def matrix_read(lines: DataFrame, form: str, values: bool = True, numbering: int
     return entries, rows, faults.select("doc", "f.*").filter("expected <> found")
 
 
+# Meshes: sections of points, cells and cell types, each with its counts.
+
+#: Types of cells by their number of corners, the last for all others (fixed values of the format).
+CELL_TYPES = {3: 5, 4: 9, None: 7}
+
+
+def mesh_lines(node: DataFrame, elem: DataFrame, title: str = "mesh") -> DataFrame:
+    """(part, row, line) of node (nid, x, y) and elem (elem, pos, nid); nodes and elements are numbered in order of their ids."""
+    from latticework.operators.graph import ranked
+
+    n = ranked(node.select("nid", "x", "y"), [F.col("nid")])
+    cells = elem.join(n.select("nid", F.col("rank").alias("i")), "nid").groupBy("elem").agg(F.sort_array(F.collect_list(F.struct("pos", "i"))).alias("c"))
+    cells = ranked(cells, [F.col("elem")]).withColumn("k", F.size("c"))
+    kind = F.when(F.col("k") == 3, CELL_TYPES[3]).when(F.col("k") == 4, CELL_TYPES[4]).otherwise(CELL_TYPES[None])
+    text = lambda *c: F.concat_ws(" ", *[x.cast("string") for x in c])
+    row = lambda part, at, line: [F.lit(part).alias("part"), at.cast("long").alias("row"), line.alias("line")]
+    first = F.lit(-1)
+    counts = cells.agg(F.count("*").alias("m"), F.coalesce(F.sum("k"), F.lit(0)).alias("all"))
+    parts = [
+        n.agg(F.concat(F.lit(f"# vtk DataFile Version 2.0\n{title}\nASCII\nDATASET UNSTRUCTURED_GRID\nPOINTS "), F.count("*").cast("string"), F.lit(" double")).alias("head")).select(*row(0, first, F.col("head"))),
+        n.select(*row(0, F.col("rank"), text(F.col("x"), F.col("y"), F.lit(0)))), counts.select(*row(1, first, text(F.lit("CELLS"), F.col("m"), F.col("m") + F.col("all")))),
+        cells.select(*row(1, F.col("rank"), F.concat_ws(" ", F.col("k").cast("string"), F.transform("c", lambda c: c["i"].cast("string"))))),
+        counts.select(*row(2, first, text(F.lit("CELL_TYPES"), F.col("m")))), cells.select(*row(2, F.col("rank"), kind.cast("string"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def mesh_read(lines: DataFrame) -> dict[str, DataFrame]:
+    """Tables node (doc, i, x, y), elem (doc, elem, pos, i) and type (doc, elem, type) of documents with a point, cell or type on each line."""
+    now = numbered(lines)
+    head = F.regexp_extract("line", r"^\s*(POINTS|CELLS|CELL_TYPES)\s", 1)
+    now = carried(now, {"head": F.when(head != "", F.struct(head.alias("section"), F.col("n").alias("n"), tokens("line")[1].cast("long").alias("count")))})
+    row = F.col("n") - F.col("head.n") - 1
+    rows = now.filter((row >= 0) & (row < F.col("head.count"))).select("doc", F.col("head.section").alias("section"), row.alias("k"), tokens("line").alias("t"))
+    of = lambda section: rows.filter(F.col("section") == section)
+    whole = lambda k: F.get("t", F.lit(k))
+    corners = of("CELLS").select("doc", F.col("k").alias("elem"), F.posexplode(F.slice("t", 2, F.size("t"))).alias("pos", "i"))
+    return {
+        "node": of("POINTS").select("doc", F.col("k").alias("i"), whole(0).cast("double").alias("x"), whole(1).cast("double").alias("y")),
+        "elem": corners.withColumn("i", F.col("i").cast("long")), "type": of("CELL_TYPES").select("doc", F.col("k").alias("elem"), whole(0).cast("int").alias("type")),
+    }
+
+
 # Timed result fields: steps of fields of rows.
 
 
