@@ -193,6 +193,22 @@ def msh20_centroid_smoothing(spark: SparkSession, d: str) -> DataFrame:
     return node.select("nid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+# Free nodes go to the mean of their elements' centres, nodes of segments along the line between their segment's ends.
+SLIDE = """SELECT n.nid, CASE WHEN f.nid IS NOT NULL THEN n.x WHEN l.nid IS NOT NULL THEN l.x1 + ((cx-l.x1)*l.ux + (cy-l.y1)*l.uy)*l.ux ELSE cx END AS x, CASE WHEN f.nid IS NOT NULL THEN n.y WHEN l.nid IS NOT NULL THEN l.y1 + ((cx-l.x1)*l.ux + (cy-l.y1)*l.uy)*l.uy ELSE cy END AS y
+    FROM {0} n JOIN (SELECT e.nid, avg(cx) AS cx, avg(cy) AS cy FROM mesh_elem e JOIN (SELECT elem, avg(x) AS cx, avg(y) AS cy FROM mesh_elem JOIN {0} USING (nid) GROUP BY elem) c USING (elem) GROUP BY e.nid) m USING (nid) LEFT JOIN fixed f USING (nid) LEFT JOIN line l USING (nid)"""
+
+
+@query(sql(f"""WITH ends AS (SELECT sgm, arg_min(nid, seq) AS a, arg_max(nid, seq) AS b FROM mesh_insgm GROUP BY sgm), fixed AS (SELECT DISTINCT unnest([lo, hi]) AS nid FROM (SELECT lo, hi FROM mesh_face GROUP BY lo, hi HAVING count(*) = 1) UNION SELECT a FROM ends UNION SELECT b FROM ends),
+    line AS (SELECT i.nid, p.x AS x1, p.y AS y1, (q.x-p.x)/sqrt((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)) AS ux, (q.y-p.y)/sqrt((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)) AS uy FROM mesh_insgm i JOIN ends e USING (sgm) JOIN mesh_node p ON p.nid = e.a JOIN mesh_node q ON q.nid = e.b WHERE e.a <> e.b),
+    s1 AS ({SLIDE.format('mesh_node')}), s2 AS ({SLIDE.format('s1')}), s3 AS ({SLIDE.format('s2')}) SELECT nid, round(x, 6)+0.0 AS x, round(y, 6)+0.0 AS y FROM s3"""))
+def msh20_sliding_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds with nodes that slide on their segments; nodes of the border stay."""
+    elem = T.mesh_elem(spark, d)
+    border = M.boundary_faces(elem).select(F.explode(F.array("lo", "hi")).alias("nid")).distinct()
+    node, _, _ = M.smoothed(T.mesh_node(spark, d), T.stored_once(elem), T.mesh_insgm(spark, d), border, 0.0, 3)
+    return node.select("nid", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
 GRAD = f"""g AS (SELECT elem, {DET} AS det, unnest([n1, n2, n3]) AS nid, unnest([y2-y3, y3-y1, y1-y2])/{DET} AS bx, unnest([x3-x2, x1-x3, x2-x1])/{DET} AS bhy FROM mesh_tri)"""
 
 

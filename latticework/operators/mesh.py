@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import geometry as G
 from latticework.operators.components import connected_components
+from latticework.sources.scratch import released, stored
 
 
 def with_corners(elem: DataFrame, node: DataFrame) -> DataFrame:
@@ -84,6 +85,36 @@ def fans(elem: DataFrame) -> DataFrame:
     return elem.select("nid", "elem").join(found, ["nid", "elem"], "left").select("nid", "elem", F.coalesce("fan", "elem").alias("fan"))
 
 
+def smoothed(node: DataFrame, elem: DataFrame, insgm: DataFrame, fixed: DataFrame, tol: float, most_rounds: int = 200) -> tuple[DataFrame, int, float]:
+    """(node (nid, x, y), rounds, largest move of the last): nodes moved to the mean of their elements' centres until none moves by tol or more.
+
+    Nodes of segments (sgm, seq, nid) slide on the line from their segment's first to its last node; fixed (nid), the ends of segments and nodes of several
+    segments stay. An element's centre is the mean of its corners. What has not settled after most_rounds is returned as it is then, with its last move.
+    """
+    ends = insgm.groupBy("sgm").agg(F.min_by("nid", "seq").alias("first"), F.max_by("nid", "seq").alias("last"))
+    at = lambda key, k: node.select(F.col("nid").alias(key), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    line = ends.join(at("first", 1), "first").join(at("last", 2), "last")
+    held = insgm.groupBy("nid").agg(F.count_distinct("sgm").alias("n"), F.min("sgm").alias("sgm"))
+    stay = fixed.select("nid").unionByName(ends.select(F.explode(F.array("first", "last")).alias("nid"))).unionByName(held.filter("n > 1").select("nid")).distinct().withColumn("stays", F.lit(True))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    slide = held.join(line, "sgm").filter("x1 <> x2 or y1 <> y2").select("nid", "x1", "y1", (dx / F.hypot(dx, dy)).alias("ux"), (dy / F.hypot(dx, dy)).alias("uy"))
+    kind = stored(node.select("nid").join(stay, "nid", "left").join(slide, "nid", "left"), "node-kinds")
+    now, moved = stored(node.select("nid", "x", "y"), "nodes"), float("inf")
+    rounds = 0
+    while rounds < most_rounds and moved >= tol:
+        centre = elem.join(now, "nid").groupBy("elem").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+        to = elem.join(centre, "elem").groupBy("nid").agg(F.avg("cx").alias("cx"), F.avg("cy").alias("cy"))
+        along = (F.col("cx") - F.col("x1")) * F.col("ux") + (F.col("cy") - F.col("y1")) * F.col("uy")
+        new = lambda c: F.when(F.col("stays") | F.col(f"c{c}").isNull(), F.col(c)).when(F.col("ux").isNotNull(), F.col(f"{c}1") + along * F.col(f"u{c}")).otherwise(F.col(f"c{c}"))  # noqa: B023, E731
+        step = now.join(kind, "nid").join(to, "nid", "left").select("nid", new("x").alias("x"), new("y").alias("y"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+        before, step = now, stored(step, "nodes")
+        moved = step.agg(F.max(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")))).first()[0] or 0.0
+        now = step.select("nid", "x", "y")
+        released(before)
+        rounds += 1
+    return now, rounds, moved
+
+
 def shape_gradients(tri: DataFrame) -> DataFrame:
     """tri with det (twice the area) and the gradients bx1..by3 of the linear shape functions; det below zero is distorted."""
     det = G.orient(G.point("x1", "y1"), G.point("x2", "y2"), G.point("x3", "y3"))

@@ -209,3 +209,39 @@ def test_crossings_of_long_segments_by_the_cells_that_they_cross(spark):
         assert sorted((r.a, r.b) for r in S.crossing_pairs(table, size).collect()) == sorted(expected)
     # About 80 cells along a segment, where its box has 1,600.
     assert S.over_segment_cells(table, 1.0).count() < 120 * len(segs)
+
+
+def test_smoothing_to_its_end(spark):
+    """A grid of quadrilaterals with a segment across it and moved inner nodes, against a loop."""
+    import numpy as np
+
+    from latticework.operators import mesh as M
+
+    rng = np.random.default_rng(4)
+    n = 7
+    number = lambda r, c: r * n + c
+    x = {number(r, c): np.array([c, r], float) + (rng.normal(size=2) * 0.2 if 0 < r < n - 1 and 0 < c < n - 1 and r != 3 else 0) for r in range(n) for c in range(n)}
+    elems = {r * n + c: [number(r, c), number(r, c + 1), number(r + 1, c + 1), number(r + 1, c)] for r in range(n - 1) for c in range(n - 1)}
+    segment = [number(3, c) for c in range(n)]
+    for k in segment[1:-1]:
+        x[k][0] += rng.normal() * 0.1
+    fixed = {number(r, c) for r in range(n) for c in range(n) if r in (0, n - 1) or c in (0, n - 1)}
+    node = spark.createDataFrame([(k, float(p[0]), float(p[1])) for k, p in x.items()], "nid long, x double, y double")
+    elem = spark.createDataFrame([(e, i, k) for e, ks in elems.items() for i, k in enumerate(ks)], "elem long, pos int, nid long")
+    insgm = spark.createDataFrame([(0, i, k) for i, k in enumerate(segment)], "sgm long, seq long, nid long")
+    got, rounds, moved = M.smoothed(node, elem, insgm, spark.createDataFrame([(k,) for k in fixed], "nid long"), 0.02)
+    s1, u = x[segment[0]].copy(), x[segment[-1]] - x[segment[0]]
+    u /= np.hypot(*u)
+    expected = 0
+    while True:
+        centre = {e: np.mean([x[k] for k in ks], axis=0) for e, ks in elems.items()}
+        new = {k: p if k in fixed else np.mean([centre[e] for e, ks in elems.items() if k in ks], axis=0) for k, p in x.items()}
+        new |= {k: s1 + ((new[k] - s1) @ u) * u for k in segment if k not in fixed}
+        far = max(np.hypot(*(new[k] - x[k])) for k in x)
+        x, expected = new, expected + 1
+        if far < 0.02:
+            break
+    assert rounds == expected and 1 < rounds < 50 and abs(moved - far) < 1e-9
+    for r in got.collect():
+        assert np.allclose([r.x, r.y], x[r.nid])
+    assert M.smoothed(node, elem, insgm, node.select("nid"), 1e-9)[1:] == (1, 0.0)
