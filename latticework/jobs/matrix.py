@@ -23,6 +23,13 @@ def agg8_vector(spark: SparkSession, d: str) -> DataFrame:
     return p.agg(F.round(F.sqrt(F.sum(F.expr("x*x"))), 4).alias("norm"), F.round(F.sum("x"), 4).alias("total"), F.max("x").alias("most"), at.alias("at"), F.round(F.sum(F.expr("x*z")), 4).alias("dot"))
 
 
+@query("SELECT i, x FROM (SELECT p_partkey AS i, round(p_retailprice/1000, 6) AS x FROM part) ORDER BY x DESC, i LIMIT 1 OFFSET 6")
+def agg8_nth_largest(spark: SparkSession, d: str) -> DataFrame:
+    """Where the seventh largest entry of a vector is, ties by index."""
+    p = T.read(spark, d, "part").select(F.col("p_partkey").alias("i"), F.round(F.col("p_retailprice") / 1000, 6).alias("x"))
+    return S.nth_largest(p, 7)
+
+
 @query(sql("SELECT 'row' AS what, i AS id, sum(v) AS s, sum(v*v) AS q FROM coo GROUP BY i UNION ALL SELECT 'col', j, sum(v), sum(v*v) FROM coo GROUP BY j"))
 def agg10_row_col_sums(spark: SparkSession, d: str) -> DataFrame:
     m = T.coo(spark, d)

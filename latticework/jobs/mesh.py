@@ -359,6 +359,20 @@ def agg7_elem_radius(spark: SparkSession, d: str) -> DataFrame:
     return at.groupBy("elem").agg(F.round(F.max(G.dist(G.point("x", "y"), G.point("cx", "cy"))), 6).alias("radius"))
 
 
+def _to_side(i: int, j: int) -> str:
+    """The distance of (cx, cy) from the side between two corners."""
+    dx, dy = f"(x{j}-x{i})", f"(y{j}-y{i})"
+    u = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((cx-x{i})*{dx}+(cy-y{i})*{dy})/({dx}*{dx}+{dy}*{dy})))"
+    return f"sqrt((cx-x{i}-{u}*{dx})*(cx-x{i}-{u}*{dx})+(cy-y{i}-{u}*{dy})*(cy-y{i}-{u}*{dy}))"
+
+
+@query(sql(f"SELECT elem, round(greatest({_to_side(1, 2)}, {_to_side(2, 3)}, {_to_side(3, 1)}), 6) AS apothem FROM (SELECT *, (x1+x2+x3)/3 AS cx, (y1+y2+y3)/3 AS cy FROM mesh_tri)"))
+def agg7_elem_apothem(spark: SparkSession, d: str) -> DataFrame:
+    """The largest distance of an element's centre from its sides."""
+    c = G.centroid(A, B, C)
+    return T.mesh_tri(spark, d).select("elem", F.round(F.greatest(*[G.dist(G.closest_on_segment(p, q, c), c) for p, q in ((A, B), (B, C), (C, A))]), 6).alias("apothem"))
+
+
 @query(sql("SELECT round(max(l), 6) AS max_disp FROM (SELECT sqrt(sum(value*value)) AS l FROM field_u GROUP BY nid)"))
 def agg12_max_displacement(spark: SparkSession, d: str) -> DataFrame:
     return T.field_u(spark, d).groupBy("nid").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("l")).agg(F.round(F.max("l"), 6).alias("max_disp"))

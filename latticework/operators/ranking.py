@@ -42,22 +42,26 @@ def median_rfp(ranked: DataFrame) -> DataFrame:
     return r.groupBy("list_id").agg(F.try_divide(F.min(F.when(F.col("tp") >= F.ceil(F.col("pos") / 2.0), F.col("fp"))), F.max("neg")).alias("rfp"))
 
 
-def collapse_collinear(wires: DataFrame, tol: float, most_rounds: int = 200) -> DataFrame:
-    """wires (wire, seq, x, y) without middle vertices within tol of their neighbours' chord.
+def collapse_collinear(wires: DataFrame, tol: float, most_rounds: int = 200, fixed: DataFrame | None = None) -> DataFrame:
+    """wires (wire, seq, x, y) without middle vertices within tol of their neighbours' chord; those that fixed (wire, seq) names stay.
 
     A round drops such vertices at every other place only, so that no two neighbours go at once, until none is left to drop.
     """
-    now, idle = stored(wires.select("wire", "seq", "x", "y"), "wires"), 0
+    held = F.lit(False)
+    now = wires.select("wire", "seq", "x", "y", held.alias("held"))
+    if fixed is not None:
+        now = now.drop("held").join(fixed.select("wire", "seq").distinct().withColumn("held", F.lit(True)), ["wire", "seq"], "left").withColumn("held", F.coalesce("held", held))
+    now, idle = stored(now, "wires"), 0
     for k in range(most_rounds):
         w = W.partitionBy("wire").orderBy("seq")
         near = G.closest_on_segment(G.point("px", "py"), G.point("nx", "ny"), G.point("x", "y"))
         m = now.select("*", *[F.lag(c).over(w).alias(f"p{c}") for c in "xy"], *[F.lead(c).over(w).alias(f"n{c}") for c in "xy"], (F.row_number().over(w) % 2).alias("turn"))
-        drop = (F.col("turn") == k % 2) & F.col("px").isNotNull() & F.col("nx").isNotNull() & (G.dist(near, G.point("x", "y")) <= tol)
-        marked = stored(m.select("wire", "seq", "x", "y", F.coalesce(drop, F.lit(False)).alias("drop")), "wires")
+        drop = (F.col("turn") == k % 2) & ~F.col("held") & F.col("px").isNotNull() & F.col("nx").isNotNull() & (G.dist(near, G.point("x", "y")) <= tol)
+        marked = stored(m.select("wire", "seq", "x", "y", "held", F.coalesce(drop, F.lit(False)).alias("drop")), "wires")
         idle = 0 if marked.filter("drop").limit(1).count() else idle + 1
         now = marked.filter("not drop").drop("drop")
         if idle == 2:
-            return now
+            return now.drop("held")
     raise RuntimeError("wires did not settle")
 
 

@@ -225,6 +225,12 @@ def low_filter(m: DataFrame, norm: int, fraction: float) -> DataFrame:
     return m.select("i", "j", "v", before.alias("before"), F.sum(size).over(W.partitionBy("i")).alias("total")).filter(F.col("before") <= fraction * F.col("total")).select("i", "j", "v")
 
 
+def nth_largest(v: DataFrame, n: int) -> DataFrame:
+    """(i, x): the n-th largest entry of a vector (i, x), ties by smaller i; none where there are fewer."""
+    top = v.orderBy(F.desc("x"), "i").limit(n).select("i", "x")
+    return top.orderBy("x", F.desc("i")).limit(1).join(top.agg(F.count("*").alias("k")).filter(F.col("k") == n), F.lit(True)).select("i", "x")
+
+
 def topk_plus(m: DataFrame, k: int, keep: float) -> DataFrame:
     """Each row's k largest entries and all others of at least keep."""
     place = F.row_number().over(W.partitionBy("i").orderBy(F.desc("v"), "j"))

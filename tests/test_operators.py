@@ -245,3 +245,14 @@ def test_smoothing_to_its_end(spark):
     for r in got.collect():
         assert np.allclose([r.x, r.y], x[r.nid])
     assert M.smoothed(node, elem, insgm, node.select("nid"), 1e-9)[1:] == (1, 0.0)
+
+
+def test_fixed_vertices_stay_on_straight_wires(spark):
+    from latticework.operators import ranking as R
+
+    rows = [(1, k, float(k), 0.0) for k in range(20)] + [(2, 0, 0.0, 0.0), (2, 1, 1.0, 1.0), (2, 2, 2.0, 0.0)]
+    wires = spark.createDataFrame(rows, "wire long, seq long, x double, y double")
+    fixed = spark.createDataFrame([(1, 7), (1, 8)], "wire long, seq long")
+    found = lambda f: sorted((r.wire, r.seq) for r in R.collapse_collinear(wires, 1e-6, fixed=f).collect())
+    assert found(None) == [(1, 0), (1, 19), (2, 0), (2, 1), (2, 2)]
+    assert found(fixed) == [(1, 0), (1, 7), (1, 8), (1, 19), (2, 0), (2, 1), (2, 2)]
