@@ -83,16 +83,29 @@ def test_lockstep_emits_links_and_cuts():
     assert sorted(zip(a.tolist(), b.tolist())) == [(0, 0), (0, 1), (1, 1), (2, 2), (3, 3), (3, 4)]
 
 
-def test_counts_over_all_documents(spark, aligner):
-    texts = ODD + mixed(3, 60)
-    texts += texts[-20:]
-    ids = [None if k % 9 == 0 else k for k in range(len(texts))]
+def counted(aligner, ids, texts):
+    """What the operator returns for each row, as often as it does."""
     each = [brute(aligner, t) for t in texts]
     docs_of = Counter(p for e in each for p in e[5])
     best = {}
     for (a, _), n in docs_of.items():
         best[a] = max(best.get(a, 0), n)
-    expected = Counter((i, *e[:4], sum(n for p, n in e[5].items() if docs_of[p] == best[p[0]]), sum(n * docs_of[p] for p, n in e[5].items()), e[4]) for i, e in zip(ids, each))
+    return Counter((i, *e[:4], sum(n for p, n in e[5].items() if docs_of[p] == best[p[0]]), sum(n * docs_of[p] for p, n in e[5].items()), e[4]) for i, e in zip(ids, each))
+
+
+def test_query_on_the_smallest_table(spark, aligner):
+    from latticework.llm import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert Counter(tuple(r) for r in Q.op13_alignment(spark, sf).collect()) == counted(aligner, *zip(*rows))
+
+
+def test_counts_over_all_documents(spark, aligner):
+    texts = ODD + mixed(3, 60)
+    texts += texts[-20:]
+    ids = [None if k % 9 == 0 else k for k in range(len(texts))]
+    expected = counted(aligner, ids, texts)
     docs = spark.createDataFrame([(i, t, 1, 2, "c") for i, t in zip(ids, texts)], "doc_id long, text string, id long, pair long, chunk string").repartition(3)
     found = M.align(docs)
     assert found.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]

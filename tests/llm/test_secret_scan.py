@@ -104,3 +104,16 @@ def test_added_spans_touch_no_base_span():
     base = [(0, 0, 50), (10, 2, 42), (60, 1, 80)]
     assert M.with_added(base, [(45, 48), (50, 60), (79, 90), (90, 95)]) == [(0, 0, 50), (10, 2, 42), (50, 3, 60), (60, 1, 80), (90, 3, 95)]
     assert M.with_added(base, [(30, 70)]) == base
+
+
+def test_query_on_the_smallest_table(spark):
+    from latticework.llm import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = Q.op12_secret_scan(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = plain(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{M.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s and not s.startswith("crf")] == [f"{M.KINDS[k]}:{a}:{b}" for a, k, b in base]
