@@ -130,25 +130,30 @@ def locate(points: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
     return with_cell(points.select("pid", "x", "y"), size).join(t, ["bx", "by"]).filter(inside).groupBy("pid").agg(F.min("elem").alias("elem"))
 
 
-def crossing_pairs(segs: DataFrame, size: float, touching: bool = False, within: list[str] = ()) -> DataFrame:
+def crossing_pairs(segs: DataFrame, size: float, touching: bool = False, within: list[str] = (), walk: bool = False) -> DataFrame:
     """(a, b) with a < b of segments (sid, x1, y1, x2, y2) that cross, or lie on one line and overlap; within names columns that both must share.
 
-    Where touching is true, an end on the other segment counts too. Segments meet in the cells that they cross, not in all of their boxes;
-    a pair may share several, so pairs are made distinct in the end. The test is by orientations, which is short enough to compile.
+    Where touching is true, an end on the other segment counts too. A pair that shares several cells is reported in
+    the lowest of them, so no distinct is needed. With walk, for segments far longer than a cell, they meet in the cells that they cross only, not
+    in all of their boxes, and pairs are made distinct in the end. The test is by orientations, which is short enough to compile.
     """
-    s = over_segment_cells(segs.select(*within, "sid", "x1", "y1", "x2", "y2"), size)
-    left = s.select(*within, "bx", "by", *[F.col(c).alias(f"a_{c}") for c in ("sid", "x1", "y1", "x2", "y2")])
-    right = s.select(*within, "bx", "by", *[F.col(c).alias(f"b_{c}") for c in ("sid", "x1", "y1", "x2", "y2")])
+    low_x, low_y = F.least("x1", "x2"), F.least("y1", "y2")
+    long = segs.select(*within, "sid", "x1", "y1", "x2", "y2").withColumns({"cx": F.lit(0), "cy": F.lit(0)})
+    s = over_segment_cells(long, size) if walk else over_cells(segs.select(*within, "sid", "x1", "y1", "x2", "y2").withColumns({"cx": G.cell(low_x, size), "cy": G.cell(low_y, size)}), size, low_x, low_y, F.greatest("x1", "x2"), F.greatest("y1", "y2"))
+    left = s.select(*within, "bx", "by", *[F.col(c).alias(f"a_{c}") for c in ("sid", "x1", "y1", "x2", "y2", "cx", "cy")])
+    right = s.select(*within, "bx", "by", *[F.col(c).alias(f"b_{c}") for c in ("sid", "x1", "y1", "x2", "y2", "cx", "cy")])
+    lowest = (F.col("bx") == F.greatest("a_cx", "b_cx")) & (F.col("by") == F.greatest("a_cy", "b_cy"))
     a1, a2, b1, b2 = (G.point(f"{s}_x{k}", f"{s}_y{k}") for s in "ab" for k in (1, 2))
     along = lambda p: (p[0] - a1[0]) * (a2[0] - a1[0]) + (p[1] - a1[1]) * (a2[1] - a1[1])
-    pairs = left.join(right, [*within, "bx", "by"]).filter(F.col("a_sid") < F.col("b_sid"))
+    pairs = left.join(right, [*within, "bx", "by"]).filter((F.col("a_sid") < F.col("b_sid")) & (F.lit(True) if walk else lowest))
     signs = pairs.select(*within, "a_sid", "b_sid", G.orient(a1, a2, b1).alias("o1"), G.orient(a1, a2, b2).alias("o2"), G.orient(b1, b2, a1).alias("o3"), G.orient(b1, b2, a2).alias("o4"), G.dist2(a1, a2).alias("l2"), along(b1).alias("s1"), along(b2).alias("s2"))
     line = (F.abs("o1") < G.TOL) & (F.abs("o2") < G.TOL) & (F.greatest("s1", "s2") > 0) & (F.least("s1", "s2") < F.col("l2"))
     cross = (F.col("o1") * F.col("o2") < 0) & (F.col("o3") * F.col("o4") < 0)
     if touching:
         tol = 1e-9
         cross = (F.col("o1") * F.col("o2") <= tol) & (F.col("o3") * F.col("o4") <= tol) & (F.abs(F.col("o1") - F.col("o2")) > G.TOL)
-    return signs.filter(cross | line).select(*within, F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
+    found = signs.filter(cross | line).select(*within, F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
+    return found.distinct() if walk else found
 
 
 def near_pairs(points: DataFrame, reach: float, within: list[str] = ()) -> DataFrame:
