@@ -39,12 +39,12 @@ def _knn_sql(k: int, where: str) -> str:
 
 @query(_knn_sql(5, "true"))
 def join3_knn(spark: SparkSession, d: str) -> DataFrame:
-    return S.knn(_queries(spark, d), T.points_ev(spark, d), 5, 2.0).select("qid", "pid", r6(F.col("dist")).alias("dist"), "rank")
+    return S.knn(_queries(spark, d), T.points_ev(spark, d), 5).select("qid", "pid", r6(F.col("dist")).alias("dist"), "rank")
 
 
 @query(_knn_sql(4, "d > 5 AND pid % 2 = 1"))
 def join4_knn_filtered(spark: SparkSession, d: str) -> DataFrame:
-    found = S.knn(_queries(spark, d), T.points_ev(spark, d), 4, 4.0, keep=lambda dist, pid: (dist > 5) & (pid % 2 == 1))
+    found = S.knn(_queries(spark, d), T.points_ev(spark, d), 4, keep=lambda dist, pid: pid % 2 == 1, beyond=5.0)
     return found.select("qid", "pid", r6(F.col("dist")).alias("dist"), "rank")
 
 
@@ -52,7 +52,7 @@ def join4_knn_filtered(spark: SparkSession, d: str) -> DataFrame:
 def join5_nearest_except(spark: SparkSession, d: str) -> DataFrame:
     points = T.points_ev(spark, d)
     ignored = points.filter("pid % 3 = 0").select("pid")
-    return S.knn(_queries(spark, d), points.join(ignored, "pid", "left_anti"), 1, 1.0).select("qid", "pid", r6(F.col("dist")).alias("dist"), "rank")
+    return S.knn(_queries(spark, d), points.join(ignored, "pid", "left_anti"), 1).select("qid", "pid", r6(F.col("dist")).alias("dist"), "rank")
 
 
 EDGES = "ring_edge AS (SELECT poly_id, seq, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM rings WINDOW w AS (PARTITION BY poly_id ORDER BY seq))"

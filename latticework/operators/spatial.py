@@ -56,32 +56,55 @@ def points_in_circles(points: DataFrame, circles: DataFrame, size: float, how: s
     return found.select(*circles.columns).distinct()
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, size: float, keep: Callable[[Column, Column], Column] | None = None, most_rounds: int = 40) -> DataFrame:
-    """(qid, pid, dist, rank): the k nearest points of each query (qid, qx, qy), ties by pid, a point of the query's id left out.
-
-    A round looks into the 3 x 3 cells about each open query. A query is settled once its kth distance is no larger
-    than the way to the unseen cells, or the cells cover all points; the others go on with cells of twice the size.
-    keep(distance, pid) is tested before ranking.
+def fitting_cell(points: DataFrame, box, k: float, size: float, bins: int = 64) -> float:
+    """A cell size at which a point of box (x1, y1, x2, y2) has about k points in its cell, itself included, told by counts in bins x bins; size where the box has no area."""
+    if not (box[2] > box[0] and box[3] > box[1]):
+        return size
+    at = lambda c, low, high: F.floor((F.col(c) - low) / (high - low) * (bins - 1e-6))
+    counts = points.groupBy(at("x", box[0], box[2]).alias("c"), at("y", box[1], box[3]).alias("r")).agg(F.count("*").cast("double").alias("n"))
+    squares, n = counts.agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
+    return ((box[2] - box[0]) * (box[3] - box[1]) / bins**2 * k * n / squares) ** 0.5
+
+
+def knn(queries: DataFrame, points: DataFrame, k: int, size: float | None = None, keep: Callable[[Column, Column], Column] | None = None, most_rounds: int = 40, beyond: float = 0.0) -> DataFrame:
+    """(qid, pid, dist, rank): the k nearest points of each query (qid, qx, qy) further away than beyond (none at it, if it is above zero), ties by pid, a point of the query's id left out.
+
+    A round looks into the cells of size that the ring from beyond to beyond + size about each open query may touch; without beyond these are 3 x 3. A query is settled
+    once its kth distance is no larger than the ring's end, or the ring covers all points; the others go on with cells of twice the size. Where size isn't given, it
+    follows from how many points lie in their box, so that a query meets as many points of a larger table as of a small one. keep(distance, pid) is tested before ranking.
     """
     box = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     if box[0] is None:
         return queries.select("qid", F.lit(None).cast("long").alias("pid"), F.lit(None).cast("double").alias("dist"), F.lit(None).cast("int").alias("rank")).filter("false")
+    p = stored(points.select("pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(), "points")
+    if size is None:
+        # Of a ring, cells and points are to be about as many.
+        size = fitting_cell(p, box, k if beyond <= 0 else 1.0, 1.0)
     open_queries, done = queries.select("qid", "qx", "qy"), None
     for _ in range(most_rounds):
-        cells = over_cells(open_queries, size, F.col("qx") - size, F.col("qy") - size, F.col("qx") + size, F.col("qy") + size)
-        near = cells.join(with_cell(points.select("pid", "x", "y"), size), ["bx", "by"]).filter("pid <> qid")
-        d = G.dist((F.col("x"), F.col("y")), (F.col("qx"), F.col("qy")))
-        near = near.select("qid", "pid", d.alias("dist"))
+        q = (F.col("qx"), F.col("qy"))
+        reach = beyond + size
+        cells = over_cells(open_queries, size, q[0] - reach, q[1] - reach, q[0] + reach, q[1] + reach) if beyond <= 0 else over_ring_cells(open_queries, size, beyond, reach)
+        near = cells.hint("merge").join(with_cell(p, size), ["bx", "by"]).filter("pid <> qid")
+        near = near.select("qid", "pid", G.dist((F.col("x"), F.col("y")), q).alias("dist"))
+        if beyond > 0:
+            near = near.filter(F.col("dist") > beyond)
         if keep is not None:
             near = near.filter(keep(F.col("dist"), F.col("pid")))
-        best = near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("dist", "pid"))).filter(F.col("rank") <= k)
-        cx, cy = G.cell(F.col("qx"), size), G.cell(F.col("qy"), size)
-        # The seen square reaches at least one cell beyond the query's own.
-        border = F.least(F.col("qx") - (cx - 1) * size, (cx + 2) * size - F.col("qx"), F.col("qy") - (cy - 1) * size, (cy + 2) * size - F.col("qy"))
-        covers = ((cx - 1) * size <= box[0]) & ((cx + 2) * size >= box[2]) & ((cy - 1) * size <= box[1]) & ((cy + 2) * size >= box[3])
+        near = near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("dist", "pid"))).filter(F.col("rank") <= k)
+        # Ranked once, then read for what is settled and what is open.
+        best = stored(near, "near")
+        cx, cy = G.cell(q[0], size), G.cell(q[1], size)
+        if beyond <= 0:
+            # The seen square reaches at least one cell beyond the query's own.
+            border = F.least(q[0] - (cx - 1) * size, (cx + 2) * size - q[0], q[1] - (cy - 1) * size, (cy + 2) * size - q[1])
+            covers = ((cx - 1) * size <= box[0]) & ((cx + 2) * size >= box[2]) & ((cy - 1) * size <= box[1]) & ((cy + 2) * size >= box[3])
+        else:
+            border = F.lit(reach)
+            covers = F.greatest(*[G.dist(q, (F.lit(x), F.lit(y))) for x in (box[0], box[2]) for y in (box[1], box[3])]) <= reach
         kth = best.groupBy("qid").agg(F.count("*").alias("n"), F.max("dist").alias("kth"))
         state = stored(open_queries.join(kth, "qid", "left").withColumn("settled", F.coalesce(covers | ((F.col("n") >= k) & (F.col("kth") <= border)), F.lit(False))), "queries")
-        found = stored(best.join(state.filter("settled").select("qid"), "qid", "left_semi"), "nearest")
+        found = best.join(state.filter("settled").select("qid"), "qid", "left_semi")
         done = found if done is None else done.unionByName(found)
         open_queries = state.filter("not settled").select("qid", "qx", "qy")
         if open_queries.isEmpty():
@@ -90,20 +113,47 @@ def knn(queries: DataFrame, points: DataFrame, k: int, size: float, keep: Callab
     raise RuntimeError("queries did not settle")
 
 
-def points_in_polygons(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:
+def over_ring_cells(queries: DataFrame, size: float, inner: float, outer: float) -> DataFrame:
+    """queries with a row for each cell (bx, by) that may have a point further than inner and no further than outer from (qx, qy)."""
+    wide = queries.withColumn("bx", F.explode(F.sequence(G.cell(F.col("qx") - outer, size), G.cell(F.col("qx") + outer, size))))
+    # How far the column of cells is from the query at least and at most.
+    low, high = F.col("bx") * size - F.col("qx"), (F.col("bx") + 1) * size - F.col("qx")
+    more = 1e-9 * (1 + outer + F.abs("qx"))
+    near, far = F.greatest(low - more, -high - more, F.lit(0.0)), F.greatest(F.abs(low), F.abs(high)) + more
+    # Heights up to half meet the outer circle; cells wholly between -hole and hole lie inside the inner one. Rounding is met by a little more.
+    half = F.sqrt(F.greatest(F.lit(outer * outer) - near * near, F.lit(0.0))) + 1e-9 * (1 + outer)
+    hole = F.when(far < inner, F.sqrt(F.greatest(F.lit(inner * inner) - far * far, F.lit(0.0))) - 1e-9 * (1 + inner)).otherwise(0.0)
+    first, last = G.cell(F.col("qy") - half, size), G.cell(F.col("qy") + half, size)
+    # Below the hole's first whole cell, and above its last.
+    below, above = G.cell(F.col("qy") - hole, size), G.cell(F.col("qy") + hole, size)
+    rows = F.when((hole > 0) & (above > below), F.concat(F.sequence(first, F.greatest(first, below)), F.sequence(F.least(above, last), last))).otherwise(F.sequence(first, last))
+    return wide.withColumn("by", F.explode(rows))
+
+
+def points_in_polygons(points: DataFrame, rings: DataFrame, size: float, most: int = 1_000) -> DataFrame:
     """(pid, poly_id) of points inside rings (poly_id, seq, x, y), by the parity of edges to the right.
 
-    An edge counts for a point if its ends lie on different sides of the point's height, the lower end included.
-    Edges and points meet by band of heights; only points within the ring's box are tested.
+    An edge counts for a point if its ends lie on different sides of the point's height, the lower end included. Rings of up to most edges
+    meet points whole, as one row in each cell of their box, so pairs are told where they meet and never shuffled. Edges of longer rings
+    meet points by cell on their own, and are counted for each pair.
     """
     e = ring_edges(rings)
-    box = rings.groupBy("poly_id").agg(F.min("x").alias("lx"), F.max("x").alias("hx"))
-    e = e.join(box, "poly_id")
-    e = e.withColumn("by", F.explode(F.sequence(G.cell(F.least("y1", "y2"), size), G.cell(F.greatest("y1", "y2"), size))))
-    e = e.withColumn("bx", F.explode(F.sequence(G.cell(F.col("lx"), size), G.cell(F.col("hx"), size))))
-    hit = with_cell(points.select("pid", "x", "y"), size).join(e, ["bx", "by"]).filter("x >= lx and x <= hx and (y1 > y) <> (y2 > y)")
-    right = F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    return hit.groupBy("pid", "poly_id").agg(F.sum(right.cast("int")).alias("n")).filter("n % 2 = 1").select("pid", "poly_id")
+    box = [F.min(F.least("y1", "y2")).alias("ly"), F.max(F.greatest("y1", "y2")).alias("hy"), F.min("x1").alias("lx"), F.max("x1").alias("hx"), F.count("*").alias("edges")]
+    boxes = e.groupBy("poly_id").agg(*box)
+    p = with_cell(points.select("pid", "x", "y"), size)
+    right = lambda x1, y1, x2, y2: F.coalesce(((y1 > F.col("y")) != (y2 > F.col("y"))) & (F.col("x") < x1 + F.try_divide(F.col("y") - y1, y2 - y1) * (x2 - x1)), F.lit(False))
+    long = e.join(boxes.filter(F.col("edges") > most), "poly_id")
+    short = e.join(boxes.filter(F.col("edges") > most).select("poly_id"), "poly_id", "left_anti")
+    whole = short.groupBy("poly_id").agg(*box, F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("ring"))
+    met = p.join(over_cells(whole, size, F.col("lx"), F.col("ly"), F.col("hx"), F.col("hy")).hint("merge"), ["bx", "by"]).filter("x >= lx and x <= hx and y >= ly and y <= hy")
+    crossed = F.aggregate("ring", F.lit(False), lambda odd, s: odd != right(s["x1"], s["y1"], s["x2"], s["y2"]))
+    inside = met.filter(crossed).select("pid", "poly_id")
+    if long.isEmpty():
+        return inside
+    cells = over_cells(long, size, F.col("lx"), F.least("y1", "y2"), F.col("hx"), F.greatest("y1", "y2")).hint("merge")
+    hit = p.join(cells, ["bx", "by"]).filter("x >= lx and x <= hx and (y1 > y) <> (y2 > y)")
+    odd = hit.groupBy("pid", "poly_id").agg(F.sum(right(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).cast("int")).alias("n")).filter("n % 2 = 1")
+    return inside.unionByName(odd.select("pid", "poly_id"))
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:

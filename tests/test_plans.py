@@ -20,3 +20,43 @@ def test_triangles_of_cells_are_those_of_elements_and_nodes(spark):
     joined = M.with_corners(T.mesh_elem(spark, SF), T.mesh_node(spark, SF))
     made = T.mesh_tri(spark, SF)
     assert sorted(map(tuple, made.select(*joined.columns).collect())) == sorted(map(tuple, joined.collect()))
+
+
+def test_nearest_points_beyond_a_distance_and_by_density(spark):
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from latticework.operators import spatial as S
+
+    rng = random.Random(5)
+    rows = [(i, round(rng.uniform(-9, 9), 2), round(rng.uniform(-4, 4), 2)) for i in range(600)] + [(1000 + i, float(i % 5 - 2), float(i % 3 - 1)) for i in range(60)]
+    points = spark.createDataFrame(rows, "pid long, x double, y double")
+    queries = points.filter("pid % 9 = 0").select(F.col("pid").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+
+    def brute(k: int, beyond: float) -> set:
+        out = set()
+        for q, qx, qy in rows:
+            if q % 9 == 0:
+                near = sorted((math.sqrt((x - qx) ** 2 + (y - qy) ** 2), p) for p, x, y in rows if p != q)
+                near = [(d, p) for d, p in near if beyond <= 0 or d > beyond]
+                out |= {(q, p, r) for r, (_, p) in enumerate(near[:k], 1)}
+        return out
+
+    for k, beyond in ((3, 0.0), (4, 2.0), (2, 5.0), (5, 15.0)):
+        got = {(r.qid, r.pid, r["rank"]) for r in S.knn(queries, points, k, beyond=beyond).collect()}
+        assert got == brute(k, beyond), (k, beyond)
+    # A table of four times the points in the same box gets cells of half the size.
+    box = (-9.0, -4.0, 9.0, 4.0)
+    four = points.crossJoin(spark.range(4))
+    assert abs(S.fitting_cell(points, box, 2, 1.0) / S.fitting_cell(four, box, 2, 1.0) - 2) < 1e-6
+
+
+def test_points_in_polygons_whole_or_by_edge(spark):
+    from latticework.operators import spatial as S
+
+    points, rings = T.points_ev(spark, SF), T.rings(spark, SF)
+    whole = S.points_in_polygons(points, rings, 3.0)
+    assert "HashAggregate(keys=[pid" not in planned(whole)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, S.points_in_polygons(points, rings, 3.0, most=7).collect()))
