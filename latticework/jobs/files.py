@@ -339,5 +339,6 @@ def stm2_arriving_steps(spark: SparkSession, d: str) -> DataFrame:
 
     path = _fresh(spark, "arriving")
     rows = _step_rows(spark, d).filter("(step - 1) % 5 <> 3")
-    X.steps_text(rows).select("value").repartition(3).write.text(path, lineSep="\u0001")
+    # A file for each step, so that no batch holds more of them than it takes files.
+    X.steps_text(rows).select("value").write.option("maxRecordsPerFile", 1).text(path, lineSep="\u0001")
     return arriving_steps(spark, path, _fresh(spark, "steps"))

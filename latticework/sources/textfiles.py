@@ -40,7 +40,9 @@ def parse_steps(texts: DataFrame) -> DataFrame:
     steps = steps.select(F.regexp_extract("s", STEP, 1).cast("int").alias("step"), F.regexp_extract("s", STEP, 2).cast("double").alias("time"), F.explode(F.slice(F.split("s", "Field"), 2, 1 << 30)).alias("f"))
     head = lambda key: F.regexp_extract("f", rf'{key}\s*=\s*"?([^"\n]+)"?', 1)
     data = F.split(F.trim(F.regexp_extract("f", r"(?s)Data\s*\n(.*)$", 1)), "\n")
-    rows = steps.select("step", "time", F.trim(head("Name")).alias("name"), F.trim(head("Support")).alias("support"), F.posexplode(data).alias("id", "line"))
+    # The field's text must not stand beside its rows, where it would be copied and read again for each of them.
+    fields = steps.select("step", "time", F.trim(head("Name")).alias("name"), F.trim(head("Support")).alias("support"), data.alias("data"))
+    rows = fields.select("step", "time", "name", "support", F.posexplode("data").alias("id", "line"))
     return rows.select("step", "time", "name", "support", F.col("id").cast("long").alias("id"), F.posexplode(parts("line")).alias("comp", "v")).select("step", "time", "name", "support", "id", "comp", F.col("v").cast("double").alias("value"))
 
 

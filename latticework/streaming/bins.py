@@ -37,13 +37,13 @@ def live_bin_counts(spark: SparkSession, path: str, size: float) -> DataFrame:
     return state.groupBy("bx", "by").agg(F.max_by("n", "epoch").alias("n")).filter("n > 0")
 
 
-def arriving_steps(spark: SparkSession, path: str, out: str) -> DataFrame:
+def arriving_steps(spark: SparkSession, path: str, out: str, files_a_batch: int = 8) -> DataFrame:
     """Reads step texts below path as they arrive, appends their rows to out, and reports (last, steps, missing).
 
     A batch that is run again overwrites what it wrote before.
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    stream = files.option("maxFilesPerTrigger", 1).load(path).select(F.col("content").cast("string").alias("value"))
+    stream = files.option("maxFilesPerTrigger", files_a_batch).load(path).select(F.col("content").cast("string").alias("value"))
 
     def append(rows: DataFrame, epoch: int) -> None:
         parse_steps(rows.select("value")).write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
