@@ -139,7 +139,6 @@ def strains(tri: DataFrame, field: DataFrame) -> DataFrame:
 
 def stiffness(tri: DataFrame, d: tuple[float, float, float], thickness: float = 1.0) -> DataFrame:
     """(i, j, v) of the assembled matrix; the unknowns of node n are 2 n and 2 n + 1. Blocks of elements are summed by (i, j)."""
-    t = shape_gradients(tri)
     scale = F.col("det") / 2 * thickness
     d11, d12, d33 = (F.lit(v) for v in d)
 
@@ -147,6 +146,12 @@ def stiffness(tri: DataFrame, d: tuple[float, float, float], thickness: float =
         ax, ay, cx, cy = (F.col(f"b{c}{n}") for n in (k, m) for c in "xy")
         return [[d11 * ax * cx + d33 * ay * cy, d12 * ax * cy + d33 * ay * cx], [d12 * ay * cx + d33 * ax * cy, d11 * ay * cy + d33 * ax * cx]]
 
-    # All entries of an element are on its row.
-    cells = [F.struct((2 * F.col(f"n{k}") + p).alias("i"), (2 * F.col(f"n{m}") + q).alias("j"), (scale * block(k, m)[p][q]).alias("v")) for k in (1, 2, 3) for m in (1, 2, 3) for p in (0, 1) for q in (0, 1)]
-    return t.select(F.explode(F.array(*cells)).alias("e")).select("e.*").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    # An element goes to each of its nodes once, as it is, and gives that node's rows there: a node's blocks are never in more than one task.
+    ends = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n{k}").alias("n")) for k in (1, 2, 3)])
+    whole = [f"{c}{k}" for k in (1, 2, 3) for c in "nxy"]
+    t = shape_gradients(tri.select(F.explode(ends).alias("at"), *whole).select("at.k", "at.n", *whole).repartition("n"))
+    blocks = [(k, m, F.struct(F.col(f"n{m}").alias("m"), *[(scale * block(k, m)[p][q]).alias(f"v{p}{q}") for p in (0, 1) for q in (0, 1)])) for k in (1, 2, 3) for m in (1, 2, 3)]
+    of = F.when(F.col("k") == 1, F.array(*[b for k, _, b in blocks if k == 1])).when(F.col("k") == 2, F.array(*[b for k, _, b in blocks if k == 2])).otherwise(F.array(*[b for k, _, b in blocks if k == 3]))
+    sums = t.select("n", F.explode(of).alias("b")).select("n", "b.*").groupBy("n", "m").agg(*[F.sum(f"v{p}{q}").alias(f"v{p}{q}") for p in (0, 1) for q in (0, 1)])
+    cells = [F.struct((2 * F.col("n") + p).alias("i"), (2 * F.col("m") + q).alias("j"), F.col(f"v{p}{q}").alias("v")) for p in (0, 1) for q in (0, 1)]
+    return sums.select(F.explode(F.array(*cells)).alias("e")).select("e.*")
