@@ -298,7 +298,8 @@ def msh26_delaunay_check(spark: SparkSession, d: str) -> DataFrame:
     cx, cy = G.circumcenter(A, B, C)
     circles = T.mesh_tri(spark, d).select("elem", "n1", "n2", "n3", cx.alias("cx"), cy.alias("cy"), F.sqrt(G.dist2((cx, cy), A)).alias("r"))
     points = T.mesh_node(spark, d).withColumnRenamed("nid", "pid")
-    hit = S.points_in_circles(points, circles, 1.0).filter("pid <> n1 and pid <> n2 and pid <> n3 and (x-cx)*(x-cx)+(y-cy)*(y-cy) < r*r - 1e-7")
+    # A circle is about two wide: in cells of three it has few copies.
+    hit = S.points_in_circles(points, circles, 3.0).filter("pid <> n1 and pid <> n2 and pid <> n3 and (x-cx)*(x-cx)+(y-cy)*(y-cy) < r*r - 1e-7")
     return hit.select("elem", F.col("pid").alias("nid"))
 
 
