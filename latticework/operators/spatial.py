@@ -80,7 +80,8 @@ def knn(queries: DataFrame, points: DataFrame, k: int, size: float | None = None
     if size is None:
         # Of a ring, cells and points are to be about as many.
         size = fitting_cell(p, box, k if beyond <= 0 else 1.0, 1.0)
-    open_queries, done = queries.select("qid", "qx", "qy"), None
+    # A query has many rows of cells, so queries are dealt out before.
+    open_queries, done = queries.select("qid", "qx", "qy").repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))), None
     for _ in range(most_rounds):
         q = (F.col("qx"), F.col("qy"))
         reach = beyond + size
@@ -123,11 +124,11 @@ def over_ring_cells(queries: DataFrame, size: float, inner: float, outer: float)
     # Heights up to half meet the outer circle; cells wholly between -hole and hole lie inside the inner one. Rounding is met by a little more.
     half = F.sqrt(F.greatest(F.lit(outer * outer) - near * near, F.lit(0.0))) + 1e-9 * (1 + outer)
     hole = F.when(far < inner, F.sqrt(F.greatest(F.lit(inner * inner) - far * far, F.lit(0.0))) - 1e-9 * (1 + inner)).otherwise(0.0)
-    first, last = G.cell(F.col("qy") - half, size), G.cell(F.col("qy") + half, size)
-    # Below the hole's first whole cell, and above its last.
-    below, above = G.cell(F.col("qy") - hole, size), G.cell(F.col("qy") + hole, size)
-    rows = F.when((hole > 0) & (above > below), F.concat(F.sequence(first, F.greatest(first, below)), F.sequence(F.least(above, last), last))).otherwise(F.sequence(first, last))
-    return wide.withColumn("by", F.explode(rows))
+    wide = wide.select("*", half.alias("half"), F.greatest(hole, F.lit(0.0)).alias("hole"))
+    # below is the hole's first cell with points outside of it, above its last.
+    wide = wide.select(*queries.columns, "bx", "hole", *[G.cell(F.col("qy") + way, size).alias(name) for name, way in (("first", -F.col("half")), ("last", F.col("half")), ("below", -F.col("hole")), ("above", F.col("hole")))])
+    rows = F.when(F.expr("hole > 0 and above > below"), F.expr("concat(sequence(first, greatest(first, below)), sequence(least(above, last), last))")).otherwise(F.expr("sequence(first, last)"))
+    return wide.select(*queries.columns, "bx", F.explode(rows).alias("by"))
 
 
 def points_in_polygons(points: DataFrame, rings: DataFrame, size: float, most: int = 1_000) -> DataFrame:
@@ -274,38 +275,48 @@ def _with_points_left(segs: DataFrame, corners: np.ndarray) -> DataFrame:
     return segs.mapInArrow(run, segs.schema)
 
 
-def half_plane_candidates(segs: DataFrame, points: DataFrame, size: float, first: int = 4, most_rounds: int = 64) -> DataFrame:
+def half_plane_candidates(segs: DataFrame, points: DataFrame, size: float, first: int = 1, most_rounds: int = 64) -> DataFrame:
     """(sid, pid, layer): points strictly left of each segment in the first circle through its ends that holds any.
 
     Circle number l has its centre left of the segment and radius (1 + l) times the segment's length. Left of the segment these circles
     lie in one another, so a point's first circle follows from where it lies. A round looks into a circle for each open segment, over cells of
-    the round's size on its left side; segments without any point there go on with a circle and cells of twice the size. Segments
+    the round's size on its left side, for the number of its first circle; segments without any point there go on with a circle and cells of twice the size.
+    Pairs are listed last, from the first circles alone, and stored nowhere: they are as many as the result. Segments
     that have no point on their left leave before, by the hull of all points; segments without length or with a null have none.
     """
     a, b = G.point("x1", "y1"), G.point("x2", "y2")
     known = segs.select(F.col("sid"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]).dropna().filter("x1 <> x2 or y1 <> y2")
     p = stored(points.select("pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(), "points")
-    open_, out = stored(_with_points_left(known, convex_hull(p)), "segments"), None
-    for k in range(most_rounds):
-        if open_.isEmpty():
-            return segs.select("sid").limit(0).select("sid", F.lit(None).cast("long").alias("pid"), F.lit(None).cast("long").alias("layer")) if out is None else out
-        side, length = size * 2.0**k, G.dist(a, b)
-        s = open_.withColumn("r", float(first * 2**k) * length)
+    length = G.dist(a, b)
+
+    def met(s: DataFrame, radius: Column, side: float) -> DataFrame:
+        """s with each point left of the segment in its circle of that radius, and the number of the point's first circle."""
+        s = s.withColumn("r", radius)
         cx, cy = G.center_from_segment(a, b, F.col("r"))
         s = over_cells(s.withColumns({"cx": cx, "cy": cy}), side, F.col("cx") - F.col("r"), F.col("cy") - F.col("r"), F.col("cx") + F.col("r"), F.col("cy") + F.col("r"))
-        corner = lambda i, j: G.orient(a, b, ((F.col("bx") + i) * side, (F.col("by") + j) * side))  # noqa: B023, E731
+        corner = lambda i, j: G.orient(a, b, ((F.col("bx") + i) * side, (F.col("by") + j) * side))
         s = s.filter(F.greatest(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1)) > 0)
-        near = with_cell(p, side).join(s, ["bx", "by"]).filter(G.half_side(a, b, G.point("x", "y")) & (F.col("r") * F.col("r") - G.dist2(G.point("x", "y"), G.point("cx", "cy")) > G.TOL2))
+        near = with_cell(p, side).join(s.hint("merge"), ["bx", "by"]).filter(G.half_side(a, b, G.point("x", "y")) & (F.col("r") * F.col("r") - G.dist2(G.point("x", "y"), G.point("cx", "cy")) > G.TOL2))
         # From the middle of the segment: along it, and away from it to the left.
         mx, my = F.col("x") - (F.col("x1") + F.col("x2")) / 2, F.col("y") - (F.col("y1") + F.col("y2")) / 2
         away, half2 = G.orient(a, b, G.point("x", "y")) / length, G.dist2(a, b) / 4
         # A circle whose centre is further left than this one holds the point.
         height = (mx * mx + my * my - half2) / (2 * away)
         layer = F.when(height <= 0, 0).otherwise(F.greatest(F.lit(0), F.floor(F.sqrt(height * height + half2) / length))).cast("long")
-        hit = stored(near.select("sid", "pid", layer.alias("layer")), "candidates")
-        low = hit.groupBy("sid").agg(F.min("layer").alias("low"))
-        new = hit.join(low, "sid").filter("layer = low").select("sid", "pid", "layer")
-        out = new if out is None else out.unionByName(new)
+        return near.select(*[c for c in ("sid", "low") if c in near.columns], "pid", layer.alias("layer"))
+
+    open_, out = stored(_with_points_left(known, convex_hull(p)), "segments"), None
+    for k in range(most_rounds):
+        if open_.isEmpty():
+            return segs.select("sid").limit(0).select("sid", F.lit(None).cast("long").alias("pid"), F.lit(None).cast("long").alias("layer")) if out is None else out
+        side, reach = size * 2.0**k, float(first * 2**k)
+        low = stored(met(open_, reach * length, side).groupBy("sid").agg(F.min("layer").alias("low")), "lows")
+        settled = stored(open_.join(low, "sid"), "segments")
+        # A little wider than the first circle, so that its rim is told by the number alone.
+        new = met(settled, F.least(F.lit(reach), F.col("low") + 1.001) * length, side).filter("layer = low").select("sid", "pid", "layer")
+        if not settled.isEmpty():
+            out = new if out is None else out.unionByName(new)
         before, open_ = open_, stored(open_.join(low, "sid", "left_anti"), "segments")
         released(before)
+        released(low)
     raise RuntimeError("segments did not settle")

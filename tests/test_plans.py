@@ -60,3 +60,38 @@ def test_points_in_polygons_whole_or_by_edge(spark):
     whole = S.points_in_polygons(points, rings, 3.0)
     assert "HashAggregate(keys=[pid" not in planned(whole)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, S.points_in_polygons(points, rings, 3.0, most=7).collect()))
+
+
+def test_similar_rows_sum_products_as_they_meet_or_verify_candidates(spark, monkeypatch):
+    from latticework.operators import sparse as SP
+
+    m = SP.normalised(T.coo(spark, SF), 2)
+    q = m.filter("i % 10 = 0").selectExpr("i as q", "j", "v")
+    tidy = lambda df: sorted((r.q, r.i, r["rank"]) for r in df.collect())
+    by_candidates = tidy(SP.similar_rows(m, q, 0.05, 10, direct=0))
+    monkeypatch.setattr(SP, "similar_candidates", None)  # no pairs are listed beforehand where columns are rare
+    assert tidy(SP.similar_rows(m, q, 0.05, 10)) == by_candidates
+
+
+def test_a_step_text_is_not_copied_beside_its_rows(spark):
+    from latticework.sources.textfiles import parse_steps
+
+    text = "Step 1\nTime = 1.0\nField\nName = \"value\"\nSupport = \"Nodes\"\nData\n1.0 2.0\n3.0 4.0\nEnd Step\n"
+    rows = parse_steps(spark.createDataFrame([(text,)], "value string"))
+    assert [(r.id, r.comp, r.value) for r in rows.orderBy("id", "comp").collect()] == [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0)]
+    generate = [line for line in planned(rows).splitlines() if "Generate posexplode(data" in line]
+    assert generate and "f#" not in generate[0]
+
+
+def test_segments_without_a_listed_pair(spark):
+    """The first circles are told before pairs are listed: nothing but segments and points is written."""
+    from latticework.operators import spatial as S
+
+    names = []
+    real = S.stored
+    try:
+        S.stored = lambda df, what="table", *a: (names.append(what), real(df, what, *a))[1]
+        S.half_plane_candidates(T.segs(spark, SF).limit(50), T.points_ev(spark, SF), 2.0)
+    finally:
+        S.stored = real
+    assert names and set(names) <= {"segments", "points", "hull", "lows"}
