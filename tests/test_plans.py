@@ -95,3 +95,14 @@ def test_segments_without_a_listed_pair(spark):
     finally:
         S.stored = real
     assert names and set(names) <= {"segments", "points", "hull", "lows"}
+
+
+def test_elements_are_assembled_by_node_and_circles_meet_few_cells(spark, monkeypatch):
+    from latticework.operators import spatial as S
+
+    plan = planned(M.stiffness(T.mesh_tri(spark, SF), (2.0, 0.6, 0.7)))
+    assert "hashpartitioning(n#" in plan and "hashpartitioning(i#" not in plan
+    sizes, real = [], S.points_in_circles
+    monkeypatch.setattr(S, "points_in_circles", lambda p, c, size, *a: (sizes.append(size), real(p, c, size, *a))[1])
+    jobs.queries()["msh26_delaunay_check"](spark, SF)
+    assert sizes[0] >= 3.0
