@@ -14,7 +14,7 @@ from latticework.sources.tables import r6, sql
 
 @query(sql("SELECT DISTINCT src, dst FROM edges_sym"))
 def gra1_force_symmetry(spark: SparkSession, d: str) -> DataFrame:
-    return G.force_symmetry(T.edges_pp(spark, d))
+    return G.force_symmetry(T.edges_pp(spark, d), 2 * T.edge_tasks(spark, d))
 
 
 @query(sql("""WITH two AS (SELECT src, dst, w FROM edges_sym WHERE w >= 3), f AS (SELECT a.src, b.dst, arg_min(a.w + b.w, a.dst) AS w FROM two a JOIN two b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY 1, 2)

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from latticework.sources.scratch import stored
 
 
-def force_symmetry(edges: DataFrame) -> DataFrame:
+def force_symmetry(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Edges both ways, each once; tasks says how many tasks compare them."""
     e = edges.select("src", "dst")
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return (both.repartition(tasks, "src", "dst") if tasks else both).distinct()
 
 
 def extend_adjacency(edges: DataFrame, hops: int) -> DataFrame:

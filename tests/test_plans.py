@@ -106,3 +106,13 @@ def test_elements_are_assembled_by_node_and_circles_meet_few_cells(spark, monkey
     monkeypatch.setattr(S, "points_in_circles", lambda p, c, size, *a: (sizes.append(size), real(p, c, size, *a))[1])
     jobs.queries()["msh26_delaunay_check"](spark, SF)
     assert sizes[0] >= 3.0
+
+
+def test_tasks_of_edges_follow_the_rows(spark, monkeypatch):
+    """By their bytes shuffles would be given a few tasks that grow with the input."""
+    rows = T.read(spark, SF, "lineitem").count()
+    monkeypatch.setattr(T, "TASK_ROWS", 500)
+    tasks = -(-rows // 500)
+    assert tasks == T.edge_tasks(spark, SF) > 8
+    for name, kept in (("agg14_degree", tasks), ("gra12_partition_balance", tasks), ("gra11_cut_quality", tasks), ("gra1_force_symmetry", 2 * tasks)):
+        assert f", {kept}), REPARTITION_BY_NUM" in planned(jobs.queries()[name](spark, SF)), name
