@@ -89,7 +89,7 @@ def src4_matrix_formats(spark: SparkSession, d: str) -> DataFrame:
         L.write_lines(FM.matrix_lines(entries, _numbers(spark, entries), form).withColumn("key", F.lit(0)), path, ["i"])
         back, _, faults = FM.matrix_read(L.lines_of(spark, path + "/key=*", folders=True), form)
         # A document with a fault gives no rows.
-        back = back.join(faults.select("doc").distinct(), "doc", "left_anti").select(F.lit(form).alias("form"), "i", "j", "v")
+        back = back.join(faults.select("doc"), "doc", "left_anti").select(F.lit(form).alias("form"), "i", "j", "v")
         out = back if out is None else out.unionByName(back)
     return out
 
@@ -113,7 +113,7 @@ def src6_graph_formats(spark: SparkSession, d: str) -> DataFrame:
     L.write_lines(FM.matrix_lines(e, rows, "graph", sizes="size", weights=["w1", "w2"]).withColumn("key", F.lit(0)), path, ["i"])
     entries, vertices, faults = FM.matrix_read(L.lines_of(spark, path + "/key=*", folders=True), "graph")
     sums = entries.groupBy("doc", "i").agg(F.count("*").alias("degree"), F.sum("v").alias("w"))
-    whole = vertices.join(faults.select("doc").distinct(), "doc", "left_anti").join(sums, ["doc", "i"], "left")
+    whole = vertices.join(faults.select("doc"), "doc", "left_anti").join(sums, ["doc", "i"], "left")
     return whole.select("i", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("w", F.lit(0.0)).alias("w"), "size", F.col("weights")[0].alias("w1"), F.col("weights")[1].alias("w2"))
 
 

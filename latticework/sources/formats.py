@@ -10,11 +10,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.sources.lines import carried, numbered
+from latticework.sources.lines import carried, numbered, told
+from latticework.sources.scratch import stored
 
 #: Components of a field's type (fixed names of the format).
 COMPONENTS = {"Scalar": 1, "Vector": 2, "SymTensor": 3, "Tensor": 4}
 SUPPORTS = ("Nodes", "Edges", "Elements")
+#: Entries of a task that gathers rows of a matrix.
+TASK_ROWS = 400_000
 
 
 def tokens(line: str | Column) -> Column:
@@ -85,9 +88,10 @@ def matrix_lines(entries: DataFrame, rows: DataFrame, form: str, columns: int |
         numbering = 1
     values = values or form == "sized"
     one = lambda e: F.concat_ws(" ", (e["j"] + numbering).cast("string"), *([e["v"].cast("string")] if values else []))
-    lists = entries.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("e"))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // TASK_ROWS))
+    lists = entries.repartition(tasks, "i").groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("e"))
     ahead = [F.col(c).cast("string") for c in ([sizes] if sizes else []) + list(weights)]
-    body = rows.join(lists, "i", "left").select(F.col("i").cast("long").alias("i"), F.concat_ws(" ", *ahead, F.transform(F.coalesce("e", F.array()), one)).alias("line"))
+    body = rows.repartition(tasks, "i").join(lists, "i", "left").select(F.col("i").cast("long").alias("i"), F.concat_ws(" ", *ahead, F.transform(F.coalesce("e", F.array()), one)).alias("line"))
     if form == "plain":
         return body
     counts = rows.agg(F.count("*").alias("n")).join(entries.agg(F.count("*").alias("m"), (F.coalesce(F.max("j"), F.lit(-1)) + 1).alias("c")), F.lit(True))
@@ -108,7 +112,8 @@ def matrix_read(lines: DataFrame, form: str, values: bool = True, numbering: int
     Each document's own header says how its lines are laid out. A value is 1 where the text has none. faults lists documents with
     fewer rows or other entries than the header says, an entry without its value, or a column below the first.
     """
-    now = numbered(lines.filter(~F.col("line").startswith("%")))
+    row = ~F.col("line").startswith("%")
+    now = numbered(lines, weight=row.cast("int")).filter(row)
     t = tokens("line")
     whole = lambda k: F.get(t, F.lit(k)).cast("long")
     if form == "plain":
@@ -119,7 +124,7 @@ def matrix_read(lines: DataFrame, form: str, values: bool = True, numbering: int
         own = F.lit("001") if form == "sized" else flags
         more = F.lit(1) if form == "sized" else F.greatest(F.coalesce(whole(3), F.lit(1)), F.lit(1))
         head = F.struct(whole(0).alias("rows"), (whole(2) if form == "sized" else 2 * whole(1)).alias("entries"), own.alias("flags"), more.alias("more"))
-        now = carried(now, {"head": F.when(F.col("n") == 0, head)}).filter("n > 0")
+        now = told(now, {"head": F.when(F.col("n") == 0, head)}).filter("n > 0")
         flag = lambda k: F.substring("head.flags", k, 1) == "1"
         skip = F.when(flag(1), 1).otherwise(0) + F.when(flag(2), F.col("head.more")).otherwise(0)
         now = now.withColumns({"i": F.col("n") - 1, "skip": skip.cast("int"), "sized": flag(1), "held": flag(3), "says_rows": F.col("head.rows"), "says_entries": F.col("head.entries")})
@@ -136,7 +141,8 @@ def matrix_read(lines: DataFrame, form: str, values: bool = True, numbering: int
     sums = says.join(kept, "doc", "left").select("doc", "n", "rows", "entries", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("found", "bare", "low")])
     fault = lambda name, a, b: F.struct(F.lit(name).alias("fault"), F.col(a).cast("long").alias("expected") if a else F.lit(0).cast("long").alias("expected"), F.col(b).cast("long").alias("found"))
     faults = sums.select("doc", F.explode(F.array(fault("rows", "rows", "n"), fault("entries", "entries", "found"), fault("values", None, "bare"), fault("columns", None, "low"))).alias("f"))
-    return entries, rows, faults.select("doc", "f.*").filter("expected <> found")
+    # Stored, its size is known: documents with faults are few, and a join with them must not gather all entries of a document in one task.
+    return entries, rows, stored(faults.select("doc", "f.*").filter("expected <> found"), "faults")
 
 
 # Meshes: sections of points, cells and cell types, each with its counts.
@@ -228,7 +234,7 @@ def steps_read(lines: DataFrame, name: str | None = None, step: int | None = Non
     A row has as many components as its field's type says; what stands behind them is left out, what lacks is null. Fields of an unknown type or support are left out.
     """
     word = F.trim("line")
-    now = numbered(lines.filter(word != ""))
+    now = numbered(lines, weight=(word != "").cast("int")).filter(word != "")
     now = carried(now, {"step": _step_number(), "time": _said("Time").cast("double"), "type": _said("Type"), "name": _said("Name"), "support": _said("Support"), "data": F.when(word == "Data", F.col("n")).when(word == "End Data", F.lit(-1))})
     rows = now.filter((F.col("data") >= 0) & (F.col("n") > F.col("data")))
     for column, asked in (("name", name), ("step", step)):
