@@ -55,8 +55,8 @@ def _ring_models(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
 @query(sql("SELECT CAST(count(*) AS BIGINT) AS vertices, CAST(count(*) AS BIGINT) AS edges, CAST(count(*) FILTER (seq = 0 AND poly_id % 300 = 0) AS BIGINT) AS holes, round(sum(x), 3) AS sx FROM rings"))
 def src3_pslg_text(spark: SparkSession, d: str) -> DataFrame:
     path = _fresh(spark, "pslg")
-    L.write_lines(FM.pslg_lines(*_ring_models(spark, d)), path, ["part", "id"])
-    back = FM.pslg_read(L.lines_of(spark, f"{path}/key=*", folders=True))
+    L.write_lines(FM.pslg_lines(*_ring_models(spark, d)), path, ["part", "id"], bundles=True)
+    back = FM.pslg_read(L.lines_of(spark, path, bundles=True))
     v = back["vertex"].agg(F.count("*").alias("vertices"), F.round(F.sum("x"), 3).alias("sx"))
     return v.join(back["edge"].agg(F.count("*").alias("edges")), F.lit(True)).join(back["hole"].agg(F.count("*").alias("holes")), F.lit(True))
 

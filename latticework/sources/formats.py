@@ -56,16 +56,15 @@ def pslg_lines(vertex: DataFrame, edge: DataFrame, hole: DataFrame) -> DataFrame
 
 def pslg_read(lines: DataFrame) -> dict[str, DataFrame]:
     """Tables vertex (doc, vid, x, y), edge (doc, eid, v1, v2) and hole (doc, hid, x, y); a line may hold any numbers of a document's."""
-    now = numbered(lines.withColumn("t", tokens("line")), "first", F.size(F.col("t")))
-    at = lambda place: F.get("t", (place - F.col("first")).cast("int")).cast("long")
+    now = numbered(lines, "first", F.size(tokens("line"))).withColumn("t", tokens("line"))
     here = lambda place: (F.col("first") <= place) & (place < F.col("first") + F.size("t"))
-    # Each count says where the next one stands.
-    now = carried(now, {"n": F.when(here(F.lit(0)), at(F.lit(0)))})
-    m_at = 1 + 2 * F.col("n")
-    now = carried(now, {"m": F.when(here(m_at), at(m_at))})
-    h_at = 2 + 2 * F.col("n") + 2 * F.col("m")
-    now = carried(now, {"h": F.when(here(h_at), at(h_at))})
-    each = now.select("doc", "n", "m", "h", "first", F.posexplode("t").alias("k", "token")).withColumn("k", F.col("first") + F.col("k"))
+    m_at, h_at = 1 + 2 * F.col("n"), 2 + 2 * F.col("n") + 2 * F.col("m")
+    # Each count says where the next one stands; a row for each document knows them.
+    counts = None
+    for name, place in (("n", F.lit(0)), ("m", m_at), ("h", h_at)):
+        said = (now if counts is None else now.join(counts, "doc")).filter(here(place)).select("doc", F.get("t", (place - F.col("first")).cast("int")).cast("long").alias(name))
+        counts = stored(said if counts is None else counts.join(said, "doc", "left"), "counts")
+    each = now.join(counts, "doc").select("doc", "n", "m", "h", "first", F.posexplode("t").alias("k", "token")).withColumn("k", F.col("first") + F.col("k"))
 
     def pairs(begin: Column, count: Column, names: tuple[str, str, str], kind: str) -> DataFrame:
         rows = each.filter((F.col("k") >= begin) & (F.col("k") < begin + 2 * count)).withColumn("k", F.col("k") - begin)

@@ -1,6 +1,7 @@
 """Plain text as ordered lines: any number of files of any size, none of them in one row or one task.
 
-A document is a file, or a folder whose files follow each other by name. Spark reads its lines in blocks; a line's place is its block and its place
+A document is a file, or a folder whose files follow each other by name; small documents may share files as bundles, each line after its document's name
+and a tab, a document's lines one after another. Spark reads its lines in blocks; a line's place is its block and its place
 there. What needs an order (numbers, what a header said) works within blocks and carries one row for each block on.
 """
 
@@ -25,14 +26,16 @@ def line_tasks(lines: DataFrame) -> int:
     return max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_LINES), -(-chars // TASK_CHARS))
 
 
-def lines_of(spark: SparkSession, path: str, folders: bool = False, comment: str | None = None) -> DataFrame:
-    """A stored table (doc, file, block, at, line) of the lines below path.
+def lines_of(spark: SparkSession, path: str, folders: bool = False, comment: str | None = None, bundles: bool = False) -> DataFrame:
+    """A stored table (doc, file, block, at, line) of the lines below path, of which folders or bundles may be documents.
 
     comment is a pattern of what is left out of a line before anything else; lines that are blank then stay out as well.
     """
     file = F.col("_metadata.file_path")
     raw = spark.read.text(path).select(file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
     doc = F.regexp_replace("file", "/[^/]*$", "") if folders else F.col("file")
+    if bundles:
+        raw, doc = raw.select("file", "block", F.substring_index("line", "\t", 1).alias("name"), F.expr("substring(line, instr(line, '\\t') + 1)").alias("line")), F.col("name")
     line = F.regexp_replace("line", comment, "") if comment else F.col("line")
     rows = raw.select(doc.alias("doc"), "file", "block", line.alias("line"))
     kept = rows.filter(F.trim("line") != "") if comment else rows
@@ -76,10 +79,16 @@ def carried(lines: DataFrame, marks: dict[str, Column]) -> DataFrame:
     return seen.select(*lines.columns, *[F.coalesce(f"last_{k}", f"from_{k}").alias(k) for k in marks])
 
 
-def write_lines(lines: DataFrame, path: str, order: list[str], key: str = "key") -> None:
+def write_lines(lines: DataFrame, path: str, order: list[str], key: str = "key", bundles: bool = False) -> None:
     """lines (key, line and the columns of order) as text below path, in order: a folder key=... for each key, of as many files as its rows need.
 
-    Rows are dealt by ranges of key and order, so one key may have any part of them.
+    Rows are dealt by ranges of key and order, so one key may have any part of them. Where keys are many, each with few lines, bundles keep files from being
+    as many as keys; a key's text has no tab or line break then.
     """
     held = stored(lines.select(key, *order, "line"), "written")
-    held.repartitionByRange(line_tasks(held), key, *order).sortWithinPartitions(key, *order).select(key, F.col("line").alias("value")).write.partitionBy(key).text(path)
+    dealt = held.repartitionByRange(line_tasks(held), key, *order).sortWithinPartitions(key, *order)
+    if bundles:
+        name = F.concat(F.col(key).cast("string"), F.lit("\t"))
+        dealt.select(F.concat(name, F.replace("line", F.lit("\n"), F.concat(F.lit("\n"), name))).alias("value")).write.text(path)
+    else:
+        dealt.select(key, F.col("line").alias("value")).write.partitionBy(key).text(path)

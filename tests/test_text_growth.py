@@ -21,3 +21,18 @@ def test_numbers_with_lines_left_out_by_tasks_of_few_lines(spark, tmp_path, monk
     (tmp_path / "m").write_text("% first\n50 50 50\n" + "".join(("% note\n" * (k % 4)) + f"{k + 1} {k}\n" for k in range(50)))
     entries, _, faults = FM.matrix_read(L.lines_of(spark, str(tmp_path)), "sized")
     assert faults.isEmpty() and sorted((r.i, r.j, r.v) for r in entries.collect()) == [(k, k, float(k)) for k in range(50)]
+
+
+def text_files(spark, what: str) -> set:
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from latticework.sources.scratch import shared_dir
+
+    return set(Path(urlparse(shared_dir(spark)).path).glob(f"{what}-*/**/*.txt"))
+
+
+def test_many_planar_graphs_share_files(spark):
+    before = text_files(spark, "pslg")
+    assert jobs.queries()["src3_pslg_text"](spark, SF).first()["vertices"] > 8 * 4
+    assert 0 < len(text_files(spark, "pslg") - before) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
