@@ -35,12 +35,12 @@ def src1_read_tables(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(sum(x), 3) AS sx, round(sum(y), 3) AS sy FROM points_ev GROUP BY user_id"))
 def src2_points_text(spark: SparkSession, d: str) -> DataFrame:
-    # Written as a document for each user and read again.
+    # Written as a document for each user, bundled in common files, and read again.
     p = T.points_ev(spark, d)
     path = _fresh(spark, "points")
-    L.write_lines(FM.point_lines(p.select(F.col("user_id").alias("key"), "pid", "x", "y")), path, ["pid"])
-    back = FM.points_read(L.lines_of(spark, f"{path}/key=*", folders=True))
-    return back.groupBy(F.regexp_extract("doc", r"key=(\d+)", 1).cast("long").alias("user_id")).agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum("y"), 3).alias("sy"))
+    L.write_lines(FM.point_lines(p.select(F.col("user_id").alias("key"), "pid", "x", "y")), path, ["pid"], bundles=True)
+    back = FM.points_read(L.lines_of(spark, path, bundles=True))
+    return back.groupBy(F.expr("try_cast(doc as bigint)").alias("user_id")).agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum("y"), 3).alias("sy"))
 
 
 def _ring_models(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

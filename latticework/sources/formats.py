@@ -35,7 +35,7 @@ def point_lines(points: DataFrame) -> DataFrame:
 
 def points_read(lines: DataFrame) -> DataFrame:
     """(doc, pid, x, y), pid by order; lines after the counted ones are left out."""
-    rows = carried(numbered(lines), {"count": F.when(F.col("n") == 0, tokens("line")[0].cast("long"))})
+    rows = told(numbered(lines), {"count": F.when(F.col("n") == 0, tokens("line")[0].cast("long"))})
     t = tokens("line")
     return rows.filter((F.col("n") > 0) & (F.col("n") <= F.col("count"))).select("doc", (F.col("n") - 1).alias("pid"), F.get(t, F.lit(0)).cast("double").alias("x"), F.get(t, F.lit(1)).cast("double").alias("y"))
 

@@ -83,12 +83,12 @@ def write_lines(lines: DataFrame, path: str, order: list[str], key: str = "key",
     """lines (key, line and the columns of order) as text below path, in order: a folder key=... for each key, of as many files as its rows need.
 
     Rows are dealt by ranges of key and order, so one key may have any part of them. Where keys are many, each with few lines, bundles keep files from being
-    as many as keys; a key's text has no tab or line break then.
+    as many as keys; a key's text has no tab or line break then, and no key is an empty name.
     """
     held = stored(lines.select(key, *order, "line"), "written")
     dealt = held.repartitionByRange(line_tasks(held), key, *order).sortWithinPartitions(key, *order)
     if bundles:
-        name = F.concat(F.col(key).cast("string"), F.lit("\t"))
+        name = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("\t"))
         dealt.select(F.concat(name, F.replace("line", F.lit("\n"), F.concat(F.lit("\n"), name))).alias("value")).write.text(path)
     else:
         dealt.select(key, F.col("line").alias("value")).write.partitionBy(key).text(path)

@@ -36,3 +36,13 @@ def test_many_planar_graphs_share_files(spark):
     before = text_files(spark, "pslg")
     assert jobs.queries()["src3_pslg_text"](spark, SF).first()["vertices"] > 8 * 4
     assert 0 < len(text_files(spark, "pslg") - before) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_many_point_documents_share_files_and_a_user_may_be_null(spark, tmp_path):
+    from latticework.sources import tables as T
+
+    T.read(spark, SF, "events").selectExpr("event_id", "ts", "nullif(user_id, 3) as user_id", "value").write.parquet(str(tmp_path / "events.parquet"))
+    before, p = text_files(spark, "points"), T.points_ev(spark, str(tmp_path))
+    found = jobs.queries()["src2_points_text"](spark, str(tmp_path))
+    assert sorted(map(str, found.collect())) == sorted(map(str, p.groupBy("user_id").agg({"*": "count", "x": "sum", "y": "sum"}).selectExpr("user_id", "`count(1)` as n", "round(`sum(x)`, 3) as sx", "round(`sum(y)`, 3) as sy").collect()))
+    assert 0 < len(text_files(spark, "points") - before) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
