@@ -179,7 +179,9 @@ def src8_mesh_text(spark: SparkSession, d: str) -> DataFrame:
     path = _fresh(spark, "mesh")
     L.write_lines(FM.mesh_lines(T.mesh_node(spark, d), T.mesh_elem(spark, d)).withColumn("key", F.lit(0)), path, ["part", "row"])
     t = FM.mesh_read(L.lines_of(spark, path + "/key=*", folders=True))
-    return t["elem"].join(t["node"], ["doc", "i"]).join(t["type"], ["doc", "elem"]).select("elem", "pos", "x", "y", "type")
+    tasks = 2 * T.edge_tasks(spark, d)
+    placed = t["elem"].repartition(tasks, "doc", "i").join(t["node"], ["doc", "i"])
+    return placed.repartition(tasks, "doc", "elem").join(t["type"], ["doc", "elem"]).select("elem", "pos", "x", "y", "type")
 
 
 @query("SELECT 'k' || event_id AS name, CAST(value AS VARCHAR) AS value, value AS number FROM events WHERE event_id % 5 <> 0")

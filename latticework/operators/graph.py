@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from latticework.sources.scratch import stored
 
+#: Rows of a task that sorts.
+TASK_ROWS = 400_000
+
 
 def force_symmetry(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Edges both ways, each once; tasks says how many tasks compare them."""
@@ -142,8 +145,12 @@ def relabel(table: DataFrame, perm: DataFrame, columns: list[str]) -> DataFrame:
 
 def ranked(df: DataFrame, order: list) -> DataFrame:
     """df with rank 0.. in a total order, without a single task: counts by range partition give the offsets."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranks")
-    ahead = dealt.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    within = F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1
-    return dealt.withColumn("within", within).join(F.broadcast(ahead), "part").withColumn("rank", F.col("ahead") + F.col("within")).drop("part", "within", "ahead")
+    held = stored(df, "ranks")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // TASK_ROWS))
+    # Rows of a sorted partition are counted as they are written.
+    place = F.monotonically_increasing_id()
+    dealt = stored(held.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place_", place), "ranks")
+    part = F.shiftright("place_", 33)
+    before = F.coalesce(F.sum("n").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ahead = dealt.groupBy(part.alias("part_")).agg(F.count("*").alias("n"), F.min("place_").alias("start")).select("part_", (before - F.col("start")).alias("ahead_"))
+    return dealt.withColumn("part_", part).join(F.broadcast(ahead), "part_").withColumn("rank", F.col("ahead_") + F.col("place_")).select(*df.columns, "rank")

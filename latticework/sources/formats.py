@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from latticework.sources.lines import carried, numbered, told
@@ -16,7 +17,7 @@ from latticework.sources.scratch import stored
 #: Components of a field's type (fixed names of the format).
 COMPONENTS = {"Scalar": 1, "Vector": 2, "SymTensor": 3, "Tensor": 4}
 SUPPORTS = ("Nodes", "Edges", "Elements")
-#: Entries of a task that gathers rows of a matrix.
+#: Entries of a task that gathers rows of a matrix or corners of cells.
 TASK_ROWS = 400_000
 
 
@@ -155,7 +156,8 @@ def mesh_lines(node: DataFrame, elem: DataFrame, title: str = "mesh") -> DataFra
     from latticework.operators.graph import ranked
 
     n = ranked(node.select("nid", "x", "y"), [F.col("nid")])
-    cells = elem.join(n.select("nid", F.col("rank").alias("i")), "nid").groupBy("elem").agg(F.sort_array(F.collect_list(F.struct("pos", "i"))).alias("c"))
+    tasks = max(int(elem.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-elem.count() // TASK_ROWS))
+    cells = elem.repartition(tasks, "nid").join(n.select("nid", F.col("rank").alias("i")), "nid").repartition(tasks, "elem").groupBy("elem").agg(F.sort_array(F.collect_list(F.struct("pos", "i"))).alias("c"))
     cells = ranked(cells, [F.col("elem")]).withColumn("k", F.size("c"))
     kind = F.when(F.col("k") == 3, CELL_TYPES[3]).when(F.col("k") == 4, CELL_TYPES[4]).otherwise(CELL_TYPES[None])
     text = lambda *c: F.concat_ws(" ", *[x.cast("string") for x in c])
@@ -175,9 +177,12 @@ def mesh_read(lines: DataFrame) -> dict[str, DataFrame]:
     """Tables node (doc, i, x, y), elem (doc, elem, pos, i) and type (doc, elem, type) of documents with a point, cell or type on each line."""
     now = numbered(lines)
     head = F.regexp_extract("line", r"^\s*(POINTS|CELLS|CELL_TYPES)\s", 1)
-    now = carried(now, {"head": F.when(head != "", F.struct(head.alias("section"), F.col("n").alias("n"), tokens("line")[1].cast("long").alias("count")))})
-    row = F.col("n") - F.col("head.n") - 1
-    rows = now.filter((row >= 0) & (row < F.col("head.count"))).select("doc", F.col("head.section").alias("section"), row.alias("k"), tokens("line").alias("t"))
+    # A section goes on for as many lines as it counts, or to the next one; a row for each section says so.
+    said = now.filter(head != "").select("doc", head.alias("section"), F.col("n").alias("begin"), tokens("line")[1].cast("long").alias("count"))
+    sections = stored(said.withColumn("next", F.lead("begin").over(W.partitionBy("doc").orderBy("begin"))), "sections")
+    row = F.col("n") - F.col("begin") - 1
+    inside = (row >= 0) & (row < F.col("count")) & (F.col("next").isNull() | (F.col("n") < F.col("next")))
+    rows = now.join(sections, "doc").filter(inside).select("doc", "section", row.alias("k"), tokens("line").alias("t"))
     of = lambda section: rows.filter(F.col("section") == section)
     whole = lambda k: F.get("t", F.lit(k))
     corners = of("CELLS").select("doc", F.col("k").alias("elem"), F.posexplode(F.slice("t", 2, F.size("t"))).alias("pos", "i"))

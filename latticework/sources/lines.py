@@ -33,7 +33,7 @@ def lines_of(spark: SparkSession, path: str, folders: bool = False, comment: str
     """
     file = F.col("_metadata.file_path")
     raw = spark.read.text(path).select(file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
-    doc = F.regexp_replace("file", "/[^/]*$", "") if folders else F.col("file")
+    doc = F.expr("substring(file, 1, length(file) - length(substring_index(file, '/', -1)) - 1)") if folders else F.col("file")
     if bundles:
         raw, doc = raw.select("file", "block", F.substring_index("line", "\t", 1).alias("name"), F.expr("substring(line, instr(line, '\\t') + 1)").alias("line")), F.col("name")
     line = F.regexp_replace("line", comment, "") if comment else F.col("line")

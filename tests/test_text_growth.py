@@ -46,3 +46,22 @@ def test_many_point_documents_share_files_and_a_user_may_be_null(spark, tmp_path
     found = jobs.queries()["src2_points_text"](spark, str(tmp_path))
     assert sorted(map(str, found.collect())) == sorted(map(str, p.groupBy("user_id").agg({"*": "count", "x": "sum", "y": "sum"}).selectExpr("user_id", "`count(1)` as n", "round(`sum(x)`, 3) as sx", "round(`sum(y)`, 3) as sy").collect()))
     assert 0 < len(text_files(spark, "points") - before) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_mesh_sections_end_where_they_count_or_the_next_begins(spark, tmp_path, monkeypatch):
+    (tmp_path / "m").write_text("# vtk\nmesh\nPOINTS 3 double\n0 0 0\n1 0 0\n0 1 0\nleft out\nCELLS 9 4\n3 0 1 2\nCELL_TYPES 1\n5\n")
+    t = FM.mesh_read(L.lines_of(spark, str(tmp_path)))
+    assert sorted((r.i, r.x, r.y) for r in t["node"].collect()) == [(0, 0, 0), (1, 1, 0), (2, 0, 1)]
+    assert sorted((r.elem, r.pos, r.i) for r in t["elem"].collect()) == [(0, 0, 0), (0, 1, 1), (0, 2, 2)] and [(r.elem, r.type) for r in t["type"].collect()] == [(0, 5)]
+    # No window over lines, and none over rows that are ranked.
+    assert not any("Window" in planned(t[k]) for k in t)
+
+
+def test_ranks_take_no_second_sort(spark):
+    from pyspark.sql import functions as F
+
+    from latticework.operators import graph as G
+
+    r = G.ranked(spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), "id"), [F.col("v")])
+    assert r.filter("rank <> v").isEmpty() and r.count() == 5000 and r.columns == ["v", "id", "rank"]
+    assert "row_number" not in planned(r)
