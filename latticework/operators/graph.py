@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from latticework.sources.scratch import stored
 
 #: Rows of a task that sorts.
 TASK_ROWS = 400_000
+#: Edges of a round whose ends are sent to all tasks.
+SENT_ROWS = 100_000
 
 
 def force_symmetry(edges: DataFrame, tasks: int | None = None) -> DataFrame:
@@ -84,20 +88,41 @@ def shortest_paths(edges: DataFrame, start: DataFrame, most_rounds: int = 10_000
 def greedy_matching(edges: DataFrame, least: float = 1e-6, most_rounds: int = 10_000) -> DataFrame:
     """(a, b, w): what taking the heaviest edge with free ends again and again gives; ties by the smaller a, then b.
 
-    An edge that is the best at both of its ends is one that the one-by-one order would take, so a round takes all of these.
+    An edge that is the best at both of its ends is one that the one-by-one order would take, so a round takes all of these. Rounds shrink quickly and
+    many small ones follow: what is left goes through the order by itself once it is no more than a task's rows.
     """
+
+    def in_order(batches):
+        used = set()
+        for edges in batches:
+            free = []
+            for a, b in zip(edges["a"].tolist(), edges["b"].tolist()):
+                free.append(a not in used and b not in used)
+                if free[-1]:
+                    used.update((a, b))
+            yield edges[free]
+
     left = stored(edges.filter((F.col("src") < F.col("dst")) & (F.col("w") >= least)).select(F.col("src").alias("a"), F.col("dst").alias("b"), "w"), "matching")
-    taken = None
+    taken = []
     for _ in range(most_rounds):
+        held = left.count()
+        if held <= TASK_ROWS:
+            order = [F.col("w").desc(), F.col("a"), F.col("b")]
+            last = left.coalesce(1).sortWithinPartitions(*order).mapInPandas(in_order, left.schema)
+            return reduce(DataFrame.unionByName, [*taken, last])
         order = F.struct("w", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
         ends = left.select(F.explode(F.array("a", "b")).alias("id"), order.alias("o")).groupBy("id").agg(F.max("o").alias("o"))
         best = ends.groupBy("o").count().filter("count = 2").select((-F.col("o.na")).alias("a"), (-F.col("o.nb")).alias("b"), F.col("o.w").alias("w"))
         best = stored(best, "matching")
-        taken = best if taken is None else taken.unionByName(best)
+        taken.append(best)
         used = best.select(F.explode(F.array("a", "b")).alias("id"))
-        left = stored(left.join(used.select(F.col("id").alias("a")), "a", "left_anti").join(used.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", "w"), "matching")
-        if left.isEmpty():
-            return taken
+        # Few used vertices are sent to all edges; else both sides are dealt out, and only the used ones are held by a task, unsorted.
+        tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_ROWS))
+        few = best.count() <= SENT_ROWS
+        for end in ("a", "b"):
+            ids = used.select(F.col("id").alias(end))
+            left = left.join(F.broadcast(ids), end, "left_anti") if few else left.repartition(tasks, end).join(ids.repartition(tasks, end).hint("shuffle_hash"), end, "left_anti")
+        left = stored(left.select("a", "b", "w"), "matching")
     raise RuntimeError("matching did not end")
 
 

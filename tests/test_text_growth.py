@@ -65,3 +65,25 @@ def test_ranks_take_no_second_sort(spark):
     r = G.ranked(spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), "id"), [F.col("v")])
     assert r.filter("rank <> v").isEmpty() and r.count() == 5000 and r.columns == ["v", "id", "rank"]
     assert "row_number" not in planned(r)
+
+
+def test_matching_by_rounds_by_itself_and_by_both(spark, monkeypatch):
+    import random
+
+    from latticework.operators import graph as G
+
+    rng = random.Random(3)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(300)} | {(k, k + 1) for k in range(100, 160)}
+    edges = [(a, b, float(rng.randint(1, 3)) if a < 100 else 1.0) for a, b in pairs]
+    used, taken = set(), set()
+    for a, b, w in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if not {a, b} & used:
+            used |= {a, b}
+            taken.add((a, b, w))
+    df = spark.createDataFrame(edges, "src long, dst long, w double")
+    # A path of equal weights is 30 rounds; what is left of 100 edges is not told by rounds.
+    monkeypatch.setattr(G, "TASK_ROWS", 100)
+    for sent in (0, 1000):
+        monkeypatch.setattr(G, "SENT_ROWS", sent)
+        assert {tuple(r) for r in G.greedy_matching(df, most_rounds=8).collect()} == taken
+    assert G.greedy_matching(df.filter("w > 9")).isEmpty()
