@@ -110,14 +110,14 @@ def greedy_matching(edges: DataFrame, least: float = 1e-6, most_rounds: int = 10
             order = [F.col("w").desc(), F.col("a"), F.col("b")]
             last = left.coalesce(1).sortWithinPartitions(*order).mapInPandas(in_order, left.schema)
             return reduce(DataFrame.unionByName, [*taken, last])
+        tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_ROWS))
         order = F.struct("w", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
-        ends = left.select(F.explode(F.array("a", "b")).alias("id"), order.alias("o")).groupBy("id").agg(F.max("o").alias("o"))
+        ends = left.repartition(tasks, "a").select(F.explode(F.array("a", "b")).alias("id"), order.alias("o")).groupBy("id").agg(F.max("o").alias("o"))
         best = ends.groupBy("o").count().filter("count = 2").select((-F.col("o.na")).alias("a"), (-F.col("o.nb")).alias("b"), F.col("o.w").alias("w"))
         best = stored(best, "matching")
         taken.append(best)
         used = best.select(F.explode(F.array("a", "b")).alias("id"))
         # Few used vertices are sent to all edges; else both sides are dealt out, and only the used ones are held by a task, unsorted.
-        tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_ROWS))
         few = best.count() <= SENT_ROWS
         for end in ("a", "b"):
             ids = used.select(F.col("id").alias(end))
