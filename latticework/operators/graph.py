@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import reduce
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from latticework.sources.scratch import stored
+from latticework.sources.scratch import released, stored
 
 #: Rows of a task that sorts.
 TASK_ROWS = 400_000
-#: Edges of a round whose ends are sent to all tasks.
-SENT_ROWS = 100_000
+#: Edges of a matching whose ends are sent to all tasks.
+SENT_ROWS = 250_000
+#: Edges that one task goes through one by one, and of these, edges that are Python objects at once.
+PASS_ROWS, SLICE = 4_000_000, 100_000
+#: For a round of a matching: least share of different weights in the edges, least share of the edges that the round before did away with.
+WEIGHTS_SHARE, ROUND_SHARE = 0.1, 0.25
 
 
 def force_symmetry(edges: DataFrame, tasks: int | None = None) -> DataFrame:
@@ -85,45 +93,89 @@ def shortest_paths(edges: DataFrame, start: DataFrame, most_rounds: int = 10_000
     raise RuntimeError("costs did not settle")
 
 
-def greedy_matching(edges: DataFrame, least: float = 1e-6, most_rounds: int = 10_000) -> DataFrame:
-    """(a, b, w): what taking the heaviest edge with free ends again and again gives; ties by the smaller a, then b.
+def best_at_both_ends(edges: DataFrame, tasks: int) -> DataFrame:
+    """Those of edges (a, b, w) that no edge at either end comes before."""
+    order = F.struct("w", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
+    ends = edges.repartition(tasks, "a").select(F.explode(F.array("a", "b")).alias("id"), order.alias("o")).groupBy("id").agg(F.max("o").alias("o"))
+    return ends.groupBy("o").count().filter("count = 2").select((-F.col("o.na")).alias("a"), (-F.col("o.nb")).alias("b"), F.col("o.w").alias("w"))
+
+
+def without_ends(edges: DataFrame, taken: list[DataFrame], held: int, tasks: int) -> DataFrame:
+    """Edges (a, b, ..) with no end in taken, which has held edges. Few ends are sent to all edges; else both sides are dealt out, and only the ends are held by a task, unsorted."""
+    columns = edges.columns
+    for end in ("a", "b") if taken else ():
+        ids = reduce(DataFrame.unionByName, taken).select(F.explode(F.array("a", "b")).alias(end))
+        edges = edges.join(F.broadcast(ids), end, "left_anti") if held <= SENT_ROWS else edges.repartition(tasks, end).join(ids.repartition(tasks, end).hint("shuffle_hash"), end, "left_anti")
+    return edges.select(*columns)
+
+
+def one_by_one(edges: DataFrame) -> DataFrame:
+    """Those of edges (a, b, w, place) that one task takes by their places, each if both of its ends are free; for edges of bounded number."""
+
+    def take(batches):
+        if not (batches := list(batches)):
+            return
+        table, used, free = pa.Table.from_batches(batches), set(), []
+        a, b, order = table.column("a").to_numpy(), table.column("b").to_numpy(), np.argsort(table.column("place").to_numpy())
+        for at in range(0, len(order), SLICE):
+            rows = order[at : at + SLICE]
+            for row, x, y in zip(rows.tolist(), a[rows].tolist(), b[rows].tolist()):
+                if x not in used and y not in used:
+                    free.append(row)
+                    used.update((x, y))
+        yield from table.select(["a", "b", "w"]).take(pa.array(free, pa.int64())).to_batches()
+
+    return edges.repartition(1).mapInArrow(take, edges.drop("place").schema)
+
+
+def in_passes(edges: DataFrame, held: int, most: int) -> list[DataFrame]:
+    """Those of edges (a, b, w) that the one-by-one order takes, in most tables at most.
 
-    An edge that is the best at both of its ends is one that the one-by-one order would take, so a round takes all of these. Rounds shrink quickly and
-    many small ones follow: what is left goes through the order by itself once it is no more than a task's rows.
+    Edges are cut into ranges of the order. A pass goes through as many of the next ranges as one task may; used vertices' edges leave a range before its
+    turn, and all that are left once more vertices are used than are sent to all edges.
     """
+    order, ranges = [F.col("w").desc(), F.col("a"), F.col("b")], max(1, -(-held // TASK_ROWS))
+    left = edges.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    if held <= PASS_ROWS:
+        return [stored(one_by_one(left), "matching")]
+    left, taken, since, used, sizes = stored(left, "matching"), [], [], 0, None
+    for _ in range(most):
+        sizes = sizes or sorted(left.groupBy(F.shiftright("place", 33)).count().collect())
+        if sizes:
+            now = max(1, bisect_right(list(accumulate(n for _, n in sizes)), PASS_ROWS))
+            first, end = sizes[0][0] << 33, sizes[now - 1][0] + 1 << 33
+            since.append(stored(one_by_one(without_ends(left.filter((F.col("place") >= first) & (F.col("place") < end)), since, used, ranges)), "matching"))
+            taken.append(since[-1])
+            used, sizes = used + since[-1].count(), sizes[now:]
+        if not sizes:
+            released(left)
+            return taken
+        if used > SENT_ROWS:
+            left, last = stored(without_ends(left.filter(F.col("place") >= end), since, used, ranges), "matching"), left
+            released(last)
+            since, used, sizes = [], 0, None
+    raise RuntimeError("matching did not end")
 
-    def in_order(batches):
-        used = set()
-        for edges in batches:
-            free = []
-            for a, b in zip(edges["a"].tolist(), edges["b"].tolist()):
-                free.append(a not in used and b not in used)
-                if free[-1]:
-                    used.update((a, b))
-            yield edges[free]
 
+def greedy_matching(edges: DataFrame, least: float = 1e-6, most_rounds: int = 10_000) -> DataFrame:
+    """(a, b, w): what taking the heaviest edge with free ends again and again gives; ties by the smaller a, then b.
+
+    An edge that is the best at both of its ends is one that the one-by-one order would take, so a round takes all of these. Where weights differ, rounds
+    shrink quickly. Where many are equal, an edge waits for those of smaller vertices, these for others, and there are as many rounds as the longest such
+    chain has links. So rounds are for weights that differ, and go on only while each does away with its share of the edges; the rest goes through the order.
+    """
     left = stored(edges.filter((F.col("src") < F.col("dst")) & (F.col("w") >= least)).select(F.col("src").alias("a"), F.col("dst").alias("b"), "w"), "matching")
-    taken = []
-    for _ in range(most_rounds):
-        held = left.count()
-        if held <= TASK_ROWS:
-            order = [F.col("w").desc(), F.col("a"), F.col("b")]
-            last = left.coalesce(1).sortWithinPartitions(*order).mapInPandas(in_order, left.schema)
-            return reduce(DataFrame.unionByName, [*taken, last])
+    held, weights = left.agg(F.count("*"), F.approx_count_distinct("w")).first()
+    taken, before = [], None
+    while held > PASS_ROWS and weights >= WEIGHTS_SHARE * held and (before is None or before - held >= ROUND_SHARE * before) and len(taken) < most_rounds:
         tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_ROWS))
-        order = F.struct("w", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
-        ends = left.repartition(tasks, "a").select(F.explode(F.array("a", "b")).alias("id"), order.alias("o")).groupBy("id").agg(F.max("o").alias("o"))
-        best = ends.groupBy("o").count().filter("count = 2").select((-F.col("o.na")).alias("a"), (-F.col("o.nb")).alias("b"), F.col("o.w").alias("w"))
-        best = stored(best, "matching")
-        taken.append(best)
-        used = best.select(F.explode(F.array("a", "b")).alias("id"))
-        # Few used vertices are sent to all edges; else both sides are dealt out, and only the used ones are held by a task, unsorted.
-        few = best.count() <= SENT_ROWS
-        for end in ("a", "b"):
-            ids = used.select(F.col("id").alias(end))
-            left = left.join(F.broadcast(ids), end, "left_anti") if few else left.repartition(tasks, end).join(ids.repartition(tasks, end).hint("shuffle_hash"), end, "left_anti")
-        left = stored(left.select("a", "b", "w"), "matching")
-    raise RuntimeError("matching did not end")
+        taken.append(stored(best_at_both_ends(left, tasks), "matching"))
+        left, last, before = stored(without_ends(left, taken[-1:], taken[-1].count(), tasks), "matching"), left, held
+        released(last)
+        held = left.count()
+    taken += in_passes(left, held, most_rounds)
+    released(left)
+    return reduce(DataFrame.unionByName, taken)
 
 
 def laplacian(edges: DataFrame, shift: float = 1e-9) -> DataFrame:

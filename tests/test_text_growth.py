@@ -87,3 +87,47 @@ def test_matching_by_rounds_by_itself_and_by_both(spark, monkeypatch):
         monkeypatch.setattr(G, "SENT_ROWS", sent)
         assert {tuple(r) for r in G.greedy_matching(df, most_rounds=8).collect()} == taken
     assert G.greedy_matching(df.filter("w > 9")).isEmpty()
+
+
+def matched(edges: list) -> set:
+    used, taken = set(), set()
+    for a, b, w in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if not {a, b} & used:
+            used |= {a, b}
+            taken.add((a, b, w))
+    return taken
+
+
+def test_matching_of_equal_weights_takes_no_round_for_each_link_of_a_chain(spark, monkeypatch):
+    import random
+
+    from latticework.operators import graph as G
+
+    rng = random.Random(5)
+    edges = [(k, k + 1, 1.0) for k in range(80)] + [(a, b, w) for (a, b), w in {tuple(sorted(rng.sample(range(60, 120), 2))): float(rng.randint(1, 2)) for _ in range(120)}.items() if b - a > 1]
+    df = spark.createDataFrame(rng.sample(edges, len(edges)), "src long, dst long, w double")
+    monkeypatch.setattr(G, "TASK_ROWS", 12)
+    monkeypatch.setattr(G, "PASS_ROWS", 40, raising=False)
+    # Rounds of edges that are the best at both ends would be about forty.
+    for sent in (0, 25, 1000):
+        monkeypatch.setattr(G, "SENT_ROWS", sent)
+        assert {tuple(r) for r in G.greedy_matching(df, most_rounds=12).collect()} == matched(edges)
+
+
+def test_matching_of_weights_that_differ_goes_by_rounds_first(spark, monkeypatch):
+    import random
+
+    from latticework.operators import graph as G
+
+    rng = random.Random(7)
+    edges = [(a, b, rng.random() + 0.1) for a, b in {tuple(sorted(rng.sample(range(90), 2))) for _ in range(500)}] + [(200, 201, float("nan")), (201, 202, float("inf"))]
+    df, passed = spark.createDataFrame(edges, "src long, dst long, w double"), []
+    monkeypatch.setattr(G, "TASK_ROWS", 20)
+    monkeypatch.setattr(G, "PASS_ROWS", 60)
+    monkeypatch.setattr(G, "in_passes", lambda left, held, most, run=G.in_passes: passed.append(held) or run(left, held, most))
+    want = {r[:2] for r in matched([(a, b, 9.0 if a == 200 else w) for a, b, w in edges if a != 201])}
+    for share in (0.25, 1.0):
+        monkeypatch.setattr(G, "ROUND_SHARE", share)
+        assert {(r.a, r.b) for r in G.greedy_matching(df).collect()} == want
+    # Without rounds that pay, more is left for passes.
+    assert passed[0] <= 60 < passed[1]
