@@ -20,6 +20,8 @@ TASK_ROWS = 400_000
 SENT_ROWS = 250_000
 #: Edges that one task goes through one by one, and of these, edges that are Python objects at once.
 PASS_ROWS, SLICE = 4_000_000, 100_000
+#: Share of a pass's edges that must be left in its turn, or all edges are rid of used vertices.
+PASS_SHARE = 0.5
 #: For a round of a matching: least share of different weights in the edges, least share of the edges that the round before did away with.
 WEIGHTS_SHARE, ROUND_SHARE = 0.1, 0.25
 
@@ -93,6 +95,11 @@ def shortest_paths(edges: DataFrame, start: DataFrame, most_rounds: int = 10_000
     raise RuntimeError("costs did not settle")
 
 
+def join_tasks(df: DataFrame, rows: int) -> int:
+    """Tasks for so many rows; sides that are dealt out to fewer than the session's shuffle partitions would be dealt out again for a join."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def best_at_both_ends(edges: DataFrame, tasks: int) -> DataFrame:
     """Those of edges (a, b, w) that no edge at either end comes before."""
     order = F.struct("w", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
@@ -131,8 +138,8 @@ def one_by_one(edges: DataFrame) -> DataFrame:
 def in_passes(edges: DataFrame, held: int, most: int) -> list[DataFrame]:
     """Those of edges (a, b, w) that the one-by-one order takes, in most tables at most.
 
-    Edges are cut into ranges of the order. A pass goes through as many of the next ranges as one task may; used vertices' edges leave a range before its
-    turn, and all that are left once more vertices are used than are sent to all edges.
+    Edges are cut into ranges of the order. A pass goes through as many of the next ranges as one task may. Used vertices' edges leave a range before its
+    turn; all that are left are rid of them once that has left a pass too small, so not where passes hardly meet the same vertices.
     """
     order, ranges = [F.col("w").desc(), F.col("a"), F.col("b")], max(1, -(-held // TASK_ROWS))
     left = edges.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
@@ -141,17 +148,24 @@ def in_passes(edges: DataFrame, held: int, most: int) -> list[DataFrame]:
     left, taken, since, used, sizes = stored(left, "matching"), [], [], 0, None
     for _ in range(most):
         sizes = sizes or sorted(left.groupBy(F.shiftright("place", 33)).count().collect())
+        small = False
         if sizes:
             now = max(1, bisect_right(list(accumulate(n for _, n in sizes)), PASS_ROWS))
-            first, end = sizes[0][0] << 33, sizes[now - 1][0] + 1 << 33
-            since.append(stored(one_by_one(without_ends(left.filter((F.col("place") >= first) & (F.col("place") < end)), since, used, ranges)), "matching"))
+            rows, first, end = sum(n for _, n in sizes[:now]), sizes[0][0] << 33, sizes[now - 1][0] + 1 << 33
+            turn = left.filter((F.col("place") >= first) & (F.col("place") < end))
+            if since:
+                turn = stored(without_ends(turn, since, used, join_tasks(edges, rows + 2 * used)), "matching")
+                small = turn.count() < PASS_SHARE * rows
+            since.append(stored(one_by_one(turn), "matching"))
+            if len(since) > 1:
+                released(turn)
             taken.append(since[-1])
             used, sizes = used + since[-1].count(), sizes[now:]
         if not sizes:
             released(left)
             return taken
-        if used > SENT_ROWS:
-            left, last = stored(without_ends(left.filter(F.col("place") >= end), since, used, ranges), "matching"), left
+        if small:
+            left, last = stored(without_ends(left.filter(F.col("place") >= end), since, used, join_tasks(edges, held)), "matching"), left
             released(last)
             since, used, sizes = [], 0, None
     raise RuntimeError("matching did not end")
@@ -168,7 +182,7 @@ def greedy_matching(edges: DataFrame, least: float = 1e-6, most_rounds: int = 10
     held, weights = left.agg(F.count("*"), F.approx_count_distinct("w")).first()
     taken, before = [], None
     while held > PASS_ROWS and weights >= WEIGHTS_SHARE * held and (before is None or before - held >= ROUND_SHARE * before) and len(taken) < most_rounds:
-        tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_ROWS))
+        tasks = join_tasks(left, held)
         taken.append(stored(best_at_both_ends(left, tasks), "matching"))
         left, last, before = stored(without_ends(left, taken[-1:], taken[-1].count(), tasks), "matching"), left, held
         released(last)

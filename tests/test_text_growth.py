@@ -109,8 +109,9 @@ def test_matching_of_equal_weights_takes_no_round_for_each_link_of_a_chain(spark
     monkeypatch.setattr(G, "TASK_ROWS", 12)
     monkeypatch.setattr(G, "PASS_ROWS", 40, raising=False)
     # Rounds of edges that are the best at both ends would be about forty.
-    for sent in (0, 25, 1000):
+    for sent, share in ((0, 0.0), (25, 1.1), (1000, 0.5)):
         monkeypatch.setattr(G, "SENT_ROWS", sent)
+        monkeypatch.setattr(G, "PASS_SHARE", share, raising=False)
         assert {tuple(r) for r in G.greedy_matching(df, most_rounds=12).collect()} == matched(edges)
 
 
